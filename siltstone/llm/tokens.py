@@ -47,7 +47,7 @@ class PieceEncoder:
         self.itemsize = 2 if self.tok.get_vocab_size() <= 65536 else 4
         self.cache: dict[str, bytes] = {}
         self.runs = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-word, mark = "([A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f]+)", r"([.,!?;:%&*$#|()]*)"
+        word, mark = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)", r"([.,!?;:%&*$#|()]*)"
         self.plain = re.compile(rf"{word}{mark}(?:\n{word}{mark})?\Z")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
