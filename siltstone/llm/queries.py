@@ -1,10 +1,24 @@
-"""Queries of this subpackage, for __spark_entry__.py."""
+"""Queries of this subpackage and their SQL, for __spark_entry__.py."""
 
 from __future__ import annotations
 
-from .packing import op3_harmonic_packing
-from .sstable import op1_sstable_shards
+from . import decontam, linededup, neardup, packing, sstable, warc
 
-QUERIES = {f.__name__: f for f in (op1_sstable_shards, op3_harmonic_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        sstable.op1_sstable_shards,
+        packing.op3_harmonic_packing,
+        warc.op4_warc_segments,
+        linededup.op5_winnowed_line_dedup,
+        decontam.op8_suffix_array_decontamination,
+        neardup.op10_tensored_near_duplicates,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc_segments": warc.ORACLE,
+    "op5_winnowed_line_dedup": linededup.ORACLE,
+    "op8_suffix_array_decontamination": decontam.ORACLE,
+    "op10_tensored_near_duplicates": neardup.ORACLE,
+}
