@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, neardup, packing, sstable, warc
+from . import decontam, linededup, neardup, packing, pfp, sstable, warc
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         packing.op3_harmonic_packing,
         warc.op4_warc_segments,
         linededup.op5_winnowed_line_dedup,
+        pfp.op7_prefix_free_repeats,
         decontam.op8_suffix_array_decontamination,
         neardup.op10_tensored_near_duplicates,
     )
