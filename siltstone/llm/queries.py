@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup, neardup, packing, pfp, sstable, warc
+from . import ann, decontam, htmlmain, linededup, neardup, packing, pfp, sstable, toxicity, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         sstable.op1_sstable_shards,
+        toxicity.op2_toxicity_chain,
         packing.op3_harmonic_packing,
         warc.op4_warc_segments,
         linededup.op5_winnowed_line_dedup,
+        ann.op6_multiprobe_neighbours,
         pfp.op7_prefix_free_repeats,
         decontam.op8_suffix_array_decontamination,
+        htmlmain.op9_recurrent_main_text,
         neardup.op10_tensored_near_duplicates,
     )
 }
