@@ -269,6 +269,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs, with all columns, without those that have a near-duplicate of smaller doc_id.
+
+    Of rows with equal doc_id and text, one stays."""
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("own_id"), F.xxhash64(docs["text"].cast("string")).alias("own_th"))
+    gone = near_duplicates(docs, shingle, num, den).where(~F.col("kept")).select(F.col("doc_id").alias("own_id")).distinct()
+    left = keyed.join(gone, "own_id", "left_anti")
+    some = left.where("own_id is not null").dropDuplicates(["own_id", "own_th"]).union(left.where("own_id is null"))
+    return some.select("row.*")
+
+
 def op10_tensored_near_duplicates(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
