@@ -1 +1,148 @@
-"""Queries."""
+"""Result processing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import rank as R
+from ..operators import results as O
+from .catalog import query, table
+from .search import DOCS
+from .texts import STOPS, TOKENS, WORDS
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+KEY = "sha256(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'))"
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY {KEY} ORDER BY n_chars DESC, doc_id) n FROM documents) WHERE n = 1")
+def exact_dedup(spark, d):
+    return O.first_of_duplicates(_docs(spark, d).select("doc_id", "lang", "n_chars", "text"), T.content_key(F.col("text")), [F.desc("n_chars"), F.asc("doc_id")]).select("doc_id", "lang")
+
+
+@query(f"SELECT {KEY} content_key, list_sort(list(doc_id)) members, count(*) n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_duplicate_groups(spark, d):
+    return O.duplicate_groups(_docs(spark, d))
+
+
+PAIRS = "SELECT a.doc_id a, b.doc_id b FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars // 64 = b.n_chars // 64 AND a.doc_id < b.doc_id"
+
+
+def _pairs(spark, d):
+    """Pairs of near size from one source: the candidates that the measures below are held on."""
+    a = _docs(spark, d).select("source", F.floor(F.col("n_chars") / 64).alias("size"), F.col("doc_id").alias("a"))
+    return a.join(a.withColumnRenamed("a", "b"), ["source", "size"]).where("a < b").select("a", "b")
+
+
+@query(
+    f"""WITH t AS ({DOCS}), c AS (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest(t) term FROM t) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(tf * tf)) l FROM c GROUP BY 1), p AS ({PAIRS}),
+    x AS (SELECT a, b, sum(c.tf * e.tf) dot FROM p JOIN c ON c.doc_id = a JOIN e ON e.doc_id = b AND e.term = c.term GROUP BY 1, 2)
+    SELECT p.a, p.b, round(coalesce(dot / (n.l * m.l), 0), 9) AS cosine FROM p LEFT JOIN x USING (a, b) LEFT JOIN n ON n.doc_id = p.a LEFT JOIN n m ON m.doc_id = p.b""".replace("JOIN e ON", "JOIN c e ON")
+)
+def tf_cosine_similarity(spark, d):
+    return O.tf_cosine(_pairs(spark, d), O.term_counts(_docs(spark, d))).select("a", "b", F.round("cosine", 9).alias("cosine"))
+
+
+def _token_pairs(spark, d):
+    t = _docs(spark, d).select("doc_id", T.ascii_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    x, y = t.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), t.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"))
+    return _pairs(spark, d).join(x, "a").join(y, "b")
+
+
+@query(
+    f"""WITH t AS ({DOCS}), p AS ({PAIRS}), z AS (SELECT a, b, x.t ta, y.t tb FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b),
+    g AS (SELECT *, list_transform(range(1, greatest(1, len(ta))), lambda i: ta[i] || ' ' || ta[i + 1]) ga, list_transform(range(1, greatest(1, len(tb))), lambda i: tb[i] || ' ' || tb[i + 1]) gb FROM z)
+    SELECT a, b, round(CASE WHEN len(list_distinct(ta || tb)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(ta), list_distinct(tb))) / len(list_distinct(ta || tb)) END, 9) words,
+    round(CASE WHEN len(list_distinct(ga || gb)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(ga), list_distinct(gb))) / len(list_distinct(ga || gb)) END, 9) bigrams FROM g"""
+)
+def jaccard_similarity(spark, d):
+    p = _token_pairs(spark, d)
+    return p.select("a", "b", F.round(T.jaccard(F.col("ta"), F.col("tb")), 9).alias("words"), F.round(T.jaccard(T.ngrams(F.col("ta"), 2), T.ngrams(F.col("tb"), 2)), 9).alias("bigrams"))
+
+
+@query()
+def near_duplicate_hits(spark, d):
+    """0.6 Jaccard + 0.4 cosine beyond 0.85; checked in the tests."""
+    j = jaccard_similarity(spark, d)
+    return j.join(tf_cosine_similarity(spark, d), ["a", "b"]).withColumn("score", F.round(0.6 * F.col("words") + 0.4 * F.col("cosine"), 9)).where("score > 0.85").select("a", "b", "score")
+
+
+@query()
+def enhanced_similarity(spark, d):
+    """0.5 cosine + 0.3 Jaccard + 0.2 of bigrams."""
+    j = jaccard_similarity(spark, d)
+    return j.join(tf_cosine_similarity(spark, d), ["a", "b"]).select("a", "b", F.round(0.5 * F.col("cosine") + 0.3 * F.col("words") + 0.2 * F.col("bigrams"), 9).alias("similarity"))
+
+
+@query(
+    f"""WITH k AS (SELECT doc_id, list(term ORDER BY n DESC, term) kt FROM (SELECT doc_id, term, count(*) n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) r FROM (SELECT doc_id, unnest(t) term FROM ({DOCS})) WHERE length(term) > 4 GROUP BY 1, 2) WHERE r <= 5 GROUP BY 1)
+    SELECT d.doc_id, coalesce(kt, []) key_terms FROM documents d LEFT JOIN k USING (doc_id)"""
+)
+def key_terms(spark, d):
+    docs = _docs(spark, d)
+    terms = O.top_terms(docs, "doc_id", 5).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("k"))
+    return docs.select("doc_id").join(terms, "doc_id", "left").select("doc_id", F.coalesce("k", F.array().cast("array<string>")).alias("key_terms"))
+
+
+@query(f"SELECT source, term, n, CAST(r AS INTEGER) AS rank FROM (SELECT source, term, count(*) n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term) r FROM (SELECT source, unnest(t) term FROM ({DOCS})) WHERE length(term) > 4 GROUP BY 1, 2) WHERE r <= 3")
+def key_topics(spark, d):
+    return O.top_terms(_docs(spark, d), "source", 3)
+
+
+@query(f"SELECT label, list_aggregate(list_transform(ts, lambda x: upper(x[1]) || substr(x, 2)), 'string_agg', ' & ') name, ts[1] first_word FROM (SELECT lang label, list(term ORDER BY n DESC, term) ts FROM (SELECT lang, term, count(*) n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) r FROM (SELECT lang, unnest(t) term FROM ({DOCS})) WHERE length(term) > 3 GROUP BY 1, 2) WHERE r <= 2 GROUP BY 1)")
+def cluster_labels(spark, d):
+    t = O.top_terms(_docs(spark, d), "lang", 2, 3).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("ts"))
+    names = F.transform("ts", lambda x: F.concat(F.upper(F.left(x["term"], F.lit(1))), F.substring(x["term"], 2, 1 << 20)))
+    return t.select(F.col("lang").alias("label"), F.array_join(names, " & ").alias("name"), F.element_at("ts", 1)["term"].alias("first_word"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, unnest(range(len(x))) pos, unnest(x) sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), '. '), lambda v: trim(v, ' ')), lambda v: length(v) > 10) x FROM documents)),
+    m AS (SELECT *, len({WORDS.format('sentence')}) n, len(list_filter(list_transform(list_filter({WORDS.format('lower(sentence)')}, lambda w: length(w) > 2 AND w NOT IN ({STOPS})), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: w <> '')) k FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(1.0 / (pos + 1) + CASE WHEN n BETWEEN 10 AND 30 THEN 0.5 ELSE 0.0 END + k / greatest(n, 1), 9) DESC, pos) r FROM m),
+    t AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) total FROM r WHERE r <= 3)
+    SELECT doc_id, string_agg(sentence, '. ' ORDER BY pos) summary, count(*) n_sentences FROM t WHERE total <= 150 OR total = n GROUP BY 1"""
+)
+def extractive_summaries(spark, d):
+    return O.summaries(_docs(spark, d))
+
+
+@query("SELECT lang AS label, avg(n_chars) mean_chars, avg(quality) mean_quality, count(*) n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def cluster_centroids(spark, d):
+    return _docs(spark, d).join(table(spark, d, "labels"), "doc_id", "left").groupBy(F.col("lang").alias("label")).agg(F.avg("n_chars").alias("mean_chars"), F.avg("quality").alias("mean_quality"), F.count("*").alias("n"))
+
+
+@query("SELECT a, b, CASE WHEN list_aggregate(x[1:len(x) - 1], 'string_agg', '/') = list_aggregate(y[1:len(y) - 1], 'string_agg', '/') THEN 0.9 ELSE (CASE WHEN x[1] <> y[1] THEN 0 WHEN x[2] <> y[2] THEN 1 WHEN x[3] <> y[3] THEN 2 ELSE 3 END) / 3.0 END similarity FROM (SELECT p.a, p.b, string_split(u.source || '/' || u.lang || '/' || u.doc_id, '/') x, string_split(v.source || '/' || v.lang || '/' || v.doc_id, '/') y FROM (" + PAIRS + ") p JOIN documents u ON u.doc_id = a JOIN documents v ON v.doc_id = b)")
+def path_similarity(spark, d):
+    path = _docs(spark, d).select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("p"))
+    x, y = path.select(F.col("doc_id").alias("a"), F.col("p").alias("pa")), path.select(F.col("doc_id").alias("b"), F.col("p").alias("pb"))
+    return _pairs(spark, d).join(x, "a").join(y, "b").select("a", "b", O.path_similarity(F.col("pa"), F.col("pb")).alias("similarity"))
+
+
+@query()
+def leader_clusters(spark, d):
+    """Greedy clusters among each language's ten fullest documents by shared words."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
+    best = _docs(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 10")
+    q = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4).cast("long")
+    rows = best.select(q.alias("query_id"), F.col("doc_id").alias("id"), F.array_distinct(T.ascii_tokens(F.col("text"))).alias("tokens"))
+
+    def similar(a, b):
+        x, y = set(a["tokens"]), set(b["tokens"])
+        return bool(x | y) and len(x & y) / len(x | y) > 0.3
+
+    return R.greedy_leaders(rows, similar)
+
+
+@query()
+def result_pipeline(spark, d):
+    """Exact duplicates out, then summary, topics and highlights of what is left."""
+    kept = O.first_of_duplicates(_docs(spark, d), T.content_key(F.col("text")), [F.asc("doc_id")])
+    s = O.summaries(kept)
+    return s.select("doc_id", T.highlight(F.col("summary"), ["the"]).alias("summary"), O.key_terms(T.ascii_tokens(F.col("summary")), 3).alias("topics"))

@@ -1 +1,88 @@
-"""Queries."""
+"""Query understanding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import understand as U
+from .catalog import query
+from .fusion import ASKED_SQL, asked_queries
+
+WS = "[ \\t\\n\\x0B\\f\\r]"
+NORMAL = f"""trim(regexp_replace(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}} \\t\\n\\x0B\\f\\r.,!?\\-_()\\[\\]{{}}"'']', '', 'g'), '{WS}+', ' ', 'g'), ' ')"""
+KEYWORDS = "VALUES " + ", ".join(f"('{i}', '{k}', {len(k.split())})" for i, ks in U.INTENT_KEYWORDS.items() for k in ks)
+INTENTS = f"""WITH q AS (SELECT query_id, {NORMAL} q FROM ({ASKED_SQL})), k(intent, keyword, n) AS ({KEYWORDS}),
+p AS (SELECT query_id, intent, sum(length(keyword) / length(q) * n) score, count(*) m, sum(length(keyword) / length(q)) cov FROM q JOIN k ON contains(q, keyword) GROUP BY 1, 2),
+b AS (SELECT query_id, intent, least(1.0, score * sqrt(m) + least(cov, 0.3)) c FROM p WHERE least(1.0, score * sqrt(m) + least(cov, 0.3)) >= CASE WHEN intent IN ('QuestionAnswering', 'SimilaritySearch') THEN 0.2 ELSE 0.5 END),
+f AS (SELECT query_id, intent, least(1.0, sum(c)) confidence FROM (SELECT * FROM b UNION ALL SELECT query_id, 'QuestionAnswering', 0.3 FROM q WHERE regexp_matches(q, '{U.QUESTION}') UNION ALL SELECT query_id, 'SimilaritySearch', 0.4 FROM q WHERE regexp_matches(q, '{U.SIMILARITY}')) GROUP BY 1, 2)
+SELECT * FROM f UNION ALL SELECT query_id, CASE WHEN regexp_matches(q, 'file|document') THEN 'DocumentSearch' ELSE 'ContentSearch' END, CASE WHEN regexp_matches(q, 'file|document') THEN 0.6 ELSE 0.5 END FROM q WHERE query_id NOT IN (SELECT query_id FROM f)"""
+
+
+@query(f"SELECT query_id, intent, round(confidence, 6) confidence FROM ({INTENTS})")
+def query_intents(spark, d):
+    return U.intents(asked_queries(spark, d)).select("query_id", "intent", F.round("confidence", 6).alias("confidence"))
+
+
+@query(f"SELECT query_id, {NORMAL} normalised FROM ({ASKED_SQL})")
+def query_normalised(spark, d):
+    return asked_queries(spark, d).select("query_id", U.normalised(F.col("text")).alias("normalised"))
+
+
+def _count(ps):
+    return " + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INT)" for p in ps)
+
+
+SECOND = f"""SELECT query_id, list_transform(list_sort(list_filter([{", ".join(f"{{'s': -({_count(ps)}), 'i': '{i}'}}" for i, ps in U.SECOND_INTENTS.items())}], lambda x: x.s < 0))[1:CASE WHEN regexp_matches(lower(text), '{U.COMPOUND}') THEN 3 ELSE 2 END], lambda x: x.i) intents,
+CASE WHEN {" + ".join(_count(ps) for ps in U.SECOND_INTENTS.values())} > 0 THEN 0.8 ELSE 0.3 END confidence,
+CASE WHEN regexp_matches(lower(text), '{U.COMPOUND}') THEN 'compound' WHEN contains(text, '?') THEN 'conversational' WHEN regexp_matches(lower(text), '\\b(filter|only|exclude|without)\\b') THEN 'filter' WHEN length(text) > 50 THEN 'exploratory' ELSE 'simple' END query_type FROM ({ASKED_SQL})"""
+
+
+@query(SECOND)
+def query_intents_second(spark, d):
+    return U.second_intents(asked_queries(spark, d))
+
+
+@query(f"SELECT query_id, list_sort(list_distinct(list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(text), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{t}{chr(39)} END' for p, t in U.TYPE_WORDS.items())}], lambda x: x IS NOT NULL))) types FROM ({ASKED_SQL})")
+def query_file_types(spark, d):
+    return asked_queries(spark, d).select("query_id", U.file_types(F.col("text")).alias("types"))
+
+
+@query(
+    f"""SELECT query_id, '2024-01-31'::DATE - a since, '2024-01-31'::DATE + b AS until, e AS expression FROM ({ASKED_SQL}), (VALUES ('today', '\\btoday\\b', 0, 1), ('yesterday', '\\byesterday\\b', 1, 0), ('week', '\\b(last|past|previous)\\s+week\\b', 7, 1), ('month', '\\b(last|past|previous)\\s+month\\b', 30, 1), ('recent', '\\brecent(ly)?\\b', 7, 1)) r(e, p, a, b) WHERE regexp_matches(lower(text), p)"""
+)
+def query_time_spans(spark, d):
+    return U.time_spans(asked_queries(spark, d), "2024-01-31")
+
+
+@query(
+    """SELECT q, list_aggregate(list_transform(string_split(q, ' '), lambda w: coalesce(map_extract(MAP {'teh': 'the', 'recieve': 'receive', 'seperate': 'separate', 'definately': 'definitely', 'occured': 'occurred'}, regexp_replace(lower(w), '[^a-z]', '', 'g'))[1], w)), 'string_agg', ' ') corrected
+    FROM (VALUES ('find teh file'), ('I recieve seperate docs'), ('definately occured, teh end')) v(q)"""
+)
+def query_corrections(spark, d):
+    q = spark.createDataFrame([("find teh file",), ("I recieve seperate docs",), ("definately occured, teh end",)], "q string")
+    return q.select("q", U.corrected(F.col("q")).alias("corrected"))
+
+
+@query(f"SELECT query_id, flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda w: w IN ('doc', 'pic', 'vid', 'find', 'show')), lambda w: CASE w WHEN 'doc' THEN ['document', 'docx'] WHEN 'pic' THEN ['picture', 'image'] WHEN 'vid' THEN ['video', 'movie'] WHEN 'find' THEN ['search', 'locate'] ELSE ['display', 'list'] END))[1:3] expansions FROM ({ASKED_SQL})")
+def query_expansions(spark, d):
+    return asked_queries(spark, d).select("query_id", U.expansions(F.col("text")).alias("expansions"))
+
+
+@query()
+def query_entities(spark, d):
+    """Entities with their places; checked against cases in the tests."""
+    return U.entities(asked_queries(spark, d))
+
+
+@query()
+def query_strategies(spark, d):
+    return U.strategies(asked_queries(spark, d), "2024-01-31")
+
+
+@query("SELECT lower(trim(text)) k, sha256(lower(trim(text))) cache_key, count(*) asked FROM conversations WHERE length(trim(text)) >= 3 GROUP BY 1")
+def classifier_cache(spark, d):
+    """One classification for queries that are equal when trimmed and lower-cased."""
+    from .catalog import table
+
+    c = table(spark, d, "conversations").select(F.lower(F.trim("text")).alias("k")).where(F.length("k") >= 3)
+    return c.groupBy("k").agg(F.count("*").alias("asked")).select("k", F.sha2("k", 256).alias("cache_key"), "asked")
