@@ -119,7 +119,7 @@ def candidate_edges(reps: DataFrame, parts: int) -> DataFrame:
         return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary())], names=["part", "edge", "data"])
 
     def deal(batches):
-        for held in chunked(rows(batches, "doc_id", "keys"), lambda r: 1, 8192):
+        for held in chunked(rows(batches, "doc_id", "keys"), lambda r: 1, 4096):
             doc = np.array([d for d, _ in held], np.int64)
             small = np.frombuffer(b"".join(k for _, k in held), _U).reshape(-1, 2, T)
             pair = mix(small[:, 0, :, None] * _U(0x9E3779B97F4A7C15) + small[:, 1, None, :]).reshape(len(doc), -1)
@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     sized = member.join(sizes, "block")
 
     def verified(some: DataFrame) -> DataFrame:
-        text = some.join(docs, "doc_id").select("block", "doc_id", "text", "s1", "s2", "mark")
+        text = some.join(docs.hint("merge"), "doc_id").select("block", "doc_id", "text", "s1", "s2", "mark")
         return text.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_verify(shingle, num, den), "a long, b long")
 
     small = verified(sized.where("chunks = 1").withColumn("mark", F.lit(False)))
