@@ -8,8 +8,8 @@ two documents share no table key with probability 0.0004.
 1. Each text gives its set of shingle hashes, a 128-bit signature of the set, and its small keys.
 2. Texts with equal sets form a class; its smallest doc_id stands for it.
 3. Table keys group representatives. A key's members are first brought together inside each
-   task (members are linked to the least of them, and only that one travels on), so a key
-   that a third of all documents share sends one record for each task.
+   task: what is joined there is linked to its least member, and only that one travels on for
+   the key, so a key that a third of all documents share sends one record for each task.
 4. Connected candidates form blocks. Each block is searched breadth-first on the full sets:
    a document is compared with all that are not yet reached, so no link that joins two
    components is missed and no pairs are written out. Blocks beyond ``LIMIT`` shingles
@@ -102,6 +102,21 @@ def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[new], doc[new], edges[0], edges[1]
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of edges and the least id that each is joined to."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, x, root[y])
+        np.minimum.at(new, y, root[x])
+        new = new[new]
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
 _BLOB = "part int, edge boolean, data binary"
 
 
@@ -109,6 +124,12 @@ def candidate_edges(reps: DataFrame, parts: int) -> DataFrame:
     """Edges (a, b) between representatives that share a table key, by way of the key's least."""
 
     def emit(lead_key, lead_doc, a, b):
+        # what a task has joined travels as its least member only, with one edge from each other
+        ids, root = _forest(a, b)
+        if len(ids):
+            k = np.minimum(np.searchsorted(ids, lead_doc), len(ids) - 1)
+            lead_doc = np.where(ids[k] == lead_doc, root[k], lead_doc)
+            a, b = root[root != ids], ids[root != ids]
         where = (lead_key % _U(parts)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         cut = np.searchsorted(where[order], np.arange(parts + 1))
@@ -138,8 +159,8 @@ def candidate_edges(reps: DataFrame, parts: int) -> DataFrame:
             _, _, a, b = _stars(np.concatenate(key.pop(p)), np.concatenate(doc.pop(p)))
             ends.append(np.stack([a, b]))
         if ends:
-            e = np.unique(np.concatenate(ends, axis=1), axis=1)
-            yield pa.record_batch([pa.array(e[0]), pa.array(e[1])], names=["a", "b"])
+            ids, root = _forest(*np.concatenate(ends, axis=1))
+            yield pa.record_batch([pa.array(root[root != ids]), pa.array(ids[root != ids])], names=["a", "b"])
 
     dealt = reps.select("doc_id", "keys").mapInArrow(deal, _BLOB)
     return dealt.repartition(parts, "part").mapInArrow(meet, "a long, b long").distinct()
