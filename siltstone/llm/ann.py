@@ -153,7 +153,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, bucket: int =
                 yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, [len(p) for p in keys]))], names=["key", "id"])
 
     laid = base.mapInArrow(hash_base, "key long, id long, x binary")
-    hot = written(base.mapInArrow(hash_base, "key long, id long, x binary").groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("pieces")))
+    hot = written(base.mapInArrow(hash_base, "key long, id long, x binary").groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("pieces")), 16)
     probes = asked.distinct().mapInArrow(hash_queries, "key long, id long")
     one = F.coalesce("pieces", F.lit(1))
     piece = F.pmod(F.xxhash64("id"), one).cast("int")

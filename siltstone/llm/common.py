@@ -46,13 +46,23 @@ def _clean() -> None:
             return
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, narrow: int = 1) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+
+    narrow: of a table of a few numbers a row, so many shuffle partitions go into one file."""
     path = f"{shared_dir(df.sparkSession)}/table"
+    if narrow > 1:
+        df = df.coalesce(max(1, width(df.sparkSession) // narrow))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(manifest: DataFrame) -> DataFrame:
+    """A list of files, run once: a short row for each file of tens of MB, never for each document."""
+    spark = manifest.sparkSession
+    return spark.createDataFrame([tuple(r) for r in manifest.collect()], manifest.schema)
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI (file, hdfs, s3, gs, abfs) and the path in it; usable on executors."""
     return pafs.FileSystem.from_uri(uri)

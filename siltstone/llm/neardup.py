@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunked, rows, width, written
-from .components import connected_components
+from .components import NARROW, connected_components
 from .texthash import SOLID, mix, words
 
 T, R, LIMIT = 12, 3, 1_500_000
@@ -246,14 +246,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     sketch = written(docs.mapInArrow(run, schema))
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x"))
-    reps = written(classes.select("rep", "s1", "s2", F.col("x.n_shingles").alias("n_shingles"), F.col("x.keys").alias("keys")))
+    reps = written(classes.select("rep", "s1", "s2", F.col("x.n_shingles").alias("n_shingles"), F.col("x.keys").alias("keys")), 4)
     # rows of one document and equal sets are links of their own
     own = usable.join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    candidates = written(candidate_edges(reps.select(F.col("rep").alias("doc_id"), "keys"), parts))
-    blocks = connected_components(candidates)
+    blocks = connected_components(candidate_edges(reps.select(F.col("rep").alias("doc_id"), "keys"), parts))
     member = reps.join(blocks, reps["rep"] == blocks["id"]).select(F.col("component").alias("block"), F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles")
-    member = written(member)
+    member = written(member, NARROW)
     sizes = member.groupBy("block").agg(F.sum("n_shingles").alias("total")).select("block", F.ceil(F.col("total") / limit).cast("int").alias("chunks"))
     sized = member.join(sizes, "block")
 
@@ -261,8 +260,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
         text = some.join(docs.hint("merge"), "doc_id").select("block", "doc_id", "text", "s1", "s2", "mark")
         return text.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_verify(shingle, num, den), "a long, b long")
 
-    small = verified(sized.where("chunks = 1").withColumn("mark", F.lit(False)))
-    links = written(small)
+    links = verified(sized.where("chunks = 1").withColumn("mark", F.lit(False)))
     large = sized.where("chunks > 1")
     if not large.isEmpty():
         large = written(large.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")))

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, rows, shared_dir, width, written
+from .common import collected, file_system, rows, shared_dir, width, written
 from .texthash import Spans, mix
 
 GRAM, LENGTH, PIECE = 32, 100, 1 << 20
@@ -154,7 +154,7 @@ def lay_out(docs: DataFrame, parts: int) -> DataFrame:
 
     laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     laid = laid.repartitionByRange(parts, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return written(laid.mapInArrow(run, "part int, path string"))
+    return collected(laid.mapInArrow(run, "part int, path string"))
 
 
 def _texts(path: str):

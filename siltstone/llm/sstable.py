@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import file_system, rows, shared_dir, width, written
+from .common import collected, file_system, rows, shared_dir, width
 from .tokens import encoder
 
 BLOCK, SHARD, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 64 << 20, 10, 7
@@ -231,7 +231,7 @@ def write_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
         .sortWithinPartitions("doc_id", "h", "text")
         .select("doc_id", "text")
     )
-    return written(laid.mapInArrow(write, "path string, part int, seq int, first_id long, last_id long, n_docs long, n_ids long"))
+    return collected(laid.mapInArrow(write, "path string, part int, seq int, first_id long, last_id long, n_docs long, n_ids long"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

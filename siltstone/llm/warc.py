@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, rows, shared_dir, width, written
+from .common import collected, file_system, rows, shared_dir, width
 
 SEGMENT, CHUNK, ARCHIVE = 16 << 10, 4 << 10, 64 << 20
 DATE = "2000-01-01T00:00:00Z"  # pages have no dates
@@ -153,7 +153,7 @@ def write_archives(pages: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
             sink.close()
         yield pa.record_batch([pa.array([f"{out}/{p}" for p in paths], pa.string())], names=["path"])
 
-    return written(told.mapInArrow(run, "path string"))
+    return collected(told.mapInArrow(run, "path string"))
 
 
 _FIELDS = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
