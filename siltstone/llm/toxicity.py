@@ -105,19 +105,21 @@ def fit_chain(docs: list[tuple[bytes, int, int]]) -> Chain:
     n = len(docs)
     toxic = np.array([t for *_, t in docs], float)
     y = [toxic * np.array([not {*s}.isdisjoint(w.split()) for w, *_ in docs], float) for s in SEEDS.values()] + [toxic] if n else []
-    often = Counter()
-    for w, *_ in docs:
-        often.update(w.split())
-    counts = {w: np.zeros(len(CHAIN)) for w, c in often.items() if c >= SUPPORT}
+    held = Counter()  # only tokens of toxic documents can speak for a category
+    for w, _, t in docs:
+        if t:
+            held.update(w.split())
+    often = {w: 0 for w, c in held.items() if 2 * c >= SUPPORT}
+    counts = {w: np.zeros(len(CHAIN)) for w in often}
     for i, (ws, *_) in enumerate(docs):
         row = np.array([v[i] for v in y])
-        if row.any():
-            for w in ws.split():
-                if w in counts:
-                    counts[w] += row
+        for w in often.keys() & ws.split():
+            often[w] += 1
+            if row.any():
+                counts[w] += row
     best: list[tuple[float, bytes]] = []
     for w, c in counts.items():
-        if c[-1] >= 0.5 * often[w]:  # words that speak for a category
+        if often[w] >= SUPPORT and c[-1] >= 0.5 * often[w]:  # words that speak for a category
             m, score = often[w], 0.0
             for k, v in enumerate(y):
                 total = v.sum()
@@ -172,7 +174,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
 
     got = some.mapInArrow(read, "label_id long, w binary, key long, y int").toPandas().sort_values(["label_id", "key"])
     got = got.drop_duplicates("key")  # copies, near ones too, would lend their words weight
-    return fit_chain([(bytes(w), int(k) % FOLDS, int(y)) for w, k, y in zip(got.w, got.key, got.y, strict=True)])
+    sample = [(bytes(w), int(k) % FOLDS, int(y)) for w, k, y in zip(got.w, got.key, got.y, strict=True)]
+    del got
+    return fit_chain(sample)
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
