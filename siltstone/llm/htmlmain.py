@@ -6,8 +6,8 @@ identifiers of its path, hashed words, its share of link text, its length, its p
 A bidirectional LSTM in numpy reads the whole sequence, so a block is labelled in the light
 of everything before and behind it; a logistic unit says whether it belongs to the article.
 
-The labeller is trained on the driver on at most ``SAMPLE`` pages (those with the smallest hash
-of their html; at most ``TRAIN_BLOCKS`` blocks of each). Their labels come from the meaning of
+The labeller is trained on the driver on at most ``SAMPLE`` different pages (those with the smallest
+hash of their html; at most ``TRAIN_BLOCKS`` blocks of each). Their labels come from the meaning of
 tags and class names (``taught``); copies of each page with other containers, and with
 sidebars, notices, adverts, forms and reader comments put in, widen what it has seen.
 Extraction reads whole pages and labels every block.
@@ -349,8 +349,10 @@ def extract(pages: list[str | None], net: BiLSTM) -> list[str]:
 def main_text(pages: DataFrame) -> DataFrame:
     """For each row of ``pages(page_id, url, html)``: page_id, url, text, n_chars."""
     html = F.col("html").cast("string")
-    some = pages.where("html is not null").select(F.xxhash64("html").alias("h"), html.alias("html")).orderBy("h", "html").limit(SAMPLE)
-    net = train_labeller([r.html for r in some.collect()])
+    hashed = pages.where("html is not null").select(F.xxhash64(html).alias("h"), html.alias("html"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
+    some = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h") if least else None
+    net = train_labeller([r.html for r in some.collect()] if least else [])
 
     def run(batches):
         for b in batches:

@@ -46,6 +46,7 @@ class PieceEncoder:
         self.spaces_matter = spaces_matter
         self.itemsize = 2 if self.tok.get_vocab_size() <= 65536 else 4
         self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.runs = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
         word, mark = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)", r"([.,!?;:%&*$#|()]*)"
         self.plain = re.compile(rf"{word}{mark}(?:\n{word}{mark})?\Z")
@@ -62,19 +63,30 @@ class PieceEncoder:
     def _one(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
+    def _part(self, word: str) -> bytes:
+        """Ids of a mark, a line break or a word that no space leads; marks and the like repeat."""
+        ids = self.parts.get(word)
+        if ids is None:
+            ids = self._bytes(self._one(word))
+            if len(self.parts) < 50_000:
+                self.parts[word] = ids
+        return ids
+
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         got: dict[str, bytes] = {}
         rest = []
-        pre = " " if self.spaces_matter else ""
+        pre, cache = " " if self.spaces_matter else "", self.cache
         for p in missing:
             if m := self.plain.match(p if self.spaces_matter else p.lower()):
                 a, x, b, y = m.groups()
-                ids = self._one(pre + a)
+                ids = cache.get(a) if a != p else None
+                if ids is None:
+                    ids = self._bytes(self._one(pre + a))
                 if x:
-                    ids += self._one(x)
+                    ids += self._part(x)
                 if b:
-                    ids += (self._one("\n") if self.spaces_matter else []) + self._one(b) + (self._one(y) if y else [])
-                got[p] = self._bytes(ids)
+                    ids += (self._part("\n") if self.spaces_matter else b"") + self._part(b) + (self._part(y) if y else b"")
+                got[p] = ids
             else:
                 rest.append(p)
         for at in range(0, len(rest), 2000):
