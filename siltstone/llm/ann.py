@@ -9,9 +9,9 @@ expected distance lies there (the product of normal probabilities of the steps),
 in that order until their sum reaches ``REACH``. Candidates of all tables are scored by inner
 products in double precision of the vectors as given; a query's best are merged over tables.
 
-The expected distance is that of the top-th neighbour, taken from the inner products of a
-sample of at most ``SAMPLE`` vectors (by order of a hash of the identifier); nothing else is
-sampled: every vector is in every table. Buckets beyond ``HOT`` vectors are cut into pieces by
+The expected distance of a query is that of its top-th neighbour as a sample of at most ``SAMPLE``
+vectors and ``SAMPLE_BYTES`` bytes shows it (those with the smallest hash of the identifier); nothing
+else is sampled: every vector is in every table. Buckets beyond ``HOT`` vectors are cut into pieces by
 a hash of the identifier, and their queries go to all pieces, in blocks.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or differ in
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import rows, width, written
 from .texthash import mix
 
-TABLES, W, REACH, SAMPLE, HOT, BLOCK = 8, 1.0, 0.3, 4096, 16384, 1024
+TABLES, W, SPREAD, REACH, SAMPLE, HOT, BLOCK = 8, 1.0, 6.0, 0.3, 4096, 16384, 1024
+SAMPLE_BYTES = 4 << 20
 _U = np.uint64
 
 
@@ -57,12 +58,12 @@ class Hashes:
         cell = np.floor((x @ self.a + self.b) / self.w).astype(np.int64)
         return np.stack([self._key(np.ascontiguousarray(cell[:, t * self.k : (t + 1) * self.k]), t) for t in range(self.tables)], 1)
 
-    def probes(self, q: np.ndarray, distance: float, reach: float) -> list[np.ndarray]:
+    def probes(self, q: np.ndarray, distance: np.ndarray, reach: float) -> list[np.ndarray]:
         """For each query the buckets to visit, in order of their probability within each table."""
         place = (q @ self.a + self.b) / self.w
         cell = np.floor(place).astype(np.int64)
         frac = place - cell
-        scale = self.w / max(distance, 1e-6) / math.sqrt(2)
+        scale = (self.w / distance / math.sqrt(2))[:, None]
         edges = np.stack([_erf((e - frac) * scale) for e in (-1, 0, 1, 2)])
         p = (edges[1:] - edges[:-1]) / 2  # step -1, 0, 1 x query x hash
         out: list[list[np.ndarray]] = [[] for _ in q]
@@ -116,12 +117,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, bucket: int =
     base, asked = base.where(F.size("x") == dim), asked.where(F.size("x") == dim)
     longest = base.agg(F.max(norm)).first()[0]
     k = max(3, min(6, round(math.log(max(n / bucket, 2)) / math.log(4.5))))
-    seen = np.array([r.x for r in base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()])
-    ip = (seen[: SAMPLE // 16] / np.linalg.norm(seen[: SAMPLE // 16], axis=1)[:, None]) @ (seen / longest).T
-    ip = np.sort(ip[~np.eye(*ip.shape, dtype=bool)]) if ip.size > 1 else np.zeros(1)
-    near = ip[min(len(ip) - 1, int(len(ip) * (1 - top / n)))]
-    distance = math.sqrt(max(2 - 2 * near, 1e-4))
-    hashes = (dim, k)
+    some = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).collect()
+    seen, seen_ids = np.array([r.x for r in some]) / longest, np.array([r.vec_id for r in some])
+    place = min(len(seen) - 1, math.ceil(top * len(seen) / n))  # where the top-th neighbour would be among the sample
+    # cells as wide as leaves about bucket vectors in each; few vectors share one cell and all cells near it are seen
+    w = max(W, SPREAD / (n / bucket) ** (1 / k))
+    reach = REACH if n > 4 * top else 1.0
+    hashes = (dim, k, TABLES, w)
     raw = np.dtype("<f8")
 
     def matrix(cols):
@@ -149,7 +151,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, bucket: int =
             for at in range(0, b.num_rows, 128):
                 ids, x = to_rows(b.slice(at, 128))
                 q = np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.zeros((len(x), 1))], 1)
-                keys = h.probes(q, distance, REACH)
+                ip = q[:, :-1] @ seen.T
+                ip[ids[:, None] == seen_ids[None, :]] = -1
+                near = -np.partition(-ip, place, axis=1)[:, place]
+                keys = h.probes(q, np.sqrt(np.maximum(2 - 2 * near, 1e-4)), reach)
                 yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.repeat(ids, [len(p) for p in keys]))], names=["key", "id"])
 
     laid = base.mapInArrow(hash_base, "key long, id long, x binary")
