@@ -254,6 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     member = reps.join(blocks, reps["rep"] == blocks["id"]).select(F.col("component").alias("block"), F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles")
     member = written(member, NARROW)
     sizes = member.groupBy("block").agg(F.sum("n_shingles").alias("total")).select("block", F.ceil(F.col("total") / limit).cast("int").alias("chunks"))
+    sizes = written(sizes, NARROW)
     sized = member.join(sizes, "block")
 
     def verified(some: DataFrame) -> DataFrame:
@@ -271,9 +272,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
         part = connected_components(inner)
         state = written(large.join(part, large["doc_id"] == part["id"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id"))
         most = state.groupBy("block", "component").agg(F.sum("n_shingles").alias("n")).groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-        state = state.join(most, "block")
+        state = state.join(written(most, NARROW), "block")
         loose = state.where("component <> most")
-        pieces = loose.groupBy("block").agg(F.ceil(F.sum("n_shingles") / limit).cast("int").alias("pieces"))
+        pieces = written(loose.groupBy("block").agg(F.ceil(F.sum("n_shingles") / limit).cast("int").alias("pieces")), NARROW)
         loose = loose.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces")).cast("int"))
         cols = ["block", "doc_id", "s1", "s2", "mark"]
         asked = loose.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("mark", F.lit(True))
