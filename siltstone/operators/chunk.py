@@ -67,7 +67,7 @@ def cut_characters(text: str, o: ChunkOptions) -> list[tuple[int, int]]:
     while start < n:
         end = min(n, start + o.target)
         if end < n:
-            low = max(start + 1, end - 100)
+            low = max(start + 1, end - 100, spans[-1][1] if spans else 0)
             for b in _BREAKS:
                 if hits := list(b.finditer(text, low, end)):
                     end = hits[-1].end()

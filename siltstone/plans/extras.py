@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import results as R
 from ..operators import security as S
+from ..operators import understand as U
 from .behaviour import SESSIONS
 from .catalog import query, table
+from .fusion import ASKED_SQL, asked_queries
 from .results import PAIRS, _pairs, _token_pairs
 from .search import DOCS
 
@@ -199,3 +201,80 @@ def session_clusters(spark, d):
     b = kinds.select("user_id", F.col("topics").alias("other"), F.col("first").alias("candidate"))
     near = t.join(b, "user_id").where((F.col("candidate") <= F.col("session_no")) & (T.jaccard(F.col("topics"), F.col("other")) > 0.5))
     return near.groupBy("user_id", "session_no").agg(F.min("candidate").alias("joins"))
+
+
+def _types(c):
+    from ..operators.understand import TYPE_WORDS
+
+    return f"list_sort(list_distinct(list_filter([{', '.join(f'CASE WHEN regexp_matches(lower({c}), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{t}{chr(39)} END' for p, t in TYPE_WORDS.items())}], lambda x: x IS NOT NULL)))"
+
+
+STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+
+
+@query(f"""SELECT query_id, replace(coalesce(list_aggregate(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 3 AND w NOT IN ({STOPS})), lambda w: 'content:' || w) || list_transform({_types('text')}, lambda t: 'type:' || t), 'string_agg', '|'), ''), '|', CASE WHEN regexp_matches(lower(text), '\\b(compare|versus|vs|difference)\\b') THEN ' OR ' ELSE ' AND ' END) expression FROM ({ASKED_SQL})""")
+def intent_to_boolean(spark, d):
+    return asked_queries(spark, d).select("query_id", U.as_boolean(F.col("text")).alias("expression"))
+
+
+@query()
+def intent_filters(spark, d):
+    """Date ranges, types and persons of the stated queries; entities need places, so no SQL."""
+    return U.intent_filters(asked_queries(spark, d), "2024-01-31")
+
+
+@query(
+    f"""SELECT query_id, list_transform(list_sort(list_filter([CASE WHEN h = 0 THEN {{'g': -0.9, 'a': 'use fewer words'}} END, CASE WHEN h > 100 THEN {{'g': -0.7, 'a': 'add a word'}} END, CASE WHEN n = 1 THEN {{'g': -0.5, 'a': 'name a field or a type'}} END,
+    CASE WHEN n > 1 AND NOT contains(text, '"') THEN {{'g': -0.4, 'a': 'quote a phrase'}} END, CASE WHEN NOT regexp_matches(text, '\\b(AND|OR|NOT)\\b') THEN {{'g': -0.3, 'a': 'combine words with AND, OR, NOT'}} END], lambda r: r IS NOT NULL)), lambda r: r.a) advice
+    FROM (SELECT query_id, text, length(text) % 150 h, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) n FROM ({ASKED_SQL}))"""
+)
+def refinement_suggestions(spark, d):
+    return asked_queries(spark, d).select("query_id", U.refinements(F.col("text"), F.length("text") % 150).alias("advice"))
+
+
+@query("SELECT user_id, event_id, CASE WHEN p IS NULL THEN 0.0 WHEN p <> event_type THEN 0.8 ELSE 0.0 END + CASE WHEN h IS NULL OR h = hour(ts) THEN 0.0 ELSE 0.5 END change FROM (SELECT *, lag(event_type) OVER w p, lag(hour(ts)) OVER w h FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+def context_changes(spark, d):
+    """What changed since the event before: project 0.8, application 0.5."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _e(spark, d).withColumn("h", F.hour(F.col("ts").cast("timestamp")))
+    p, q = F.lag("event_type").over(w), F.lag("h").over(w)
+    c = F.when(p.isNull() | p.eqNullSafe(F.col("event_type")), 0.0).otherwise(0.8) + F.when(q.isNull() | q.eqNullSafe(F.col("h")), 0.0).otherwise(0.5)
+    return e.select("user_id", "event_id", c.alias("change"))
+
+
+@query("SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'bookmark' WHEN 'signup' THEN 'share' ELSE 'open' END AS action FROM events WHERE event_type IN ('purchase', 'signup', 'error')")
+def follow_up_actions(spark, d):
+    e = F.col("event_type")
+    return _e(spark, d).where(e.isin("purchase", "signup", "error")).select("user_id", "event_id", F.when(e == "purchase", "bookmark").when(e == "signup", "share").otherwise("open").alias("action"))
+
+
+@query("SELECT user_id, session_no, round((least(1, CASE WHEN count(*) FILTER (WHERE event_type = 'view') > 0 THEN count(*) FILTER (WHERE event_type = 'click') / count(*) FILTER (WHERE event_type = 'view') ELSE 0 END) + CASE WHEN bool_or(event_type = 'purchase') THEN 1 ELSE 0 END + least(1, 10 / greatest(epoch(max(ts) - min(ts)) / 60 / count(*), 0.001))) / 3, 6) efficiency FROM (" + SESSIONS + ") GROUP BY 1, 2")
+def session_efficiency(spark, d):
+    """Mean of click-through, goals reached and quickness."""
+    from ..operators.behaviour import sessions
+
+    e = F.col("event_type")
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
+    views, clicks = F.count_if(e == "view"), F.count_if(e == "click")
+    ctr = F.least(F.lit(1.0), F.when(views > 0, clicks / views).otherwise(0.0))
+    quick = F.least(F.lit(1.0), 10 / F.greatest((us(F.max("ts")) - us(F.min("ts"))) / 60_000_000 / F.count("*"), F.lit(0.001)))
+    g = sessions(_e(spark, d)).groupBy("user_id", F.col("session_no").cast("long").alias("session_no"))
+    return g.agg(F.round((ctr + F.bool_or(e == "purchase").cast("int") + quick) / 3, 6).alias("efficiency"))
+
+
+@query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) IN ('html', 'htm', 'pdf', 'txt', 'md') OR (lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = '' AND strlen(html) > 0) indexable, greatest(len(list_filter(regexp_split_to_array(html, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) // 500, 1) pages FROM pages")
+def indexable_files(spark, d):
+    from ..sources import files
+
+    p = table(spark, d, "pages")
+    ext = files.extension(F.col("url"))
+    ok = ext.isin("html", "htm", "pdf", "txt", "md") | ((ext == "") & (F.length("html") > 0))
+    return p.select("page_id", ok.alias("indexable"), files.page_estimate(F.col("html")).alias("pages"))
+
+
+@query("SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(CAST(embedding[1] AS DOUBLE), 6) DESC, vec_id) r FROM embeddings WHERE embedding[1] >= 0.05) WHERE r <= 10")
+def cached_image_search(spark, d):
+    """Stored similarities of a text and model: filtered by score, the best ten of each model."""
+    w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
+    s = table(spark, d, "embeddings").where(F.element_at("embedding", 1) >= F.lit(0.05).cast("float")).select("vec_id", "label", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("score"))
+    return s.withColumn("r", F.row_number().over(w)).where("r <= 10").drop("r")

@@ -119,3 +119,21 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition: list
     if kind == "csv":
         w = w.option("header", True)
     (w.partitionBy(*partition) if partition else w).save(path)
+
+
+def indexable(path: Column, content: Column | None = None) -> Column:
+    """Known extensions, or, without one, what looks like text; never hidden files or those of passed-over folders."""
+    parts = F.split(path, "/")
+    named = extension(path).isin(sorted({*CLASSES, *TEXTUAL}))
+    looks = F.lit(False) if content is None else (extension(path) == "") & (printable_share(content) > 0.8)
+    return (named | looks) & ~F.exists(parts, lambda p: p.isin(SKIPPED) | p.rlike(r"^\.[^.]"))
+
+
+def page_estimate(text: Column) -> Column:
+    """Pages of a document without page marks: one for each 500 words, at least one."""
+    return F.greatest(F.floor(T.word_count(text) / 500), F.lit(1))
+
+
+def backup(spark: SparkSession, source: str, target: str) -> None:
+    """A copy of a table, as it is read now."""
+    spark.read.parquet(source).write.mode("errorifexists").parquet(target)
