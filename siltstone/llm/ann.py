@@ -216,7 +216,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, bucket: int =
                 return None
             qs, vs, ss = (np.concatenate(c) for c in zip(*got, strict=True))
             best = _best(qs, vs, ss, top)
-            return pa.record_batch([pa.array(qs[best]), pa.array(vs[best]), pa.array(ss[best])], names=["query_id", "vec_id", "score"])
+            qs, vs, ss = qs[best], vs[best], ss[best]
+            start = np.flatnonzero(np.concatenate([[True], qs[1:] != qs[:-1]])) if len(qs) else np.zeros(0, int)
+            ends = [*start[1:], len(qs)] if len(qs) else []
+            # a row for each query: its best here, packed
+            packed = [vs[a:b].tobytes() + ss[a:b].tobytes() for a, b in zip(start, ends, strict=True)]
+            return pa.record_batch([pa.array(qs[start]), pa.array(packed, pa.binary())], names=["query_id", "best"])
 
         for kind, i, keys, piece, x, v in rows(batches, "kind", "id", "keys", "piece", "x", "v"):
             if kind == 0:
@@ -235,17 +240,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, bucket: int =
             yield b
 
     def merge(batches):
-        got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if got is None:
+        got = list(rows(batches, "query_id", "best"))
+        if not got:
             return
-        q, v, s = (got[c].to_numpy() for c in ("query_id", "vec_id", "score"))
+        n = [len(b) // 16 for _, b in got]
+        q = np.repeat(np.array([i for i, _ in got], np.int64), n)
+        v = np.concatenate([np.frombuffer(b, np.int64, k) for k, (_, b) in zip(n, got, strict=True)])
+        s = np.concatenate([np.frombuffer(b, np.float64, k, 8 * k) for k, (_, b) in zip(n, got, strict=True)])
         best = _best(q, v, s, top)
         q, v, s = q[best], v[best], s[best]
         start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
         rank = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) + 1
         yield pa.record_batch([pa.array(q), pa.array(rank, pa.int32()), pa.array(v), pa.array(s)], names=["query_id", "rank", "vec_id", "score"])
 
-    scored = both.repartition(parts, "unit").sortWithinPartitions("kind").mapInArrow(score, "query_id long, vec_id long, score double")
+    scored = both.repartition(parts, "unit").sortWithinPartitions("kind").mapInArrow(score, "query_id long, best binary")
     return scored.repartition(parts, "query_id").mapInArrow(merge, schema)
 
 
