@@ -47,7 +47,8 @@ class PieceEncoder:
         self.itemsize = 2 if self.tok.get_vocab_size() <= 65536 else 4
         self.cache: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.runs = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+        runs = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+        self.runs = {True: [r for r in runs if r.isascii()], False: runs}
         word, mark = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)", r"([.,!?;:%&*$#|()]*)"
         self.plain = re.compile(rf"{word}{mark}(?:\n{word}{mark})?\Z")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,7 +62,11 @@ class PieceEncoder:
         return array("H" if self.itemsize == 2 else "I", ids).tobytes()
 
     def _one(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        if word.isascii():  # letters and marks stand for themselves
+            word = word.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        else:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(word)]
 
     def _part(self, word: str) -> bytes:
         """Ids of a mark, a line break or a word that no space leads; marks and the like repeat."""
@@ -72,7 +77,7 @@ class PieceEncoder:
                 self.parts[word] = ids
         return ids
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
         got: dict[str, bytes] = {}
         rest = []
         pre, cache = " " if self.spaces_matter else "", self.cache
@@ -102,18 +107,16 @@ class PieceEncoder:
         out: list[bytes] = []
         cache, skip = self.cache, 1 if self.spaces_matter else 0
         for t in texts:
-            if skip and (t.startswith(" ") or any(r in t for r in self.runs)):
+            if skip and (t.startswith(" ") or any(map(t.__contains__, self.runs[t.isascii()]))):
                 out.append(self.whole(t))
                 continue
             ps = t.split(" ") if skip else t.split()
-            first = ps[0] if skip else ""
-            get = cache
-            if missing := [p for p in set(ps[skip:]) if p not in cache]:
-                new = self._learn(missing)
+            first = ps.pop(0) if skip else ""
+            ids = list(map(cache.get, ps))
+            if None in ids:
+                new = self._learn({p for p, x in zip(ps, ids, strict=True) if x is None})
                 if len(cache) < self.CACHE:
                     cache.update(new)
-                else:
-                    get = {p: cache[p] if p in cache else new[p] for p in set(ps[skip:])}
-            ids = b"".join([get[p] for p in ps[skip:]])
-            out.append((self.whole(first) if first else b"") + ids)
+                ids = [new[p] if x is None else x for p, x in zip(ps, ids, strict=True)]
+            out.append((self.whole(first) if first else b"") + b"".join(ids))
         return out
