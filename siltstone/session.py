@@ -23,8 +23,15 @@ def session(name: str = "siltstone", cores: str = "*", partitions: int = 8, **co
     return reachable(b.getOrCreate())
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def reachable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it is not installed but its folder is shared."""
+    """Lets Python workers import this package where it is not installed but its folder is shared.
+
+    Also takes smaller Arrow batches where the session has Spark's default: documents are long."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1024")
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
