@@ -25,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunked, rows, written
-from .texthash import SOLID, Spans, mix, word_table
+from .texthash import mix, raw_spans, word_table
 
 MIN_WORDS = 50
 _U = np.uint64
-_SPACE = " \t\n\x0b\x0c\r"
 _INK = word_table(lambda c: not (c == 32 or 9 <= c <= 13))
 
 
@@ -44,8 +43,7 @@ def line_table(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     if not len(number):
         z = np.zeros(0, _U)
         return number, count, z, z
-    h = Spans(buf)
-    raw = h.raw(start[first], end[first + count - 1])
+    raw = raw_spans(buf, start[first], end[first + count - 1])
     size = (end[first + count - 1] - start[first]).astype(_U)
     return number, count, mix(raw + size), mix(raw * _U(0x9E3779B97F4A7C15) ^ size)
 
@@ -105,8 +103,8 @@ def remove_lines(text: str | None, spans: list[tuple[int, int]]) -> tuple[str |
     return "\n".join(x for k, x in enumerate(lines) if k not in drop), len(number), int(gone.sum()), runs
 
 
-def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with all its columns, text without its later repeated runs, and struct ``lines(n_lines, n_removed, n_runs)``."""
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """own_row (the columns but text), own_text without its later repeated runs, n_lines, n_removed, n_runs."""
     cols = docs.columns
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     schema = ", ".join(f"{n} {'long' if t == pa.int64() else 'int'}" for n, t in _WIN)
@@ -137,8 +135,33 @@ def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([row.slice(at, len(part)), pa.array(t, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=names)
                 at += len(part)
 
-    done = met.mapInArrow(cut, f"own_row {row_type}, own_text string, n_lines long, n_removed long, n_runs long")
-    return done.select(*[F.col("own_text").alias("text") if c == "text" else F.col("own_row")[c].alias(c) for c in cols], F.struct("n_lines", "n_removed", "n_runs").alias("lines"))
+    return met.mapInArrow(cut, f"own_row {row_type}, own_text string, n_lines long, n_removed long, n_runs long")
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col("own_text").alias("text") if c == "text" else F.col("own_row")[c].alias(c) for c in docs.columns]
+
+
+def deduplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with all its columns, text without its later repeated runs, and struct ``lines(n_lines, n_removed,
+    n_runs)``, whose name gets an underscore for each column that has it already."""
+    name = "lines"
+    while name in docs.columns:
+        name += "_"
+    return _cut(docs, min_words).select(*_columns(docs), F.struct("n_lines", "n_removed", "n_runs").alias(name))
+
+
+def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """docs, columns as they are, text without its later repeated runs; documents of which nothing is left go.
+
+    A numeric column n_chars follows the text where it changed."""
+    left = _cut(docs, min_words).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    cols = _columns(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        own = F.col("own_row")["n_chars"]
+        cols[docs.columns.index("n_chars")] = F.when(F.col("n_removed") > 0, F.char_length("own_text").cast(kind)).otherwise(own).alias("n_chars")
+    return left.select(*cols)
 
 
 def op5_winnowed_line_dedup(spark, sf_dir):

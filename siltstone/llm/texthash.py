@@ -46,6 +46,17 @@ class Spans:
         return mix(self.raw(start, end))
 
 
+def raw_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """Spans.raw of spans in order, about step bytes of the buffer at a time, so that long texts need little memory."""
+    out, k = np.empty(len(start), _U), 0
+    while k < len(start):
+        base = int(start[k])
+        j = max(k + 1, int(np.searchsorted(start, base + step)))
+        out[k:j] = Spans(buf[base : int(end[j - 1])]).raw(start[k:j] - base, end[k:j] - base)
+        k = j
+    return out
+
+
 def word_table(is_word) -> np.ndarray:
     return np.array([bool(is_word(c)) for c in range(256)])
 
@@ -67,4 +78,4 @@ def words(texts: list[str | None], table: np.ndarray, sep: bytes) -> tuple[np.nd
     start, end = edge[0::2], edge[1::2]
     at = np.cumsum([1] + [len(p) + 1 for p in parts])
     bounds = np.searchsorted(start, at)
-    return (Spans(buf).hash(start, end) if len(start) else np.zeros(0, _U)), bounds
+    return mix(raw_spans(buf, start, end)), bounds

@@ -143,8 +143,10 @@ def test_lines(spark):
     docs = [(1, f"head\n{run}\ntail"), (2, f"other\n  {run.replace(chr(10), '  ' + chr(10) + chr(10))}\nend"), (3, "short line\nshort line"), (4, None), (5, run), (5, run), (None, "x"), (6, run.split("\n")[0])]
     df = spark.createDataFrame([(*r, "k") for r in docs], DOCS + ", lines string")
     got = {}
-    for r in linededup.deduplicate_lines(df.withColumnRenamed("lines", "first")).collect():
-        got.setdefault(r.doc_id, []).append((r.text, r.lines.n_removed, r.first))
+    for r in linededup.deduplicate_lines(df).collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.lines_.n_removed, r.lines))
+    kept = linededup.drop_repeated_lines(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
     assert got[1] == [(docs[0][1], 0, "k")] and got[2][0][1] == 4 and got[2][0][0].split() == ["other", "end"]
     assert got[3][0][1] == 0 and got[4] == [(None, 0, "k")] and got[5] == [("", 4, "k")] * 2 and got[6][0][1] == 0
     assert linededup.deduplicate_lines(spark.createDataFrame([], DOCS)).collect() == []
@@ -354,3 +356,16 @@ def test_pipeline(spark):
     tests = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert not any(r.contaminated for r in decontam.match_tests(rows, tests).collect())
     assert [i for i, _, c in brute_components([(r.doc_id, r.text) for r in rows.collect()], 5) if i != c] == []
+
+
+def test_words_of_long_texts():
+    from siltstone.llm.texthash import SOLID, Spans, mix, raw_spans, words
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (0, 5, 3000)] + [None, "x" * 5000]
+    h, at = words(texts, SOLID, b" ")
+    one = np.concatenate([words([t], SOLID, b" ")[0] for t in texts])
+    assert (h == one).all() and np.diff(at).tolist() == [len((t or "").split()) for t in texts]
+    buf = np.frombuffer(texts[2].encode(), np.uint8)
+    start = np.arange(0, len(buf) - 40, 7)
+    assert (mix(raw_spans(buf, start, start + 40, 100)) == Spans(buf).hash(start, start + 40)).all()
