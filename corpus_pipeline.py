@@ -16,11 +16,10 @@ documents. run() applies them to documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from siltstone.llm.common import written
 from siltstone.llm.decontam import decontaminate
-from siltstone.llm.linededup import deduplicate_lines
+from siltstone.llm.linededup import drop_repeated_lines
 from siltstone.llm.neardup import drop_near_duplicates
 from siltstone.llm.packing import pack
 from siltstone.llm.toxicity import reject_toxic
@@ -33,12 +32,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
-    done = deduplicate_lines(docs)
-    left = (F.col("lines.n_removed") == 0) | (F.col("lines.n_removed") < F.col("lines.n_lines"))
-    done = done.where(left).select(docs.columns)
-    if "n_chars" in docs.columns:  # a count of the text, which may have changed
-        done = done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return done
+    return drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
