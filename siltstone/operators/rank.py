@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,8 +110,3 @@ def greedy_leaders(rows: DataFrame, similar, limit: int = 10) -> DataFrame:
 
     return rows.groupBy("query_id").applyInPandas(run, "query_id long, id long, cluster int")
 
-
-def batched(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for at in range(0, len(f), n):
-            yield f.iloc[at : at + n]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import hybrid as H
 from ..operators import lexical, vectors
 from .catalog import query, table

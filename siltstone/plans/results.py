@@ -9,7 +9,7 @@ from ..operators import rank as R
 from ..operators import results as O
 from .catalog import query, table
 from .search import DOCS
-from .texts import STOPS, TOKENS, WORDS
+from .texts import STOPS, WORDS
 
 
 def _docs(spark, d):
