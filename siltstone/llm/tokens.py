@@ -31,7 +31,8 @@ class PieceEncoder:
     The pre-tokenizers of both vocabularies never join what a single space separates, so
     a text may be cut before each space (byte level: the space goes with the piece that
     follows; word level: white space is dropped). Runs of white space that hold a space
-    behind other white space are the exception at byte level; such texts are encoded whole.
+    behind other white space are the exception at byte level; such texts are encoded whole. So are,
+    at word level, texts with U+001C to U+001F, which str.split() drops and the tokenizer doesn't.
     ids are little-endian unsigned integers of itemsize bytes.
     """
 
@@ -50,6 +51,7 @@ class PieceEncoder:
         runs = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
         self.runs = {True: [r for r in runs if r.isascii()], False: runs}
         word, mark = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)", r"([.,!?;:%&*$#|()]*)"
+        self.controls = re.compile("[\x1c-\x1f]")
         self.plain = re.compile(rf"{word}{mark}(?:\n{word}{mark})?\Z")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
@@ -107,7 +109,7 @@ class PieceEncoder:
         out: list[bytes] = []
         cache, skip = self.cache, 1 if self.spaces_matter else 0
         for t in texts:
-            if skip and (t.startswith(" ") or any(map(t.__contains__, self.runs[t.isascii()]))):
+            if (t.startswith(" ") or any(map(t.__contains__, self.runs[t.isascii()]))) if skip else self.controls.search(t):
                 out.append(self.whole(t))
                 continue
             ps = t.split(" ") if skip else t.split()

@@ -48,6 +48,13 @@ def test_pieces_equal_whole_texts(spark, name, spaces):
     assert enc.batch(texts) == [enc.whole(t) for t in texts]
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_with_any_sign_between(name, spaces):
+    enc = encoder(name, spaces)
+    texts = ["a\x1cb c", "\x1d", "a \x1e b", "x\x1f\n y", "\x1c \x1d"] + [f"ab{chr(c)}cd {chr(c)} e" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    assert enc.batch(texts) == [enc.whole(t) for t in texts]
+
+
 def test_shards(spark):
     df, rows = frame(spark, ODD)
     manifest = sstable.write_shards(df, shards=3)
