@@ -3,7 +3,8 @@
 Categories are predicted one after another by logistic models over the words of a text; each
 model also reads the probabilities that the models before it gave. In training those
 probabilities are out-of-fold: the sample is cut into ``FOLDS`` by the least hash of a text's long
-words (texts that share it, such as copies and most near copies, count once), and each fold's probabilities come from a model that hasn't seen it.
+words (copies and most near copies share it), and each fold's probabilities come from a model that hasn't
+seen it. Texts with the same set of words and the same label count once; all others of the sample stay.
 The last link of the chain is the label ``toxic`` itself and decides.
 
 Labels of the earlier categories: a document labelled toxic has a category if it holds one of the
@@ -22,6 +23,7 @@ only, nothing is toxic and all probabilities are that share.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -168,12 +170,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
                 ws = sorted(words_of(t), key=lambda w: (zlib.crc32(w), w))
                 long = [w for w in ws if len(w) > 6]
                 key = zlib.crc32(long[0]) if long else zlib.crc32((t or "").encode())
-                out.append((i, b" ".join(sorted(tokens_of(set(ws)), key=lambda w: (zlib.crc32(w), w))[:WORDS_PER_DOC]), key, y))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32())], names=["label_id", "w", "key", "y"])
+                same = hashlib.blake2b(b" ".join(ws), digest_size=16).digest()
+                out.append((i, b" ".join(sorted(tokens_of(set(ws)), key=lambda w: (zlib.crc32(w), w))[:WORDS_PER_DOC]), key, same, y))
+            cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32())], names=["label_id", "w", "key", "same", "y"])
 
-    got = some.mapInArrow(read, "label_id long, w binary, key long, y int").toPandas().sort_values(["label_id", "key"])
-    got = got.drop_duplicates("key")  # copies, near ones too, would lend their words weight
+    got = some.mapInArrow(read, "label_id long, w binary, key long, same binary, y int").toPandas().sort_values(["label_id", "key", "same"])
+    got = got.drop_duplicates(["same", "y"])  # copies would lend their words weight
     sample = [(bytes(w), int(k) % FOLDS, int(y)) for w, k, y in zip(got.w, got.key, got.y, strict=True)]
     del got
     return fit_chain(sample)

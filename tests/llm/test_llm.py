@@ -345,6 +345,22 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), chain).collect() == []
 
 
+def test_toxicity_keeps_documents_that_share_a_word(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(500)]
+    common = min(("".join(rng.choice("klmnop") for _ in range(8)) for _ in range(100_000)), key=lambda w: zlib.crc32(w.encode()))
+    rows = [(i, " ".join([common, *rng.sample(words, 30), *(["idiot", "scum"] if i % 4 == 0 else [])])) for i in range(240)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]  # true copies count once
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda docs: seen.extend(docs) or fit(docs))
+    chain = toxicity.train(df, labels)
+    assert len(seen) == 240 and sum(y for *_, y in seen) == 60
+    assert all(r.toxic == (r.doc_id % 4 == 0) for r in toxicity.score(df, chain).collect())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
