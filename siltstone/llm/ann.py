@@ -6,7 +6,7 @@ floor((a.x + b) / w) with Gaussian a are more often equal the nearer two vectors
 tables take ``k`` such hashes each as their bucket. For each query and table the buckets that
 differ by at most one step in each hash are ordered by the probability that a neighbour at the
 expected distance lies there (the product of normal probabilities of the steps), and visited
-in that order until their sum reaches ``REACH``. Candidates of all tables are scored by inner
+in that order until their sum reaches ``REACH``; where it doesn't, steps of two and more are taken too. Candidates of all tables are scored by inner
 products in double precision of the vectors as given; a query's best are merged over tables.
 
 The expected distance of a query is that of its top-th neighbour as a sample of at most ``SAMPLE``
@@ -45,7 +45,6 @@ class Hashes:
         self.k, self.tables, self.w = k, tables, w
         self.a = rng.standard_normal((dim + 1, tables * k))
         self.b = rng.uniform(0, w, tables * k)
-        self.steps = np.array(list(itertools.product((-1, 0, 1), repeat=k)), np.int64)
 
     def _key(self, cell: np.ndarray, table: int) -> np.ndarray:
         key = np.full(cell.shape[:-1], table + 1, _U)
@@ -62,22 +61,33 @@ class Hashes:
         """For each query the buckets to visit, in order of their probability within each table."""
         place = (q @ self.a + self.b) / self.w
         cell = np.floor(place).astype(np.int64)
-        frac = place - cell
-        scale = (self.w / distance / math.sqrt(2))[:, None]
-        edges = np.stack([_erf((e - frac) * scale) for e in (-1, 0, 1, 2)])
-        p = (edges[1:] - edges[:-1]) / 2  # step -1, 0, 1 x query x hash
+        frac, spread = place - cell, distance / self.w
         out: list[list[np.ndarray]] = [[] for _ in q]
-        for t in range(self.tables):
-            s = slice(t * self.k, (t + 1) * self.k)
-            own = np.ones((len(q), len(self.steps)))
-            for j in range(self.k):
-                own *= p[self.steps[:, j] + 1, :, t * self.k + j].T
-            order = np.argsort(-own, axis=1, kind="stable")
-            gained = np.cumsum(np.take_along_axis(own, order, 1), 1)
-            n = (gained < reach).sum(1) + 1
-            for i in range(len(q)):
-                out[i].append(self._key(np.ascontiguousarray(cell[i, s] + self.steps[order[i, : n[i]]]), t))
-        return [np.concatenate(x) for x in out]
+        left = [(t, np.arange(len(q))) for t in range(self.tables)]
+        for far in itertools.count(1):
+            steps = np.array(list(itertools.product(range(-far, far + 1), repeat=self.k)), np.int64)
+            edges = np.stack([_erf((e - frac) / (spread * math.sqrt(2))[:, None]) for e in range(-far, far + 2)])
+            p = (edges[1:] - edges[:-1]) / 2  # step -far to far x query x hash
+            some = max(1, (1 << 21) // len(steps))
+            more: dict[int, list[np.ndarray]] = {}
+            for t, who in left:
+                s = slice(t * self.k, (t + 1) * self.k)
+                for at in range(0, len(who), some):
+                    w = who[at : at + some]
+                    own = np.ones((len(w), len(steps)))
+                    for j in range(self.k):
+                        own *= p[steps[:, j] + far][:, w, t * self.k + j].T
+                    # six deviations hold all that the normal probabilities can tell
+                    done = (own.sum(1) >= min(reach, 1 - 1e-6)) | (far >= 6 * spread[w] + 1)
+                    more.setdefault(t, []).append(w[~done])
+                    w, own = w[done], own[done]
+                    order = np.argsort(-own, axis=1, kind="stable")
+                    n = (np.cumsum(np.take_along_axis(own, order, 1), 1) < reach).sum(1) + 1
+                    for r, i in enumerate(w):
+                        out[i].append(self._key(np.ascontiguousarray(cell[i, s] + steps[order[r, : n[r]]]), t))
+            left = [(t, np.concatenate(w)) for t, w in more.items() if any(map(len, w))]
+            if not left:
+                return [np.concatenate(x) for x in out]
 
 
 def _erf(x: np.ndarray) -> np.ndarray:

@@ -199,6 +199,41 @@ def brute_repeats(docs, length=100):
     return out
 
 
+@pytest.mark.parametrize("distance", [0.9, 1.37, 1.6])
+def test_probes_reach_far_neighbours(distance):
+    rng = np.random.default_rng(4)
+    h = ann.Hashes(15, 6, tables=2, w=1.0)
+    q = rng.standard_normal((40, 16))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    probes = h.probes(q, np.full(40, distance), 0.3)
+    side = rng.standard_normal((200, 40, 16))
+    side -= (side * q).sum(2, keepdims=True) * q
+    side /= np.linalg.norm(side, axis=2, keepdims=True)
+    c = 1 - distance * distance / 2
+    near = c * q + np.sqrt(1 - c * c) * side  # at the distance that was asked for
+    found = [np.isin(h.buckets(near[:, i])[:, t], probes[i]).mean() for i in range(40) for t in range(2)]
+    assert np.mean(found) > 0.24
+
+
+def test_neighbours_beside_an_outlying_norm(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[17] *= 10
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), bucket=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, g in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(g & set(np.argsort(-s)[:20].tolist()))
+    recall = hits / (20 * 150)
+    print("recall beside an outlying norm", recall)
+    assert recall > 0.9
+
+
 def test_repeated_strings(spark):
     rng = random.Random(4)
     base = "".join(rng.choice("abcdé ") for _ in range(3000))
