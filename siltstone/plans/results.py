@@ -9,7 +9,7 @@ from ..operators import rank as R
 from ..operators import results as O
 from ..operators.nearhits import near_hits
 from .catalog import query, table
-from .search import DOCS
+from .search import DOCS, bm25_batch
 from .texts import STOPS, WORDS
 
 
@@ -125,13 +125,10 @@ def path_similarity(spark, d):
 
 @query()
 def leader_clusters(spark, d):
-    """Greedy clusters among each language's ten fullest documents by shared words."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    best = _docs(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 10")
-    q = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "fr", 2).when(F.col("lang") == "de", 3).otherwise(4).cast("long")
-    rows = best.select(q.alias("query_id"), F.col("doc_id").alias("id"), F.array_distinct(T.ascii_tokens(F.col("text"))).alias("tokens"))
+    """Greedy clusters by shared words within the five best hits that bm25_batch finds for each benchmark item."""
+    hits = bm25_batch(spark, d).select(F.col("query_id").cast("long").alias("query_id"), "doc_id")
+    docs = _docs(spark, d).select("doc_id", F.array_distinct(T.ascii_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    rows = hits.join(docs, "doc_id").select("query_id", F.col("doc_id").alias("id"), "tokens")
 
     def similar(a, b):
         x, y = set(a["tokens"]), set(b["tokens"])
