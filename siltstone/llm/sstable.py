@@ -19,6 +19,7 @@ and no rows.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import struct
 import uuid
 import zlib
@@ -68,7 +69,8 @@ def _read_varint(buf: bytes, at: int) -> tuple[int, int]:
 
 
 def _bloom_places(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+    b |= 1
     return [(a + k * b) % bits for k in range(BLOOM_HASHES)]
 
 

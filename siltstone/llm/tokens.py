@@ -32,7 +32,9 @@ class PieceEncoder:
     a text may be cut before each space (byte level: the space goes with the piece that
     follows; word level: white space is dropped). Runs of white space that hold a space
     behind other white space are the exception at byte level; such texts are encoded whole. So are,
-    at word level, texts with U+001C to U+001F, which str.split() drops and the tokenizer doesn't.
+    at word level, texts with U+001C to U+001F, which str.split() drops and the tokenizer doesn't,
+    and at both levels texts that hold the mark of an added token (``<|endoftext|>`` and the like),
+    which the tokenizer takes out before anything else and gives its own id.
     ids are little-endian unsigned integers of itemsize bytes.
     """
 
@@ -42,7 +44,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model = self.tok.model
         self.spaces_matter = spaces_matter
         self.itemsize = 2 if self.tok.get_vocab_size() <= 65536 else 4
@@ -51,7 +52,8 @@ class PieceEncoder:
         runs = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
         self.runs = {True: [r for r in runs if r.isascii()], False: runs}
         word, mark = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)", r"([.,!?;:%&*$#|()]*)"
-        self.controls = re.compile("[\x1c-\x1f]")
+        marks = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.apart = re.compile("|".join(marks + ([] if spaces_matter else ["[\x1c-\x1f]"])) or r"(?!)", re.I)
         self.plain = re.compile(rf"{word}{mark}(?:\n{word}{mark})?\Z")
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
@@ -109,7 +111,7 @@ class PieceEncoder:
         out: list[bytes] = []
         cache, skip = self.cache, 1 if self.spaces_matter else 0
         for t in texts:
-            if (t.startswith(" ") or any(map(t.__contains__, self.runs[t.isascii()]))) if skip else self.controls.search(t):
+            if self.apart.search(t) or (skip and (t.startswith(" ") or any(map(t.__contains__, self.runs[t.isascii()])))):
                 out.append(self.whole(t))
                 continue
             ps = t.split(" ") if skip else t.split()

@@ -32,7 +32,6 @@ def ids_of(text, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -55,6 +54,31 @@ def test_pieces_with_any_sign_between(name, spaces):
     assert enc.batch(texts) == [enc.whole(t) for t in texts]
 
 
+SIGNS = [chr(c) for c in [*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, 0x2003, 0x2028, 0x200B, 0x200D, 0x3000, 0xFEFF]]
+SIGNS += ["\u0301", "e\u0301", "\u1100\u1161", "\u00c5", "\u212b", "\u00df", "\u0130", "\u03a3", "\u00bd", "\u0663", "\u65e5", "\U0001f600", "\U0001f468\u200d\U0001f469", "'s", "'Re", "don't"]
+SIGNS += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "word", " a", "ab.c", "  ", "\r\n", "Hello"]
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_any_text_equals_the_plain_tokenizer(name, spaces):
+    from tokenizers import Tokenizer
+
+    rng, enc, plain = random.Random(11), encoder(name, spaces), Tokenizer.from_file(vocabulary_path(name))
+    texts = ["".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, f"<u{enc.itemsize}").tobytes() for t in texts]
+    assert enc.batch(texts) == want
+
+
+def test_bloom_lets_few_strange_keys_pass(tmp_path):
+    w = sstable.Writer(open(tmp_path / "b.sst", "wb"), 2)  # noqa: SIM115
+    for i in range(5000):
+        w.add(sstable.key_of(i), b"")
+    w.close()
+    r = sstable.Reader(f"file://{tmp_path}/b.sst")
+    passed = sum(all(r.bloom[p >> 3] >> (p & 7) & 1 for p in sstable._bloom_places(sstable.key_of(i), r.bits)) for i in range(5000, 45_000))
+    assert passed < 0.012 * 40_000
+
+
 def test_shards(spark):
     df, rows = frame(spark, ODD)
     manifest = sstable.write_shards(df, shards=3)
