@@ -23,6 +23,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_warc_segments": warc.ORACLE,
     "op5_winnowed_line_dedup": linededup.ORACLE,
+    "op6_multiprobe_neighbours": ann.ORACLE,
     "op8_suffix_array_decontamination": decontam.ORACLE,
     "op10_tensored_near_duplicates": neardup.ORACLE,
 }

@@ -208,6 +208,50 @@ def test_neighbours(spark):
     assert few.count() == 3
 
 
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(16 if i < 400 else 17 if i < 403 else 3).tolist()) for i in range(440)]
+    rows += [(0, [9.0] * 16), (20, [-9.0] * 17), (1000, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    by_id: dict = {}
+    for i, v in rows:
+        by_id.setdefault(i, []).append(v)
+    assert set(got) == set(range(0, 440, 20)) and len(got[400]) == 3  # two of its length and the row that repeats 20
+    asked = {q: min(v) for q, v in by_id.items()}  # of several vectors under an id the least is asked for
+    hits = 0
+    for q, g in got.items():
+        best: dict = {}
+        for i, vs in by_id.items():
+            for v in vs:
+                if i != q and len(v) == len(asked[q]):
+                    best[i] = max(best.get(i, -np.inf), float(np.dot(v, asked[q])))
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        hits += len(set(g) & set(want)) / len(want)
+    assert hits >= 0.95 * len(got)
+
+
+def test_candidates_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    n = 40_000
+    centre = rng.standard_normal((n // 100, 64))
+    centre /= np.linalg.norm(centre, axis=1)[:, None]
+    x = centre[rng.integers(0, len(centre), n)] + rng.standard_normal((n, 64)) * 0.04
+    y = x / np.linalg.norm(x, axis=1).max()
+    y = np.concatenate([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1)))[:, None]], 1)
+    h = ann.Hashes(64, ann.hashes_for(n, 128))
+    keys, who = h.buckets(y), np.arange(0, n, n // 40)
+    q = np.concatenate([x[who] / np.linalg.norm(x[who], axis=1)[:, None], np.zeros((len(who), 1))], 1)
+    near = q @ y.T
+    near[np.arange(len(who)), who] = -9
+    true = np.argsort(-near, axis=1)[:, :20]
+    far = np.sqrt(2 - 2 * np.take_along_axis(near, true, 1)[:, -1])
+    seen = [np.isin(keys, p).any(1) for p in h.probes(q, far, ann.REACH)]
+    assert np.mean([m[t].mean() for m, t in zip(seen, true, strict=True)]) > 0.9 and np.mean(seen) < 0.15
+
+
 def brute_repeats(docs, length=100):
     seen, out = set(), []
     for i, t in docs:
