@@ -2,16 +2,22 @@
 
 A page is read as a sequence of leaf blocks: text between block-level tags, without scripts,
 styles and comments of the markup. Each block becomes a vector: hashed tags, classes and
-identifiers of its path, hashed words, its share of link text, its length, its punctuation.
-A bidirectional LSTM in numpy reads the whole sequence, so a block is labelled in the light
-of everything before and behind it; a logistic unit says whether it belongs to the article.
-
-The labeller is trained on the driver on at most ``SAMPLE`` different pages (those with the smallest
-hash of their html; at most ``TRAIN_BLOCKS`` blocks of each). Their labels come from the meaning of
-tags and class names (``taught``); copies of each page with other containers, and with
+identifiers of its whole path (each distinct name once, however far up), hashed words, its share of
+link text, its length, its punctuation. A bidirectional LSTM in numpy reads the sequence, so a block
+is labelled in the light of what stands before and behind it; a logistic unit says whether it
+belongs to the article. A page beyond ``STRETCH`` blocks is read in stretches of that length that
+overlap by twice ``MARGIN``; each block's label comes from the stretch in which it lies further inside.
+
+The labeller is trained on the driver on ``SAMPLE`` stretches of at most ``TRAIN_BLOCKS`` blocks, cut from
+all parts of at most ``SAMPLE`` different pages (those with the smallest hash of their html; of their
+stretches those with the smallest hash); executors turn them into vectors, so that the driver's memory doesn't depend
+on the length of pages. Their labels come from the meaning of
+tags and class names (``taught``); ``COPIES`` of each stretch with other containers, and with
 sidebars, notices, adverts, forms and reader comments put in, widen what it has seen.
 Extraction reads whole pages and labels every block.
 
+Elements share their path (a node with its parent), so deep nesting costs a node for each element.
+
 Defined results: null or empty html has an empty text; broken markup is read as far as it goes (a
 tag that the end cuts off is dropped, an incomplete character reference stays as text);
 pages that repeat are answered each; an empty table gives no rows.
@@ -19,6 +25,7 @@ pages that repeat are answered each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 import zlib
@@ -31,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import chunked, rows
 from .texthash import SOLID, words
 
-SAMPLE, TRAIN_BLOCKS, HIDDEN, EPOCHS = 192, 160, 16, 14
-PATH_DIM, WORD_DIM, OTHER_DIM = 48, 16, 5
+SAMPLE, TRAIN_BLOCKS, HIDDEN, EPOCHS, STRETCH, MARGIN, DROP, DECAY = 192, 160, 16, 14, 2048, 128, 0.1, 0.01
+PATH_DIM, WORD_DIM, OTHER_DIM, COPIES = 96, 16, 5, 6
 INPUT = PATH_DIM + WORD_DIM + OTHER_DIM
 
 #: Names of HTML.
@@ -51,13 +58,56 @@ MAIN_NAME = re.compile(r"(?:^|[-_.#])(?:article|content|entry|main|post|story|bo
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)(?:>|\Z))", re.S)
 _NAME = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
 
-Block = tuple  # path (names, outermost first), text, share of link text
+
+
+def _add(x: np.ndarray, name: str) -> None:
+    """Adds a name to two places of x, so that names that share one can be told apart by the other."""
+    h = int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    x[h % PATH_DIM] += 1.0 if h >> 40 & 1 else -1.0
+    x[(h >> 16) % PATH_DIM] += 1.0 if h >> 41 & 1 else -1.0
+
+
+class Path:
+    """An element within its parents: hashed names, and what the names mean. ``held`` counts the names of a way down."""
+
+    __slots__ = ("boiler", "inside", "main_name", "main_tag", "own", "whole")
+
+    def __init__(self, up: Path | None, names: list[str], held: dict[str, int]):
+        self.whole = up.whole.copy() if up else np.zeros(PATH_DIM, np.float32)
+        self.own = np.zeros(PATH_DIM, np.float32)
+        self.boiler, self.inside = (up.boiler, up.inside) if up else (False, False)
+        self.main_tag, self.main_name = (up.main_tag, up.main_name) if up else (False, False)
+        for n in names:
+            for part in (n, *(re.split("[-_]+", n[1:]) if n[0] in ".#" else ())):
+                if not held.get(part):
+                    _add(self.whole, part)
+                held[part] = held.get(part, 0) + 1
+            _add(self.own, "leaf" + n)
+            main = n in ("article", "main", "@main")
+            self.inside |= main
+            self.main_tag |= main
+            named = n[0] in ".#"
+            self.main_name |= bool(named and MAIN_NAME.search(n))
+            self.boiler |= n in BOILER_TAGS or (n == "header" and not self.inside) or n in ("@navigation", "@banner", "@contentinfo", "@complementary", "@search") or bool(named and BOILER_NAME.search(n))
+
+    @staticmethod
+    def of(*elements: list[str]) -> Path:
+        """The path of elements, each a list of its names, outermost first."""
+        path, held = None, {}
+        for names in elements:
+            path = Path(path, names, held)
+        return path
+
+
+Block = tuple  # path (None outside all elements), tag, text, share of link text
 
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order; their text is decoded and its white space folded."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, list[str], Path]] = []
+    held: dict[str, int] = {}
+    deep: dict[str, list[int]] = {}  # of each tag the places in the stack
     text: list[str] = []
     linked = link = at = 0
 
@@ -66,19 +116,25 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
-                out.append((tuple(n for _, names in stack for n in names), whole, min(1.0, linked / len(whole))))
+                out.append((stack[-1][2] if stack else None, stack[-1][0] if stack else "", whole, min(1.0, linked / len(whole))))
             text.clear()
         linked = 0
 
-    def pop(tags: str | tuple, below: frozenset = frozenset()):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                close()
-                del stack[k:]
-                return
-            if stack[k][0] in below:
-                return
-
+    def cut(k: int):
+        while len(stack) > k:
+            tag, names, _ = stack.pop()
+            deep[tag].pop()
+            for n in names:
+                for part in (n, *(re.split("[-_]+", n[1:]) if n[0] in ".#" else ())):
+                    held[part] -= 1
+
+    def pop(tags: tuple, below: frozenset = frozenset()):
+        at = max((deep[t][-1] for t in tags if deep.get(t)), default=-1)
+        if at >= 0 and not any(deep.get(t) and deep[t][-1] > at for t in below):
+            close()
+            cut(at)
+
+    ends: dict[str, re.Pattern] = {}
     size = len(page)
     while at < size:
         m = _TAG.search(page, at)
@@ -96,9 +152,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if tag in RAW_TAGS:
-            if not m[1] and not m[3].endswith("/"):
-                ends = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = ends.end() if ends else size
+            if not m[1] and not (tag == "svg" and m[3].endswith("/")):  # only markup of other languages closes itself
+                if tag not in ends:
+                    ends[tag] = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+                e = ends[tag].search(page, at)
+                at = e.end() if e else size
             continue
         if tag == "a":
             link = 0 if m[1] else 1
@@ -116,73 +174,54 @@ def blocks_of(page: str) -> list[Block]:
             continue
         link = 0
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_ITSELF:
             pop(tuple(CLOSES_ITSELF[tag].split()), frozenset(("ul", "ol", "dl", "table", "select")))
         names = [tag]
         if m[3]:
             for kind, a, b, c in _NAME.findall(m[3]):
                 mark = {"class": ".", "id": "#", "role": "@"}[kind.lower()]
-                names += [mark + x for x in (a or b or c).lower().split()[:8]]
-        stack.append((tag, tuple(names)))
+                names += [mark + x for x in (a or b or c).lower().split()]
+        deep.setdefault(tag, []).append(len(stack))
+        stack.append((tag, names, Path(stack[-1][2] if stack else None, names, held)))
     close()
     return out
 
 
 def taught(blocks: list[Block]) -> list[bool]:
     """Labels from the meaning of tags and names, for training."""
-
-    def boiler(path):
-        inside = False
-        for n in path:
-            inside |= n in ("article", "main") or n == "@main"
-            if n in BOILER_TAGS or (n == "header" and not inside) or n in ("@navigation", "@banner", "@contentinfo", "@complementary", "@search"):
-                return True
-            if n[0] in ".#" and BOILER_NAME.search(n):
-                return True
-        return False
-
-    good = [not boiler(p) for p, *_ in blocks]
-    for test in (lambda n: n in ("article", "main", "@main"), lambda n: n[0] in ".#" and MAIN_NAME.search(n)):
-        inside = [g and any(test(n) for n in p) for g, (p, *_) in zip(good, blocks, strict=True)]
+    good = [p is None or not p.boiler for p, *_ in blocks]
+    for test in (lambda p: p.main_tag, lambda p: p.main_name):
+        inside = [g and p is not None and test(p) for g, (p, *_) in zip(good, blocks, strict=True)]
         if any(inside):
             return inside
     return good
 
 
-def vectors(pages: list[list[Block]]) -> np.ndarray:
-    """A row for each block of all pages."""
-    flat = [b for p in pages for b in p]
-    x = np.zeros((len(flat), INPUT), np.float32)
-    if not flat:
+def vectors(blocks: list[Block]) -> np.ndarray:
+    """A row for each block."""
+    x = np.zeros((len(blocks), INPUT), np.float32)
+    if not blocks:
         return x
-    seen: dict[tuple, np.ndarray] = {}
-    for k, (path, text, link) in enumerate(flat):
-        row = seen.get(path)
-        if row is None:
-            row = np.zeros(PATH_DIM, np.float32)
-            for depth, n in enumerate(reversed(path[-12:])):
-                h = zlib.crc32(n.encode())
-                row[h % PATH_DIM] += 1.0 if h & 1 << 20 else -1.0
-                if depth < 2:
-                    h = zlib.crc32(b"leaf" + n.encode())
-                    row[h % PATH_DIM] += 1.0 if h & 1 << 20 else -1.0
-            if len(seen) < 50_000:
-                seen[path] = row
-        x[k, :PATH_DIM] = row
+    for k, (path, _, text, link) in enumerate(blocks):
+        if path is not None:
+            x[k, :PATH_DIM] = path.whole + path.own
         n = len(text)
         x[k, -5:] = (link, min(1.0, n / 400), np.log1p(n) / 8, (text.count(".") + text.count(",")) / n, text[-1] in ".!?:;")
-    h, at = words([t for _, t, _ in flat], SOLID, b" ")
+    # many names on a way count by their square root, so that deep pages stay in the range that training has seen
+    length = np.abs(x[:, :PATH_DIM]).sum(1, keepdims=True)
+    x[:, :PATH_DIM] *= np.sqrt(24 / np.maximum(length, 24))
+    h, at = words([t for *_, t, _ in blocks], SOLID, b" ")
     slot = (h >> np.uint64(40)).astype(np.int64)
     sign = np.where(slot & 1 << 20, 1.0, -1.0)
-    row = np.repeat(np.arange(len(flat)), np.diff(at))
-    bag = np.bincount(row * WORD_DIM + slot % WORD_DIM, sign, len(flat) * WORD_DIM).reshape(-1, WORD_DIM)
+    row = np.repeat(np.arange(len(blocks)), np.diff(at))
+    bag = np.bincount(row * WORD_DIM + slot % WORD_DIM, sign, len(blocks) * WORD_DIM).reshape(-1, WORD_DIM)
     x[:, PATH_DIM : PATH_DIM + WORD_DIM] = bag / np.sqrt(np.maximum(1, np.diff(at)))[:, None]
     return x
 
 
 class BiLSTM:
-    """Two LSTMs, one from each end, and a logistic unit on both states."""
+    """Two LSTMs, one from each end, and a logistic unit on both states and the block itself."""
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -192,7 +231,7 @@ class BiLSTM:
             bias = np.zeros(4 * HIDDEN, np.float32)
             bias[HIDDEN : 2 * HIDDEN] = 1
             self.p[f"{d}b"] = bias
-        self.p["ow"] = rng.standard_normal((2 * HIDDEN, 1)).astype(np.float32) * 0.2
+        self.p["ow"] = rng.standard_normal((2 * HIDDEN + INPUT, 1)).astype(np.float32) * 0.2
         self.p["ob"] = np.zeros(1, np.float32)
 
     @staticmethod
@@ -222,16 +261,16 @@ class BiLSTM:
         return out
 
     def predict(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, d, None) for d in "fb"], 2)
+        both = np.concatenate([*(self._run(x, mask, d, None) for d in "fb"), x], 2)
         return self._gate(both @ self.p["ow"] + self.p["ob"])[..., 0]
 
     def learn(self, x, mask, y, state: dict, rate: float) -> None:
         """A step of Adam on the mean cross-entropy."""
         kept: dict[str, list] = {"f": [], "b": []}
-        both = np.concatenate([self._run(x, mask, d, kept[d]) for d in "fb"], 2)
+        both = np.concatenate([*(self._run(x, mask, d, kept[d]) for d in "fb"), x], 2)
         p = self._gate(both @ self.p["ow"] + self.p["ob"])
         dz = (p - y[..., None]) * mask / max(1.0, float(mask.sum()))
-        grad = {"ow": both.reshape(-1, 2 * HIDDEN).T @ dz.reshape(-1, 1), "ob": dz.sum((0, 1))}
+        grad = {"ow": both.reshape(-1, 2 * HIDDEN + INPUT).T @ dz.reshape(-1, 1), "ob": dz.sum((0, 1))}
         back = dz @ self.p["ow"].T
         for n, d in enumerate("fb"):
             w = self.p[f"{d}w"]
@@ -256,7 +295,7 @@ class BiLSTM:
             m, v = state.get(k, (0.0, 0.0))
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             state[k] = m, v
-            self.p[k] = (self.p[k] - rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
+            self.p[k] = (self.p[k] - rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8) - rate * DECAY * self.p[k]).astype(np.float32)
 
 
 def padded(x: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -276,88 +315,161 @@ _AROUND = [
     ("form",), ("form", "p"), ("form", "label"), ("section", ".comments", "p"), ("div", "#comments", "div", ".comment", "p"), ("ol", ".comments", "li"), ("div", ".comment"), ("div", ".related", "ul", "li"), ("footer", "p"), ("footer",), ("div", ".footer"), ("nav", "ul", "li"), ("ul", ".menu", "li"), ("div", ".newsletter", "p"), ("div", ".share"), ("div", ".banner"), ("div", ".promo"),
 ]
 
+_LEAVES = [("h1",), ("h2",), ("h3",), ("p",), ("ul", "li"), ("ol", "li"), ("table", "tr", "td"), ("table", "tbody", "tr", "th"), ("dl", "dt"), ("dl", "dd"), ("blockquote",), ("blockquote", "p"), ("pre",), ("figure", "figcaption"), ("section", "p"), ("section", "h2")]
+
+
+def _elements(names: tuple[str, ...]) -> list[list[str]]:
+    out: list[list[str]] = []
+    for n in names:
+        if n[0] in ".#@":
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return out
+
 
 def _widen(blocks: list[Block], labels: list[bool], rng) -> tuple[list[Block], list[bool]]:
     home = _HOMES[rng.integers(len(_HOMES))]
+    # some pages wrap everything in containers that say nothing
+    wrap = ("html", "body", *[x for _ in range(rng.integers(0, 5)) for x in ("div", f".{'abcdefgh'[rng.integers(8)]}{rng.integers(100)}")])
     out, ys = [], []
-    texts = [t for _, t, _ in blocks]
+    texts = [t for *_, t, _ in blocks]
 
     def around(prefix):
         where = _AROUND[rng.integers(len(_AROUND))]
+        deeper = ("div",) * int(rng.integers(0, 3))
         for _ in range(rng.integers(1, 6 if where[-1] == "li" else 4)):
             ws = " ".join(texts[rng.integers(len(texts))].split()[: int(rng.choice([2, 6, 15, 60]))])
             if ws:
-                out.append((("html", "body", *prefix, *where), ws, float(rng.random() < 0.4 and where[-1] == "li")))
+                out.append((Path.of(*_elements((*wrap, *prefix, *where, *deeper))), where[-1], ws, float(rng.random() < 0.4 and where[-1] == "li")))
                 ys.append(False)
 
     for _ in range(rng.integers(0, 3)):
         around(())
-    for (path, text, link), y in zip(blocks, labels, strict=True):
+    for (path, tag, text, link), y in zip(blocks, labels, strict=True):
         if y:
-            out.append((("html", "body", *home, path[-1] if path and path[-1][0] not in ".#@" and path[-1] not in ("article", "main") else "p"), text, link))
-            if rng.random() < 0.06:
+            leaf = _LEAVES[rng.integers(len(_LEAVES))] if rng.random() < 0.3 else (tag if tag and tag not in ("article", "main") else "p",)
+            out.append((Path.of(*_elements((*wrap, *home, *leaf))), leaf[-1], text, link))
+            if rng.random() < 0.3:
                 ys.append(True)
                 around(home)
                 continue
         else:
-            out.append((path, text, link))
+            out.append((path, tag, text, link))
         ys.append(y)
     for _ in range(rng.integers(0, 3)):
         around(())
     return out, ys
 
 
-def train_labeller(pages: list[str], epochs: int = EPOCHS, seed: int = 5) -> BiLSTM:
+Lesson = tuple  # vectors of a stretch of blocks, their labels
+
+
+def lessons_of(page: str, seed: int = 5) -> list[list[Lesson]]:
+    """The stretches of a page, each with its widened copies, as vectors and labels."""
+    blocks = blocks_of(page)
+    labels, out = taught(blocks), []
+    rng = np.random.default_rng([seed, zlib.crc32(page.encode("utf-8", "surrogatepass"))])
+    for at in range(0, len(blocks), TRAIN_BLOCKS):
+        b, y = blocks[at : at + TRAIN_BLOCKS], labels[at : at + TRAIN_BLOCKS]
+        some = [(b, y)] + ([_widen(b, y, rng) for _ in range(COPIES)] if any(y) else [])
+        out.append([(vectors(bs), np.array(ys, bool)) for bs, ys in some])
+    return out
+
+
+def train_labeller(lessons: list[Lesson], epochs: int = EPOCHS, seed: int = 5) -> BiLSTM:
     rng = np.random.default_rng(seed)
-    data = []
-    for page in pages:
-        b = blocks_of(page)[:TRAIN_BLOCKS]
-        if b:
-            y = taught(b)
-            data.append((b, y))
-            if any(y):
-                data += [_widen(b, y, rng), _widen(b, y, rng)]
     net, state = BiLSTM(seed), {}
-    data.sort(key=lambda d: len(d[0]))
-    groups = [data[k : k + 24] for k in range(0, len(data), 24)]
+    data = sorted((d for d in lessons if len(d[0])), key=lambda d: len(d[0]))
     ready = []
-    for g in groups:
-        x, mask = padded(vectors([b for b, _ in g]), [len(b) for b, _ in g])
+    for group in (data[k : k + 24] for k in range(0, len(data), 24)):
+        x, mask = padded(np.concatenate([v for v, _ in group]), [len(v) for v, _ in group])
         y = np.zeros(mask.shape[:2], np.float32)
-        for k, (_, ls) in enumerate(g):
+        for k, (_, ls) in enumerate(group):
             y[: len(ls), k] = ls
         ready.append((x, mask, y))
     for e in range(epochs):
         for k in rng.permutation(len(ready)):
-            net.learn(*ready[k], state, 0.02 * 0.85**e)
+            x, mask, y = ready[k]
+            seen = rng.random((*x.shape[:2], INPUT), np.float32) >= DROP  # no single name or word may decide
+            net.learn(x * seen / (1 - DROP), mask, y, state, 0.02 * 0.85**e)
     return net
 
 
+def _stretches(n: int) -> list[tuple[int, int, int, int]]:
+    """(begin, end, from, to): blocks begin..end are read together and tell the labels of from..to."""
+    if n <= STRETCH:
+        return [(0, n, 0, n)]
+    step = STRETCH - 2 * MARGIN
+    out = []
+    for at in range(0, n - 2 * MARGIN, step):
+        end = min(n, at + STRETCH)
+        out.append((at, end, at + MARGIN if at else 0, end if end == n else end - MARGIN))
+        if end == n:
+            break
+    return out
+
+
+def label_pages(blocks: list[list[Block]], net: BiLSTM) -> list[np.ndarray]:
+    """For each page the probability of each block that it belongs to the article.
+
+    Stretches of similar length are read together; a group times its longest stretch is bounded."""
+    out = [np.zeros(len(b), np.float32) for b in blocks]
+    jobs = sorted(((k, *s) for k, b in enumerate(blocks) if b for s in _stretches(len(b))), key=lambda j: j[2] - j[1])
+    at = 0
+    while at < len(jobs):
+        end = at + 1
+        while end < len(jobs) and (end + 1 - at) * (jobs[end][2] - jobs[end][1]) <= 2 * STRETCH:
+            end += 1
+        group = jobs[at:end]
+        at = end
+        flat = [x for k, a, b, *_ in group for x in blocks[k][a:b]]
+        p = net.predict(*padded(vectors(flat), [b - a for _, a, b, *_ in group]))
+        for col, (k, a, _, lo, hi) in enumerate(group):
+            out[k][lo:hi] = p[lo - a : hi - a, col]
+    return out
+
+
 def extract(pages: list[str | None], net: BiLSTM) -> list[str]:
     """Texts of pages: the blocks that the labeller takes for the article, joined by empty lines."""
     blocks = [blocks_of(p or "") for p in pages]
-    out = [""] * len(pages)
-    full = sorted((k for k, b in enumerate(blocks) if b), key=lambda k: len(blocks[k]))
-    for group in chunked(full, lambda k: len(blocks[k]), 4096):
-        x, mask = padded(vectors([blocks[k] for k in group]), [len(blocks[k]) for k in group])
-        p = net.predict(x, mask)
-        for col, k in enumerate(group):
-            out[k] = "\n\n".join(t for (_, t, _), q in zip(blocks[k], p[:, col], strict=False) if q >= 0.5)
-    return out
+    return ["\n\n".join(t for (*_, t, _), q in zip(b, p, strict=True) if q >= 0.5) for b, p in zip(blocks, label_pages(blocks, net), strict=True)]
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """For each row of ``pages(page_id, url, html)``: page_id, url, text, n_chars."""
+def train_on(pages: DataFrame) -> BiLSTM:
+    """A labeller from the sample of ``pages(html)``; a stretch comes to the driver as a few tens of KB of half floats."""
     html = F.col("html").cast("string")
     hashed = pages.where("html is not null").select(F.xxhash64(html).alias("h"), html.alias("html"))
     least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE).collect()]
-    some = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h") if least else None
-    net = train_labeller([r.html for r in some.collect()] if least else [])
+    if not least:
+        return train_labeller([])
+    some = hashed.where(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html"))
+
+    def teach(batches):
+        for h, page in rows(batches, "h", "html"):
+            for n, stretch in enumerate(lessons_of(page)):
+                x = [v.astype(np.float16).tobytes() for v, _ in stretch]
+                y = [np.packbits(ls).tobytes() for _, ls in stretch]
+                yield pa.record_batch([pa.array([h]), pa.array([n]), pa.array([x], pa.list_(pa.binary())), pa.array([y], pa.list_(pa.binary()))], names=["h", "n", "x", "y"])
+
+    taken = some.mapInArrow(teach, "h long, n long, x array<binary>, y array<binary>").orderBy(F.xxhash64("h", "n"), "h", "n").limit(SAMPLE).collect()
+    lessons = []
+    for r in taken:
+        for x, y in zip(r.x, r.y, strict=True):
+            v = np.frombuffer(x, np.float16).reshape(-1, INPUT).astype(np.float32)
+            lessons.append((v, np.unpackbits(np.frombuffer(y, np.uint8))[: len(v)].astype(bool)))
+    return train_labeller(lessons)
+
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """For each row of ``pages(page_id, url, html)``: page_id, url, text, n_chars."""
+    html = F.col("html").cast("string")
+    net = train_on(pages)
 
     def run(batches):
         for b in batches:
             at = 0
-            for part in chunked(rows([b], "html"), lambda r: len(r[0] or "") + 200, 2 << 20):
+            for part in chunked(rows([b], "html"), lambda r: len(r[0] or "") + 200, 1 << 20):
                 own = b.slice(at, len(part))
                 at += len(part)
                 texts = extract([h for (h,) in part], net)
