@@ -10,11 +10,11 @@ The last link of the chain is the label ``toxic`` itself and decides.
 Labels of the earlier categories: a document labelled toxic has a category if it holds one of the
 category's seed words. The models themselves learn their words from the sample.
 
-Fitting uses at most ``SAMPLE`` labelled documents, those with the smallest hash of their
-identifier, and at most ``WORDS_PER_DOC`` distinct tokens of each (smallest hash first); tokens are
-words and their beginnings. The tokens that the models read are chosen from it by a chi-squared test against each category.
-Scoring reads every word of every document. Only the model (``FEATURES`` words at most) goes
-to the executors.
+Fitting uses the labelled documents with the smallest hash of their identifier, and of their different
+texts at most ``SAMPLE``; every word of them counts. Tokens are words and their beginnings. They are counted on the
+executors by category; the ``FEATURES`` tokens that the models read are chosen from these counts by a chi-squared
+test against each category. Only a row of ``FEATURES`` bits for each text of the sample goes to the driver, which
+fits the models; scoring reads every word of every document, and only the model goes to the executors.
 
 Defined results: a null or empty text has only the models' intercepts; labels that are null are not
 used; documents that repeat are scored each; without any labels, or with labels of one kind
@@ -25,16 +25,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
+from .common import chunked, rows, written
 
-SAMPLE, WORDS_PER_DOC, FEATURES, FOLDS, CHI2, SUPPORT, THRESHOLD = 12_000, 3_000, 256, 5, 30.0, 4, 0.5
+SAMPLE, FEATURES, FOLDS, CHI2, SUPPORT, THRESHOLD = 12_000, 256, 5, 30.0, 4, 0.5
 STEMS = (4, 5, 6)
 #: Seed words of the categories, in the order of the chain.
 SEEDS = {
@@ -102,42 +101,27 @@ class Chain:
         return x
 
 
-def fit_chain(docs: list[tuple[bytes, int, int]]) -> Chain:
-    """From (distinct tokens with spaces between, fold, toxic) of each labelled document."""
-    n = len(docs)
-    toxic = np.array([t for *_, t in docs], float)
-    y = [toxic * np.array([not {*s}.isdisjoint(w.split()) for w, *_ in docs], float) for s in SEEDS.values()] + [toxic] if n else []
-    held = Counter()  # only tokens of toxic documents can speak for a category
-    for w, _, t in docs:
-        if t:
-            held.update(w.split())
-    often = {w: 0 for w, c in held.items() if 2 * c >= SUPPORT}
-    counts = {w: np.zeros(len(CHAIN)) for w in often}
-    for i, (ws, *_) in enumerate(docs):
-        row = np.array([v[i] for v in y])
-        for w in often.keys() & ws.split():
-            often[w] += 1
-            if row.any():
-                counts[w] += row
+def choose(counts: list[tuple], total: list[int], n: int) -> dict[bytes, int]:
+    """Columns of the tokens that speak most for a category.
+
+    counts: (token, documents that hold it, those of them in each category); total: documents in each category."""
     best: list[tuple[float, bytes]] = []
-    for w, c in counts.items():
-        if often[w] >= SUPPORT and c[-1] >= 0.5 * often[w]:  # words that speak for a category
-            m, score = often[w], 0.0
-            for k, v in enumerate(y):
-                total = v.sum()
-                if 0 < total < n and c[k] * n > m * total and m < n:
-                    score = max(score, n * (c[k] * n - m * total) ** 2 / (m * (n - m) * total * (n - total)))
-            if score >= CHI2:
-                best.append((-score, w))
-    vocabulary = {w: k for k, (_, w) in enumerate(sorted(best)[:FEATURES])}
-    x = np.zeros((n, len(vocabulary)))
-    for i, (ws, *_) in enumerate(docs):
-        for w in vocabulary.keys() & set(ws.split()):
-            x[i, vocabulary[w]] = 1
-    fold = np.array([f for _, f, _ in docs], int)
+    for w, m, *c in counts:
+        score = 0.0
+        for have, of in zip(c, total, strict=True):
+            if 0 < of < n and have * n > m * of and m < n:
+                score = max(score, n * (have * n - m * of) ** 2 / (m * (n - m) * of * (n - of)))
+        if score >= CHI2:
+            best.append((-score, w))
+    return {w: k for k, (_, w) in enumerate(sorted(best)[:FEATURES])}
+
+
+def fit_chain(vocabulary: dict[bytes, int], x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Chain, np.ndarray]:
+    """The chain from features, labels of each link and folds; and the out-of-fold probabilities that its links read."""
+    n = len(x)
     weights, held = [], np.zeros((n, 0))
     for k in range(len(CHAIN)):
-        target = y[k] if n else np.zeros(0)
+        target = y[:, k]
         both = np.concatenate([x, held], 1)
         if not n or not 0 < target.sum() < n:
             w = np.zeros(both.shape[1] + 1)
@@ -154,32 +138,84 @@ def fit_chain(docs: list[tuple[bytes, int, int]]) -> Chain:
                 w = _fit(both[rest], target[rest])
                 own[out] = _sigmoid(both[out] @ w[:-1] + w[-1])
         held = np.concatenate([held, own[:, None]], 1)
-    return Chain(vocabulary, weights)
+    return Chain(vocabulary, weights), held
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    """The labelled sample is drawn on the executors; its distinct words come to the driver."""
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+def sample_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Different labelled texts: t, y (bits of the categories), fold; written."""
+    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("label_id"), "label_id").limit(SAMPLE)
     some = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("t")).join(F.broadcast(chosen), "label_id")  # at most SAMPLE rows of two numbers
 
     def read(batches):
-        for b in batches:
+        for part in chunked(rows(batches, "label_id", "t", "toxic"), lambda r: len(r[1] or "") + 200, 4 << 20):
             out = []
-            for i, t, y in rows([b], "label_id", "t", "y"):
+            for i, t, toxic in part:
                 ws = sorted(words_of(t), key=lambda w: (zlib.crc32(w), w))
                 long = [w for w in ws if len(w) > 6]
-                key = zlib.crc32(long[0]) if long else zlib.crc32((t or "").encode())
-                same = hashlib.blake2b(b" ".join(ws), digest_size=16).digest()
-                out.append((i, b" ".join(sorted(tokens_of(set(ws)), key=lambda w: (zlib.crc32(w), w))[:WORDS_PER_DOC]), key, same, y))
-            cols = list(zip(*out, strict=True)) or [[], [], [], [], []]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.int32())], names=["label_id", "w", "key", "same", "y"])
-
-    got = some.mapInArrow(read, "label_id long, w binary, key long, same binary, y int").toPandas().sort_values(["label_id", "key", "same"])
-    got = got.drop_duplicates(["same", "y"])  # copies would lend their words weight
-    sample = [(bytes(w), int(k) % FOLDS, int(y)) for w, k, y in zip(got.w, got.key, got.y, strict=True)]
-    del got
-    return fit_chain(sample)
+                fold = zlib.crc32(long[0] if long else b" ".join(ws)) % FOLDS
+                kinds = [toxic and any(s in ws for s in SEEDS[k]) for k in SEEDS] + [toxic]
+                out.append((i, t, sum(bool(v) << k for k, v in enumerate(kinds)), fold, hashlib.blake2b(b" ".join(ws), digest_size=16).digest()))
+            cols = list(zip(*out, strict=True))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["label_id", "t", "y", "fold", "same"])
+
+    got = some.mapInArrow(read, "label_id long, t string, y int, fold int, same binary")
+    # texts with the same words and labels count once (their words and fold are the same); one row a group travels on
+    got = got.groupBy("same", "y").agg(F.min("fold").alias("fold"), F.min(F.struct("label_id", "t")).alias("one"))
+    return written(got.orderBy(F.xxhash64("one.label_id"), "one.label_id", "same", "y").limit(SAMPLE).select(F.col("one.t").alias("t"), "y", "fold"))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Chain:
+    """Counts tokens of the labelled sample on the executors, fits on the driver."""
+    return trained(docs, labels)[0]
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[Chain, np.ndarray, np.ndarray, np.ndarray]:
+    """The chain, with the labels, folds and out-of-fold probabilities of the sample."""
+    sample = sample_of(docs, labels)
+    bits = [F.sum(F.col("y").bitwiseAND(1 << k).cast("boolean").cast("long")) for k in range(len(CHAIN))]
+    n, *total = sample.agg(F.count("*"), *[F.coalesce(b, F.lit(0)) for b in bits]).first()
+    names = ["token", "n", *(f"n{k}" for k in range(len(CHAIN)))]
+
+    def count(batches):
+        seen: dict[bytes, list[int]] = {}
+
+        def told():
+            cols = list(zip(*((w, *c) for w, c in seen.items()), strict=True)) or [[]] * len(names)
+            seen.clear()
+            return pa.record_batch([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=names)
+
+        for t, y in rows(batches, "t", "y"):
+            step = [1, *(y >> k & 1 for k in range(len(CHAIN)))]
+            for w in tokens_of(words_of(t)):
+                have = seen.get(w)
+                seen[w] = step if have is None else [a + b for a, b in zip(have, step, strict=True)]
+            if len(seen) > 200_000:
+                yield told()
+        yield told()
+
+    counted = sample.mapInArrow(count, "token binary, " + ", ".join(f"{c} long" for c in names[1:])).groupBy("token").agg(*[F.sum(c).alias(c) for c in names[1:]])
+    last = F.col(names[-1])
+    # a candidate stands in SUPPORT texts or more, and at least every second of them is toxic; the best by chi-squared of
+    # any category come to the driver
+    fit = counted.where((F.col("n") >= SUPPORT) & (2 * last >= F.col("n")))
+    gain = [(F.col(f"n{k}") * n - F.col("n") * of) for k, of in enumerate(total)]
+    chi = F.greatest(*[F.when((g > 0) & (F.col("n") < n), n * g.cast("double") * g / (F.col("n") * (n - F.col("n")) * of * (n - of)).cast("double")).otherwise(0.0) if 0 < of < n else F.lit(0.0) for g, of in zip(gain, total, strict=True)])
+    got = fit.withColumn("chi", chi).where(F.col("chi") >= CHI2).orderBy(F.desc("chi"), "token").limit(FEATURES).collect()
+    vocabulary = choose([(bytes(r.token), *(r[c] for c in names[1:])) for r in got], total, n)
+    model = Chain(vocabulary, [])
+
+    def mark(batches):
+        for part in chunked(rows(batches, "t", "y", "fold"), lambda r: len(r[0] or "") + 200, 4 << 20):
+            x = model.features([t for t, *_ in part]).astype(bool)
+            yield pa.record_batch([pa.array([np.packbits(r).tobytes() for r in x], pa.binary()), pa.array([y for _, y, _ in part], pa.int32()), pa.array([f for *_, f in part], pa.int32())], names=["x", "y", "fold"])
+
+    marked = sorted((bytes(r.x), r.y, r.fold) for r in sample.mapInArrow(mark, "x binary, y int, fold int").collect())  # at most SAMPLE rows of FEATURES bits
+    x = np.array([np.unpackbits(np.frombuffer(b, np.uint8))[: len(vocabulary)] for b, *_ in marked], float).reshape(len(marked), len(vocabulary))
+    y = np.array([[v >> k & 1 for k in range(len(CHAIN))] for _, v, _ in marked], float).reshape(len(marked), len(CHAIN))
+    fold = np.array([f for *_, f in marked], int)
+    chain, held = fit_chain(vocabulary, x, y, fold)
+    return chain, y, fold, held
 
 
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:

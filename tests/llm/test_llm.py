@@ -467,7 +467,7 @@ def test_toxicity(spark):
     assert toxicity.score(df.limit(0), chain).collect() == []
 
 
-def test_toxicity_keeps_documents_that_share_a_word(spark, monkeypatch):
+def test_toxicity_keeps_documents_that_share_a_word(spark):
     rng = random.Random(8)
     words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(500)]
     common = min(("".join(rng.choice("klmnop") for _ in range(8)) for _ in range(100_000)), key=lambda w: zlib.crc32(w.encode()))
@@ -475,14 +475,55 @@ def test_toxicity_keeps_documents_that_share_a_word(spark, monkeypatch):
     rows += [(1000 + i, rows[i][1]) for i in range(40)]  # true copies count once
     df = spark.createDataFrame(rows, DOCS)
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    seen = []
-    fit = toxicity.fit_chain
-    monkeypatch.setattr(toxicity, "fit_chain", lambda docs: seen.extend(docs) or fit(docs))
-    chain = toxicity.train(df, labels)
-    assert len(seen) == 240 and sum(y for *_, y in seen) == 60
+    chain, y, fold, held = toxicity.trained(df, labels)
+    assert len(y) == 240 and y[:, -1].sum() == 60
     assert all(r.toxic == (r.doc_id % 4 == 0) for r in toxicity.score(df, chain).collect())
 
 
+def test_toxicity_chain_against_brute_force(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(400)]
+    rows = []
+    for i in range(300):
+        w = [rng.choice(words) for _ in range(rng.randint(5, 5000 if i % 50 == 0 else 60))]
+        if i % 3 == 0:
+            w += rng.sample(["idiot", "worthless", "scum", "vile", "moron", "trash"], rng.randint(1, 3))
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+    rows += [(5, "another text under an id that is taken"), (7, rows[7][1])]
+    labels = [(i, int(i % 3 == 0)) for i in range(300)]
+    chain, y, fold, held = toxicity.trained(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # the sample, its categories and its counts, by hand
+    texts = {}
+    for i, t in rows:
+        texts[frozenset(toxicity.words_of(t)), i % 3 == 0] = t
+    assert len(y) == len(texts)
+    own = [[toxic and bool({*s} & ws) for s in toxicity.SEEDS.values()] + [toxic] for ws, toxic in texts]
+    assert y.sum(0).tolist() == np.array(own, float).sum(0).tolist()
+    n, total, counts = len(own), np.array(own).sum(0), {}
+    for (ws, _), row in zip(texts, own, strict=True):
+        for w in toxicity.tokens_of(set(ws)):
+            counts.setdefault(w, []).append(row)
+    gain = {}
+    for w, have in counts.items():
+        m, c = len(have), np.array(have).sum(0)
+        if m >= toxicity.SUPPORT and 2 * c[-1] >= m and m < n:
+            chi = [n * (a * n - m * b) ** 2 / (m * (n - m) * b * (n - b)) for a, b in zip(c.tolist(), total.tolist(), strict=True) if a * n > m * b and 0 < b < n]
+            if chi and max(chi) >= toxicity.CHI2:
+                gain[w] = max(chi)
+    assert list(chain.vocabulary) == sorted(gain, key=lambda w: (-gain[w], w))[: toxicity.FEATURES]
+    # out-of-fold: each probability comes from a model of the same form without the text's own fold
+    x = np.concatenate([[[w in toxicity.tokens_of(set(ws)) for w in chain.vocabulary] for ws, _ in texts]]).astype(float)
+    assert x.sum(0).tolist() == [len(counts[w]) for w in chain.vocabulary]
+    assert held.shape == (n, 4) and ((held > 0) & (held < 1)).all() and len(set(fold)) > 1
+    assert ((held[:, -1] >= 0.5) == (y[:, -1] > 0)).mean() > 0.9
+    p = toxicity.Chain(chain.vocabulary, chain.weights).predict(x)
+    by_hand = np.zeros((n, 0))
+    for w in chain.weights:
+        by_hand = np.concatenate([by_hand, 1 / (1 + np.exp(-np.clip(np.concatenate([x, by_hand], 1) @ w[:-1] + w[-1], -30, 30)))[:, None]], 1)
+    assert np.allclose(p, by_hand)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
