@@ -28,33 +28,55 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/siltstone-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base:
-        base = f"file://{base}" if base.startswith("/") else base
-    out = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+    out = f"{qualified(spark, base).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
     _made.append((spark, out))
     return out
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI; one without a scheme lies in the cluster's default file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is already gone
             return
 
 
-def written(df: DataFrame, narrow: int = 1) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/table")
+    table = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
+    table.folder_of_table = folder
+    return table
+
+
+def mark() -> int:
+    """What has been written up to here; for ``drop_since``."""
+    return len(_made)
+
+
+def drop_since(at: int, *keep: DataFrame) -> None:
+    """Deletes the folders made since mark(), but for those of the tables ``keep``, which ``written`` returned.
 
-    narrow: of a table of a few numbers a row, so many shuffle partitions go into one file."""
-    path = f"{shared_dir(df.sparkSession)}/table"
-    if narrow > 1:
-        df = df.coalesce(max(1, width(df.sparkSession) // narrow))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    Only for what no table still in use reads."""
+    own = {df.folder_of_table for df in keep}
+    for spark, path in _made[at:]:
+        if path not in own:
+            _delete(spark, path)
+    _made[at:] = [m for m in _made[at:] if m[1] in own]
 
 
 def collected(manifest: DataFrame) -> DataFrame:

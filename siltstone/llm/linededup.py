@@ -111,12 +111,12 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
     wins = written(keyed.select("doc_id", "th", "text").mapInArrow(_windows(min_words), schema))
     place = F.struct("doc_id", "th", "at")
     shared = wins.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
-    shared = written(shared, 16)  # a table, so that adaptive execution can split a hot fingerprint in the join
+    shared = written(shared)  # a table, so that adaptive execution can split a hot fingerprint in the join
     near = wins.join(shared, "fp", "left_semi").select("doc_id", "th", "w1", "w2", "first", "last")
     near = written(near)
     spot = F.struct("doc_id", "th", "first")
     kinds = near.groupBy("w1", "w2").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select("w1", "w2", "lo")
-    kinds = written(kinds, 16)
+    kinds = written(kinds)
     later = near.join(kinds, ["w1", "w2"]).where(spot > F.col("lo")).select("doc_id", "th", "first", "last").distinct()
     spans = later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(F.col("doc_id").alias("span_id"), F.col("th").alias("span_th"), "spans")
     whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("own_text"), F.struct(*[docs[c] for c in cols if c != "text"]).alias("own_row")).withColumn("own_th", F.xxhash64("own_text"))

@@ -3,7 +3,8 @@
 Two collections of ``T`` small keys are made, each key of ``R`` minhashes. Every pair of a key
 of the first and a key of the second collection is a table key, so that T * T tables of
 2 * R rows each cost 2 * T * R minhashes instead of 2 * R * T * T. At a similarity of 0.8
-two documents share no table key with probability 0.0004.
+two documents share no table key with probability 0.0004; at 0.3 they share one with 0.015, at 0.2 with
+0.0006, at 0.03 (unrelated texts) with 2e-10, so that blocks stay small among many documents.
 
 1. Each text gives its set of shingle hashes, a 128-bit signature of the set, and its small keys.
 2. Texts with equal sets form a class; its smallest doc_id stands for it.
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunked, rows, width, written
-from .components import NARROW, connected_components
+from .components import connected_components
 from .texthash import SOLID, mix, words
 
-T, R, LIMIT = 12, 3, 1_500_000
+T, R, LIMIT = 16, 4, 1_500_000
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(0, 1 << 63, 2 * T * R, dtype=np.uint64) * _U(2) + _U(1)
@@ -246,15 +247,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
     sketch = written(docs.mapInArrow(run, schema))
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "n_shingles", "keys")).alias("x"))
-    reps = written(classes.select("rep", "s1", "s2", F.col("x.n_shingles").alias("n_shingles"), F.col("x.keys").alias("keys")), 4)
+    reps = written(classes.select("rep", "s1", "s2", F.col("x.n_shingles").alias("n_shingles"), F.col("x.keys").alias("keys")))
     # rows of one document and equal sets are links of their own
     own = usable.join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     blocks = connected_components(candidate_edges(reps.select(F.col("rep").alias("doc_id"), "keys"), parts))
     member = reps.join(blocks, reps["rep"] == blocks["id"]).select(F.col("component").alias("block"), F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles")
-    member = written(member, NARROW)
+    member = written(member)
     sizes = member.groupBy("block").agg(F.sum("n_shingles").alias("total")).select("block", F.ceil(F.col("total") / limit).cast("int").alias("chunks"))
-    sizes = written(sizes, NARROW)
+    sizes = written(sizes)
     sized = member.join(sizes, "block")
 
     def verified(some: DataFrame) -> DataFrame:
@@ -272,9 +273,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, num: int = 80, den: int =
         part = connected_components(inner)
         state = written(large.join(part, large["doc_id"] == part["id"], "left").withColumn("component", F.coalesce("component", "doc_id")).drop("id"))
         most = state.groupBy("block", "component").agg(F.sum("n_shingles").alias("n")).groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("most"))
-        state = state.join(written(most, NARROW), "block")
+        state = state.join(written(most), "block")
         loose = state.where("component <> most")
-        pieces = written(loose.groupBy("block").agg(F.ceil(F.sum("n_shingles") / limit).cast("int").alias("pieces")), NARROW)
+        pieces = written(loose.groupBy("block").agg(F.ceil(F.sum("n_shingles") / limit).cast("int").alias("pieces")))
         loose = loose.join(pieces, "block").withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("pieces")).cast("int"))
         cols = ["block", "doc_id", "s1", "s2", "mark"]
         asked = loose.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("mark", F.lit(True))

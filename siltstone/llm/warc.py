@@ -119,7 +119,7 @@ def write_archives(pages: DataFrame, segment_bytes: int = SEGMENT) -> DataFrame:
     spark = pages.sparkSession
     out = shared_dir(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("h", F.sha1("html"))
-    best = written(pages.groupBy("h").agg(F.max(F.struct("page_id", "url")).alias("best")), 4)
+    best = written(pages.groupBy("h").agg(F.max(F.struct("page_id", "url")).alias("best")))
     told = pages.join(best, "h").select("page_id", "url", "html", F.col("best.page_id").alias("best_id"), F.col("best.url").alias("best_url"))
 
     def clean(url):

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import ann, decontam, htmlmain, linededup, neardup, packing, pfp, queries, sstable, toxicity, warc
@@ -344,11 +345,48 @@ def test_suffix_array_longest():
     sa = decontam.SuffixArray(word, np.array([6] * 6 + [7]), np.arange(7), 4)
     q = np.array([[1, 2, 3, 1], [1, 2, 5, 0], [7, 0, 0, 0], [2, 4, 9, 0]], np.uint64)
     n = np.array([4, 3, 1, 3])
-    assert sa.longest(q, n).tolist() == [4, 2, 0, 2]
+    best, first = sa.longest(q, n)
+    assert best.tolist() == [4, 2, 0, 2] and [sa.places[k] if k >= 0 else None for k in first] == [0, sa.places[first[1]], None, 4]
     lo, hi = sa.find(np.array([[1, 2, 0, 0]], np.uint64), np.array([2]))
     assert sorted(sa.places[lo[0] : hi[0]].tolist()) == [0, 3]
 
 
+@pytest.mark.parametrize("block", [decontam.BLOCK, 40])
+def test_longest_matches_against_brute_force(spark, block):
+    rng = random.Random(13)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 120))] for _ in range(40)]
+    items = [[rng.choice("abcdefgh") for _ in range(rng.randint(1, 30))] for _ in range(25)]
+    for k in range(0, 24, 2):  # passages of items in documents, some whole, some cut
+        a = rng.randrange(len(items[k]))
+        b = rng.randint(a + 1, len(items[k]))
+        at = rng.randrange(len(texts[k]) + 1)
+        texts[k][at:at] = items[k][a:b] if k % 4 else items[k]
+    items.append(["zz"])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    tests = spark.createDataFrame([(i, ". ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+
+    def common(x, a, y, b):
+        n = 0
+        while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n]:
+            n += 1
+        return n
+
+    want = {}
+    for i, x in enumerate(items):
+        found = [(-m, a, d, p) for a in range(len(x)) for d, y in enumerate(texts) for p in range(len(y)) if (m := common(x, a, y, p))]
+        if found:
+            want[i] = min(found)
+    got = {r.item_id: (-r.n_words, r.item_at, r.doc_id, r.doc_at) for r in decontam.longest_matches(docs, tests, block=block).collect()}
+    assert got == want
+    best = {}
+    for d, y in enumerate(texts):
+        found = [(-m, i, p) for i, x in enumerate(items) for a in range(len(x)) for p in range(len(y)) if (m := common(x, a, y, p)) >= min(10, len(x)) and (not a or not p or x[a - 1] != y[p - 1])]
+        best[d] = min(found, default=(0, None, None))
+    told = {r.doc_id: (-r.longest_match, r.longest_item, r.longest_at) for r in decontam.match_tests(docs, tests, block=block).collect()}
+    assert told == best
+    assert decontam.longest_matches(docs.limit(0), tests).collect() == []
+
+
 def page(main, extra=""):
     return f"<html><head><title>t</title><style>p{{}}</style><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>{extra}<article>{main}</article><footer>(c)</footer></body></html>"
 
@@ -436,6 +474,26 @@ def test_near_duplicates(spark, limit):
         assert kept.columns == df.columns
 
 
+def test_near_duplicates_among_alike_texts(spark):
+    """Every two texts share about 0.3 of their shingles; only the planted copies are near-duplicates."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(46)]
+    texts = [" ".join([*common, *(f"u{i}x{k}" for k in range(52))]) for i in range(400)]
+    for k in range(0, 400, 40):
+        w = texts[k].split()
+        w[60] = "other"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    sketch, _ = neardup._sketch(2)
+    keys = [r for b in sketch([pa.record_batch([pa.array([i for i, _ in rows]), pa.array(texts)], names=["doc_id", "text"])]) for r in b.column(4).to_pylist()]
+    small = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2, neardup.T)
+    share = [((small[a] == small[b]).any(1)).all() for a in range(100) for b in range(a)]
+    assert np.mean(share) < 0.08
+    got = neardup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (200, 201)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
