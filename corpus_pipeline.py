@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.common import written
+from siltstone.llm.common import drop_since, mark, written
 from siltstone.llm.decontam import decontaminate
 from siltstone.llm.linededup import drop_repeated_lines
 from siltstone.llm.neardup import drop_near_duplicates
@@ -63,5 +63,8 @@ ORACLE_SQL = None  # the classifier and the tokenizer aren't SQL
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        start = mark()
+        done = written(stage(spark, docs, sf_dir))
+        drop_since(start, done)
+        docs = done
     return docs
