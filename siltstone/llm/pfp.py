@@ -13,8 +13,8 @@ smaller document, or further to the front of the same one).
   of a phrase are repeats through and through; a trigger that stands in one content only
   needs no more work. This is where repetitive text shrinks: copies cost one record a phrase.
 * Suffixes. Where a trigger stands in several contents, the earliest occurrence of each sends
-  its bytes; their suffixes of length bytes are sorted by trigger, content, document and place, which is
-  the corpus order of these suffixes up to length bytes, and all but the first of each are repeats.
+  its bytes; the suffix array of these phrases puts their suffixes of length bytes in the order of trigger, distance
+  to it, bytes, document and place, and all but the first of equal ones are repeats.
 
 Texts are laid out once as files in the shared folder, in order of documents; records meet
 by trigger and verdicts by file, both as packed arrays. Occurrences that are equal inside a
@@ -38,11 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import collected, file_system, rows, shared_dir, width, written
-from .texthash import Spans, mix
+from .texthash import BASES, Spans, mix
 
 GRAM, LENGTH, PIECE = 32, 100, 1 << 20
 _U = np.uint64
-_COLS = (("g", "<u8"), ("c", "<u8"), ("ord", "<i8"), ("at", "<i8"), ("n", "<u4"), ("rep", "<u4"), ("off", "<u4"))
+_COLS = (("g", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("ord", "<i8"), ("at", "<i8"), ("n", "<u2"), ("off", "<u2"))
 _DUP = (("ord", "<i8"), ("at", "<i8"), ("n", "<u4"))
 _ASK = (("g", "<u8"), ("ord", "<i8"), ("at", "<i8"), ("n", "<u4"), ("off", "<u4"))
 _BLOB = "part int, kind string, data binary"
@@ -84,7 +84,7 @@ def phrases(data: bytes, length: int, gram: int = GRAM) -> dict[str, np.ndarray]
         n = len(buf) - length + 1
         if n <= 0:
             continue
-        h = Spans(buf)
+        h, other = Spans(buf), Spans(buf, BASES[1])
         k = len(buf) - gram + 1
         hashes = mix((h.sums[gram:] - h.sums[:-gram]) * h.inv[:k])
         low = (hashes & _U(0xFFFFFFFF00000000)) | np.arange(k, dtype=_U)
@@ -99,24 +99,27 @@ def phrases(data: bytes, length: int, gram: int = GRAM) -> dict[str, np.ndarray]
         count = np.diff(np.append(first, n))
         t = trigger[first]
         c = mix(h.raw(first, first + count + length - 1) + (t - first).astype(_U) * _U(0x9E3779B97F4A7C15) + count.astype(_U))
+        c2 = mix(other.raw(first, first + count + length - 1))
         g = hashes[t]
         rep = np.ones(len(first), np.int64)
         if len(first) > 1:  # runs of one byte and the like: string after string with the same content
-            same = (count[1:] == 1) & (count[:-1] == 1) & (c[1:] == c[:-1]) & (g[1:] == g[:-1])
+            same = (count[1:] == 1) & (count[:-1] == 1) & (c[1:] == c[:-1]) & (c2[1:] == c2[:-1]) & (g[1:] == g[:-1])
             if same.any():
                 lead = np.flatnonzero(np.concatenate([[True], ~same]))
                 rep = np.diff(np.append(lead, len(first)))
-                first, count, c, g, t = first[lead], count[lead], c[lead], g[lead], t[lead]
-        found.append({"g": g, "c": c, "at": first + begin, "n": count, "rep": rep, "off": t - first})
-    names = ("g", "c", "at", "n", "rep", "off")
-    return {x: np.concatenate([f[x] for f in found]) if found else np.zeros(0, _U if x in "gc" else np.int64) for x in names}
+                first, count, c, c2, g, t = first[lead], count[lead], c[lead], c2[lead], g[lead], t[lead]
+        found.append({"g": g, "c": c, "c2": c2, "at": first + begin, "n": count, "rep": rep, "off": t - first})
+    names = ("g", "c", "c2", "at", "n", "rep", "off")
+    return {x: np.concatenate([f[x] for f in found]) if found else np.zeros(0, _U if x in ("g", "c", "c2") else np.int64) for x in names}
 
 
 def _leaders(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order by trigger, content and place, and which of it are the first of their content."""
-    order = np.lexsort((r["at"], r["ord"], r["c"], r["g"]))
-    g, c = r["g"][order], r["c"][order]
-    return order, np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]) if len(g) else np.zeros(0, bool)
+    order = np.lexsort((r["at"], r["ord"], r["c2"], r["c"], r["g"]))
+    new = np.zeros(max(0, len(order) - 1), bool)
+    for x in ("g", "c", "c2"):
+        new |= r[x][order[1:]] != r[x][order[:-1]]
+    return order, np.append(len(order) > 0, new)[: len(order)]
 
 
 def _repeats(r: dict[str, np.ndarray], order: np.ndarray, lead: np.ndarray) -> dict[str, np.ndarray]:
@@ -130,6 +133,34 @@ def _repeats(r: dict[str, np.ndarray], order: np.ndarray, lead: np.ndarray) -> d
     }
 
 
+def _suffix_order(buf: np.ndarray, start: np.ndarray, group: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of length bytes by group, then bytes, then place; and which have an equal one before them.
+
+    The order is refined eight bytes at a time among those that are still equal, so bytes decide, never a hash."""
+    n = len(start)
+    order = np.lexsort((place, group))
+    if not n:
+        return order, np.zeros(0, bool)
+    eight = np.lib.stride_tricks.sliding_window_view(np.append(buf, np.zeros(8, np.uint8)), 8)
+    g = group[order]
+    same = np.concatenate([[False], g[1:] == g[:-1]])
+    for k in range(0, length, 8):
+        open_ = np.flatnonzero(same | np.append(same[1:], False))
+        if not len(open_):
+            break
+        rank = np.cumsum(~same[open_])  # of those that are equal so far
+        own = order[open_]
+        x = eight[start[own] + k].copy()
+        x[:, max(0, length - k) :] = 0
+        w = x.view(">u8").ravel().astype(_U)
+        o = np.lexsort((place[own], w, rank))
+        order[open_], w, rank = own[o], w[o], rank[o]
+        same[open_] = np.concatenate([[False], (w[1:] == w[:-1]) & (rank[1:] == rank[:-1])])
+    late = np.zeros(n, bool)
+    late[order] = same
+    return order, late
+
+
 def lay_out(docs: DataFrame, parts: int) -> DataFrame:
     """Files of ord, doc_id and text in order of documents; returns (part, path)."""
     out = shared_dir(docs.sparkSession)
@@ -166,6 +197,8 @@ def _texts(path: str):
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    if length >= 1 << 15:
+        raise ValueError("strings of 32768 bytes or more")
     parts = width(docs.sparkSession)
     files = lay_out(docs, parts)
 
@@ -178,7 +211,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
                     got.append(r | {"ord": np.full(len(r["g"]), ord_)})
             if not got:
                 continue
-            r = {n: np.concatenate([x[n] for x in got]) for n, _ in _COLS}
+            r = {n: np.concatenate([x[n] for x in got]) for n in (*dict(_COLS), "rep")}
             del got
             order, lead = _leaders(r)
             dup = _repeats(r, order, lead)
@@ -186,8 +219,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             if len(dup["ord"]):
                 yield _batch([(part % parts, f"dup:{part}", _packed(_DUP, dup, slice(None)))])
             first = np.sort(order[lead])
-            own = {n: v[first] for n, v in r.items()}
-            own["rep"] = np.ones(len(first), np.int64)  # what follows at once has been told already
+            own = {n: v[first] for n, v in r.items()}  # what follows at once has been told already
             for p, pick in _by((own["g"] % _U(parts)).astype(np.int64), parts):
                 yield _batch([(p, "phrase", _packed(_COLS, own, pick))])
 
@@ -199,6 +231,8 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             else:
                 yield _batch([(int(kind[4:]), "dup", data)])
         r = _unpacked(_COLS, blobs)
+        r["n"] = r["n"].astype(np.int64)
+        r["rep"] = np.ones(len(r["n"]), np.int64)
         blobs.clear()
         order, lead = _leaders(r)
         dup = _repeats(r, order, lead)
@@ -294,13 +328,13 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         buf = text[np.repeat(begin - out, lens) + np.arange(lens.sum())]
         row = np.repeat(np.arange(len(n)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = out[row] + inner
-        h = _window_hashes(buf, start, length)
         at, ord_ = r["at"][row] + inner, r["ord"][row]
-        order = np.lexsort((at, ord_, r["off"][row].astype(np.int64) - inner, h, r["g"][row]))
-        g, hs = r["g"][row][order], h[order]
-        late = np.zeros(len(order), bool)
-        late[order[1:]] = (g[1:] == g[:-1]) & (hs[1:] == hs[:-1])
+        # the suffix array of these phrases: by trigger, distance to it and bytes
+        _, group = np.unique(r["g"], return_inverse=True)
+        group = group[row] * (2 * length + 1) + (r["off"][row].astype(np.int64) - inner) + length
+        place = np.empty(len(at), np.int64)
+        place[np.lexsort((at, ord_))] = np.arange(len(at))
+        late = _suffix_order(buf, out[row] + inner, group, place, length)[1]
         # runs of repeats inside a phrase
         edge = np.flatnonzero(late & ~np.concatenate([[False], late[:-1] & (row[1:] == row[:-1])]))
         stop = np.flatnonzero(late & ~np.concatenate([late[1:] & (row[1:] == row[:-1]), [False]]))
@@ -308,17 +342,6 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         for p, pick in _by_file(dup["ord"]):
             yield _batch([(p, "dup", _packed(_DUP, dup, pick))])
 
-    def _window_hashes(buf, start, length):
-        h = np.empty(len(start), _U)
-        step = 1 << 20  # of the buffer; bounds the tables of powers
-        cut = np.searchsorted(start, np.arange(0, len(buf) + step, step))
-        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                part = buf[k * step : (k + 1) * step + length]
-                s = start[a:b] - k * step
-                h[a:b] = Spans(part).hash(s, s + length)
-        return h
-
     def _by_file(ord_):
         where = ord_ >> 40
         order = np.argsort(where, kind="stable")
@@ -375,3 +398,19 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 def op7_prefix_free_repeats(spark, sf_dir):
     return repeated_strings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+f AS (SELECT doc_id, o, substr(h, 2 * o + 1, 1222) h FROM (SELECT doc_id, h, unnest(range(0, greatest(0, len(h) // 2 - 99), 512)) o FROM d)),
+w AS (SELECT doc_id, o + j k, substr(h, 2 * j + 1, 200) x FROM (SELECT doc_id, o, h, unnest(range(0, least(512, len(h) // 2 - 99))) j FROM f)),
+r AS (SELECT doc_id, k FROM w QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, k) > 1),
+p AS (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) before FROM r),
+i AS (SELECT doc_id, k, sum(CASE WHEN before IS NULL OR k - before > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) island FROM p),
+s AS (SELECT doc_id, min(k) a, max(k) + 100 b FROM i GROUP BY doc_id, island),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) z FROM s),
+c AS (SELECT doc_id, sum(b - a) n_removed, count(*) n_spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) front, max(b) last FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""

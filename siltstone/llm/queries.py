@@ -24,6 +24,7 @@ ORACLES: dict[str, str] = {
     "op4_warc_segments": warc.ORACLE,
     "op5_winnowed_line_dedup": linededup.ORACLE,
     "op6_multiprobe_neighbours": ann.ORACLE,
+    "op7_prefix_free_repeats": pfp.ORACLE,
     "op8_suffix_array_decontamination": decontam.ORACLE,
     "op10_tensored_near_duplicates": neardup.ORACLE,
 }

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
-_R = 0xD6E8FEB86659FD93
-_INV = pow(_R, -1, 1 << 64)
+BASES = (0xD6E8FEB86659FD93, 0x9FB21C651E98DF25)
 _U = np.uint64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_pow = np.ones(1, _U)
-_inv = np.ones(1, _U)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,22 +20,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUE = mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
+def _tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _powers or len(_powers[base][0]) < n:
         size = max(n, 1 << 16)
-        _pow = np.concatenate([np.ones(1, _U), np.cumprod(np.full(size - 1, _R, _U))])
-        _inv = np.concatenate([np.ones(1, _U), np.cumprod(np.full(size - 1, _INV, _U))])
-    return _pow, _inv
+        _powers[base] = tuple(np.concatenate([np.ones(1, _U), np.cumprod(np.full(size - 1, x, _U))]) for x in (base, pow(base, -1, 1 << 64)))
+    return _powers[base]
 
 
 class Spans:
-    """Hashes of spans of a buffer."""
+    """Hashes of spans of a buffer; those of two bases are independent."""
 
-    def __init__(self, buf: np.ndarray):
-        p, self.inv = _tables(len(buf) + 1)
+    def __init__(self, buf: np.ndarray, base: int = BASES[0]):
+        p, self.inv = _tables(len(buf) + 1, base)
         self.sums = np.zeros(len(buf) + 1, _U)
-        np.cumsum(_VALUE[buf] * p[: len(buf)], out=self.sums[1:])
+        values = _VALUE if base == BASES[0] else _VALUE[::-1]
+        np.cumsum(values[buf] * p[: len(buf)], out=self.sums[1:])
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inv[start]
@@ -46,13 +43,13 @@ class Spans:
         return mix(self.raw(start, end))
 
 
-def raw_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def raw_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1 << 20, base: int = BASES[0]) -> np.ndarray:
     """Spans.raw of spans in order, about step bytes of the buffer at a time, so that long texts need little memory."""
     out, k = np.empty(len(start), _U), 0
     while k < len(start):
-        base = int(start[k])
-        j = max(k + 1, int(np.searchsorted(start, base + step)))
-        out[k:j] = Spans(buf[base : int(end[j - 1])]).raw(start[k:j] - base, end[k:j] - base)
+        first = int(start[k])
+        j = max(k + 1, int(np.searchsorted(start, first + step)))
+        out[k:j] = Spans(buf[first : int(end[j - 1])], base).raw(start[k:j] - first, end[k:j] - first)
         k = j
     return out
 
