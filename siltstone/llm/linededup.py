@@ -2,12 +2,15 @@
 
 A run of consecutive lines counts from ``min_words`` words on; lines are compared trimmed, and
 lines without words are passed over. A window is a shortest run of consecutive lines with that
-many words, reaching forwards or backwards from a line. Each window selects its least line
-hash as fingerprint, so two places that share a run share at least one fingerprint.
-Fingerprints that stand at one place only are dropped; where one is shared, the windows
-around it, forwards and backwards, are compared whole (by 128-bit hashes), which extends the
-match both ways to the full run. Every window but the earliest of its kind (smaller doc_id,
-then hash of the text, then earlier line) is deleted with all its lines.
+many words, reaching forwards or backwards from a line.
+
+1. Each window selects its least line hash as fingerprint, so two places that share a run share at least one.
+   Fingerprints that stand at one place only are dropped.
+2. Positions of shared fingerprints are joined: each with the earliest one (smaller doc_id, then hash of the text,
+   then earlier line) whose window around the fingerprint is the same (by two independent 64-bit hashes).
+3. Matches are extended both ways: windows that follow one another in the later document and at the same distance
+   in the earlier one are one run, which is as long as the lines agree. ``repeated_runs`` returns these.
+4. All lines of the later places of a run are deleted.
 
 Sums are pre-aggregated before each shuffle and the joins are left to adaptive execution, so
 a line that a third of all documents hold fills no task, and no pairs are written.
@@ -23,52 +26,63 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import chunked, rows, written
-from .texthash import mix, raw_spans, word_table
+from .texthash import BASES, mix, raw_spans, run_hashes, word_table
 
 MIN_WORDS = 50
 _U = np.uint64
 _INK = word_table(lambda c: not (c == 32 or 9 <= c <= 13))
 
 
-def line_table(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines with words: number, words, and two hashes of the trimmed line."""
-    buf = np.frombuffer(b"\n" + text.encode("utf-8", "surrogatepass") + b"\n", np.uint8)
-    ink = _INK[buf]
-    edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
-    start, end = edge[0::2], edge[1::2]
-    line = np.searchsorted(np.flatnonzero(buf == 10), start) - 1
-    number, first, count = np.unique(line, return_index=True, return_counts=True)
-    if not len(number):
-        z = np.zeros(0, _U)
-        return number, count, z, z
-    raw = raw_spans(buf, start[first], end[first + count - 1])
-    size = (end[first + count - 1] - start[first]).astype(_U)
-    return number, count, mix(raw + size), mix(raw * _U(0x9E3779B97F4A7C15) ^ size)
-
-
-def windows(count: np.ndarray, h1: np.ndarray, h2: np.ndarray, min_words: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(fingerprint line, fingerprint, hash, hash, first, last) of each window, lines as places in the table."""
-    n = len(count)
+class Lines:
+    """The lines with words of some texts, one after another: text, number in it, words, begin and end of the trimmed line."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        self.buf = buf = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
+        ink = _INK[buf]
+        edge = np.flatnonzero(ink[1:] != ink[:-1]) + 1
+        start, end = edge[0::2], edge[1::2]
+        breaks = np.flatnonzero(buf == 10)
+        line, first, self.words = np.unique(np.searchsorted(breaks, start) - 1, return_index=True, return_counts=True)
+        self.begin, self.end = start[first], end[first + self.words - 1]
+        at = np.cumsum([0] + [len(p) + 1 for p in parts])  # the line break before each text
+        self.text = np.searchsorted(at, self.begin, side="right") - 1
+        self.number = line - np.searchsorted(breaks, at)[self.text]
+        self.bounds = np.searchsorted(self.text, np.arange(len(texts) + 1))
+
+    def hashes(self, base: int) -> np.ndarray:
+        raw = raw_spans(self.buf, self.begin, self.end, base=base)
+        return mix(raw + (self.end - self.begin).astype(_U))
+
+
+def windows(lines: Lines, min_words: int) -> dict[str, np.ndarray]:
+    """Of each window: text, place of its fingerprint, the fingerprint, two hashes, first and last place (of lines with words)."""
+    names = ("text", "at", "fp", "w1", "w2", "first", "last")
+    n = len(lines.words)
     if not n:
-        return []
-    total = np.concatenate([[0], np.cumsum(count)])
-    j = np.searchsorted(total, total[:-1] + min_words)  # lines i .. j-1
-    i = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # lines i .. k
-    spans = {(a, int(b) - 1) for a, b in enumerate(j) if b <= n} | {(int(a), b) for b, a in enumerate(i) if a >= 0}
-    out = []
-    for a, b in sorted(spans):
-        k = a + int(np.argmin(h1[a : b + 1]))
-        x, y = _U(b - a), _U(a * 0 + 7)
-        with np.errstate(over="ignore"):
-            for t in range(a, b + 1):
-                x = (x ^ h1[t]) * _U(0x9E3779B97F4A7C15)
-                x ^= x >> _U(29)
-                y = (y ^ h2[t]) * _U(0xD6E8FEB86659FD93)
-                y ^= y >> _U(31)
-        out.append((k, int(h1[k].view(np.int64)), int(x.view(np.int64)), int(y.view(np.int64)), a, b))
-    return out
+        return {k: np.zeros(0, np.int64) for k in names}
+    total = np.concatenate([[0], np.cumsum(lines.words)])
+    low, high = lines.bounds[lines.text], lines.bounds[lines.text + 1]
+    own = np.arange(n)
+    j = np.searchsorted(total, total[:-1] + min_words)  # lines own .. j-1
+    i = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # lines i .. own
+    ahead, back = j <= high, (i >= low) & (total[1:] - total[low] >= min_words)
+    spans = np.unique(np.concatenate([np.stack([own[ahead], j[ahead] - 1], 1), np.stack([i[back], own[back]], 1)]), axis=0)
+    a, b = spans[:, 0], spans[:, 1]
+    if not len(a):
+        return {k: np.zeros(0, np.int64) for k in names}
+    h1, h2 = lines.hashes(BASES[0]), lines.hashes(BASES[1])
+    kinds, rank = np.unique(h1, return_inverse=True)
+    least = np.minimum.reduceat(np.append(rank, n), np.stack([a, b + 1], 1).ravel())[::2]
+    key = np.sort(rank * (n + 1) + own)
+    at = key[np.searchsorted(key, least * (n + 1) + a)] - least * (n + 1)  # the first line of the window with that hash
+    text = lines.text[a]
+    base = lines.bounds[text]
+    signed = [np.ascontiguousarray(x).view(np.int64) for x in (kinds[least], run_hashes(h1, a, b + 1, BASES[1]), run_hashes(h2, a, b + 1, BASES[0]))]
+    return dict(zip(names, (text, at - base, *signed, a - base, b - base), strict=True))
 
 
 _WIN = [("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("fp", pa.int64()), ("w1", pa.int64()), ("w2", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
@@ -77,20 +91,16 @@ _WIN = [("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int32()), ("fp", p
 def _windows(min_words: int):
     def run(batches):
         for part in chunked(rows(batches, "doc_id", "th", "text"), lambda r: len(r[2] or "") + 100, 2 << 20):
-            out = []
-            for doc_id, th, text in part:
-                _, count, h1, h2 = line_table(text or "")
-                out += [(doc_id, th, *w) for w in windows(count, h1, h2, min_words)]
-            cols = list(zip(*out, strict=True)) or [[]] * len(_WIN)
-            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(cols, _WIN, strict=True)], names=[n for n, _ in _WIN])
+            w = windows(Lines([t for *_, t in part]), min_words)
+            ids, th = pa.array([i for i, *_ in part], pa.int64()), pa.array([h for _, h, _ in part], pa.int64())
+            cols = [ids.take(pa.array(w["text"])), th.take(pa.array(w["text"])), *(pa.array(w[n], t) for n, t in _WIN[2:])]
+            yield pa.record_batch(cols, names=[n for n, _ in _WIN])
 
     return run
 
 
-def remove_lines(text: str | None, spans: list[tuple[int, int]]) -> tuple[str | None, int, int, int]:
-    """The text without the lines of the spans (places in its line table); its lines, those removed, their runs."""
-    number, *_ = line_table(text or "")
-    lines = (text or "").split("\n")
+def remove_lines(text: str | None, number: np.ndarray, spans: list[tuple[int, int]]) -> tuple[str | None, int, int, int]:
+    """The text without the lines of the spans (places in ``number``, the lines with words); its lines, those removed, their runs."""
     if not spans:
         return text, len(number), 0, 0
     gone = np.zeros(len(number) + 1, int)
@@ -100,25 +110,42 @@ def remove_lines(text: str | None, spans: list[tuple[int, int]]) -> tuple[str |
     gone = np.cumsum(gone)[:-1] > 0
     runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
     drop = set(number[gone].tolist())
-    return "\n".join(x for k, x in enumerate(lines) if k not in drop), len(number), int(gone.sum()), runs
+    return "\n".join(x for k, x in enumerate((text or "").split("\n")) if k not in drop), len(number), int(gone.sum()), runs
 
 
-def _cut(docs: DataFrame, min_words: int) -> DataFrame:
-    """own_row (the columns but text), own_text without its later repeated runs, n_lines, n_removed, n_runs."""
-    cols = docs.columns
+def _runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, th, first, last of each run that stands earlier too, with source (doc_id, th) and source_first; as extended."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     schema = ", ".join(f"{n} {'long' if t == pa.int64() else 'int'}" for n, t in _WIN)
     wins = written(keyed.select("doc_id", "th", "text").mapInArrow(_windows(min_words), schema))
     place = F.struct("doc_id", "th", "at")
     shared = wins.groupBy("fp").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("fp")
     shared = written(shared)  # a table, so that adaptive execution can split a hot fingerprint in the join
-    near = wins.join(shared, "fp", "left_semi").select("doc_id", "th", "w1", "w2", "first", "last")
-    near = written(near)
+    near = written(wins.join(shared, "fp", "left_semi").select("doc_id", "th", "w1", "w2", "first", "last"))
     spot = F.struct("doc_id", "th", "first")
     kinds = near.groupBy("w1", "w2").agg(F.min(spot).alias("lo"), F.max(spot).alias("hi")).where("lo <> hi").select("w1", "w2", "lo")
-    kinds = written(kinds)
-    later = near.join(kinds, ["w1", "w2"]).where(spot > F.col("lo")).select("doc_id", "th", "first", "last").distinct()
-    spans = later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")).select(F.col("doc_id").alias("span_id"), F.col("th").alias("span_th"), "spans")
+    later = near.join(written(kinds), ["w1", "w2"]).where(spot > F.col("lo"))
+    later = later.select("doc_id", "th", "first", "last", F.struct("lo.doc_id", "lo.th").alias("source"), (F.col("first") - F.col("lo.first")).alias("shift")).distinct()
+    along = Window.partitionBy("doc_id", "th", "source", "shift").orderBy("first", "last")  # windows of one document
+    seen = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    islands = later.withColumn("new", F.when(F.col("first") <= seen + 1, 0).otherwise(1)).withColumn("island", F.sum("new").over(along))
+    run = islands.groupBy("doc_id", "th", "source", "shift", "island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return run.select("doc_id", "th", "first", "last", "source", (F.col("first") - F.col("shift")).alias("source_first"))
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Of ``docs(doc_id, text)`` each run that stands earlier too: doc_id, first_line, last_line, source_id, source_line.
+
+    Lines are counted from 0 among the lines with words; the source is the earliest place of the run's windows."""
+    found = _runs(docs, min_words)
+    return found.select("doc_id", F.col("first").alias("first_line"), F.col("last").alias("last_line"), F.col("source.doc_id").alias("source_id"), F.col("source_first").alias("source_line"))
+
+
+def _cut(docs: DataFrame, min_words: int) -> DataFrame:
+    """own_row (the columns but text), own_text without its later repeated runs, n_lines, n_removed, n_runs."""
+    cols = docs.columns
+    spans = _runs(docs, min_words).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("th").alias("span_th"), "spans")
     whole = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.col("text").cast("string").alias("own_text"), F.struct(*[docs[c] for c in cols if c != "text"]).alias("own_row")).withColumn("own_th", F.xxhash64("own_text"))
     met = whole.join(spans, F.col("own_id").eqNullSafe(F.col("span_id")) & (F.col("own_th") == F.col("span_th")), "left").select("own_row", "own_text", "spans")
     row_type = met.schema["own_row"].dataType.simpleString()
@@ -126,11 +153,11 @@ def _cut(docs: DataFrame, min_words: int) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            text, spans_ = b.column(b.schema.get_field_index("own_text")), b.column(b.schema.get_field_index("spans"))
             row = b.column(b.schema.get_field_index("own_row"))
             at = 0
-            for part in chunked(zip(text, spans_, strict=True), lambda r: len(r[0].as_py() or "") + 100, 4 << 20):
-                got = [remove_lines(t.as_py(), [(s["first"], s["last"]) for s in x.as_py() or []]) for t, x in part]
+            for part in chunked(rows([b], "own_text", "spans"), lambda r: len(r[0] or "") + 100, 2 << 20):
+                lines = Lines([t for t, _ in part])
+                got = [remove_lines(t, lines.number[lo:hi], [(s["first"], s["last"]) for s in x or []]) for (t, x), lo, hi in zip(part, lines.bounds[:-1], lines.bounds[1:], strict=True)]
                 t, n, gone, runs = zip(*got, strict=True)
                 yield pa.RecordBatch.from_arrays([row.slice(at, len(part)), pa.array(t, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64())], names=names)
                 at += len(part)

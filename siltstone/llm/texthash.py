@@ -54,6 +54,14 @@ def raw_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = 1
     return out
 
 
+def run_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of runs h[start:end] of hashes, in their order."""
+    p, inv = _tables(len(h) + 1, base)
+    sums = np.zeros(len(h) + 1, _U)
+    np.cumsum(h * p[: len(h)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(_U))
+
+
 def word_table(is_word) -> np.ndarray:
     return np.array([bool(is_word(c)) for c in range(256)])
 

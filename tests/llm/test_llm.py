@@ -183,6 +183,41 @@ def test_lines(spark):
     assert got[1] == [(docs[0][1], 0, "k")] and got[2][0][1] == 4 and got[2][0][0].split() == ["other", "end"]
     assert got[3][0][1] == 0 and got[4] == [(None, 0, "k")] and got[5] == [("", 4, "k")] * 2 and got[6][0][1] == 0
     assert linededup.deduplicate_lines(spark.createDataFrame([], DOCS)).collect() == []
+    runs = {tuple(r) for r in linededup.repeated_runs(df).collect()}
+    assert runs == {(2, 1, 4, 1, 1), (5, 0, 3, 1, 1)}
+
+
+def test_runs_of_lines_against_brute_force(spark):
+    rng = random.Random(14)
+    line = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(rng.choice([0, 1, 3, 9, 25, 60])))
+    pool = [[line() for _ in range(rng.randint(1, 30))] for _ in range(6)]
+    docs = []
+    for i in range(30):
+        out = []
+        for _ in range(rng.randint(1, 3)):
+            p = rng.choice(pool)
+            a = rng.randrange(len(p))
+            out += p[a : rng.randint(a, len(p))] + [line()]
+        docs.append((i, "\n".join(out)))
+    words = [[x.split() for x in t.split("\n")] for _, t in docs]
+    kept = [[(k, w) for k, w in enumerate(ls) if w] for ls in words]
+    seen: dict = {}
+    for d, ls in enumerate(kept):  # every run of lines of enough words, however long, in order of its first line
+        for a in range(len(ls)):
+            for b in range(a, len(ls)):
+                if sum(len(w) for _, w in ls[a : b + 1]) >= 50:
+                    seen.setdefault(tuple(tuple(w) for _, w in ls[a : b + 1]), (d, a))
+    want = {}
+    for d, ls in enumerate(kept):
+        gone = set()
+        for a in range(len(ls)):
+            for b in range(a, len(ls)):
+                key = tuple(tuple(w) for _, w in ls[a : b + 1])
+                if seen.get(key, (d, a)) < (d, a):
+                    gone |= {k for k, _ in ls[a : b + 1]}
+        want[d] = "\n".join(x for k, x in enumerate(docs[d][1].split("\n")) if k not in gone)
+    got = {r.doc_id: r.text for r in linededup.deduplicate_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want
 
 
 def test_neighbours(spark):
