@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 from .common import file_system, rows, shared_dir, width, written
 from .texthash import mix
 
-TABLES, W, FIRST, REACH, HOT, BLOCK, UNIT = 8, 1.5, 4, 0.24, 4096, 512, 8 << 20
+TABLES, W, FIRST, REACH, HOT, BLOCK, UNIT = 8, 1.5, 3, 0.26, 4096, 2048, 8 << 20
+BUCKET = 512  # vectors; to visit a bucket costs about as much as to score so many
 GAIN = 0.9  # natural logarithm of how much rarer one more hash of width W makes it that two vectors share a bucket
 _U = np.uint64
 
@@ -75,40 +76,51 @@ class Hashes:
         """For each query the buckets to visit, in order of their probability within each table (the limit likeliest)."""
         place = (q @ self.a + self.b) / self.w
         cell = np.floor(place).astype(np.int64)
-        out = []
-        for r, d in enumerate(distance):
-            spread = max(float(d) / self.w, 1e-6)
-            far = math.ceil(5 * spread) + 1  # five deviations hold all but a millionth
-            edge = _erf((np.arange(-far, far + 2)[:, None] - (place[r] - cell[r])) / (spread * math.sqrt(2)))
-            p = (edge[1:] - edge[:-1]) / 2  # step x hash
-            keys = []
-            for t in range(self.tables):
-                s = slice(t * self.k, (t + 1) * self.k)
-                steps = _likely(p[:, s], reach, limit) - far
-                keys.append(self._key(cell[r, s] + steps, t))
-            out.append(np.concatenate(keys))
-        return out
-
-
-def _likely(p: np.ndarray, reach: float, limit: int | None) -> np.ndarray:
-    """Combinations of a step for each column of p, likeliest first, until their probabilities sum to reach."""
-    most = 4096
-    while True:
-        prob, at, whole = np.ones(1), np.zeros((1, 0), np.int64), True
-        for column in p.T:
-            some = np.flatnonzero(column > 1e-7)
-            both = (prob[:, None] * column[some]).ravel()
-            keep = np.arange(len(both))
-            if len(both) > most:
-                keep, whole = np.argpartition(-both, most)[:most], False
-            prob, at = both[keep], np.concatenate([at[keep // len(some)], some[keep % len(some), None]], 1)
-        order = np.argsort(-prob, kind="stable")
-        if limit is not None:
-            return at[order[:limit]]
-        total = np.cumsum(prob[order])
-        if whole or total[-1] >= reach:
-            return at[order[: int(np.searchsorted(total, reach)) + 1]]
-        most *= 4
+        spread = np.maximum(distance / self.w, 1e-6)
+        far = math.ceil(5 * float(spread.max())) + 1  # five deviations hold all but a millionth
+        edge = _erf((np.arange(-far, far + 2) - (place - cell)[..., None]) / (spread[:, None, None] * math.sqrt(2)))
+        p = ((edge[..., 1:] - edge[..., :-1]) / 2).reshape(len(q), self.tables, self.k, 2 * far + 1)  # query x table x hash x step
+        cell = cell.reshape(len(q), self.tables, self.k)
+        out: list[list[np.ndarray]] = [[] for _ in q]
+        for t in range(self.tables):
+            for who, steps, n in _likely(p[:, t], reach, limit):
+                keys = self._key(cell[who, t][:, None, :] + steps - far, t)
+                for i, row, m in zip(who.tolist(), keys, n.tolist(), strict=True):
+                    out[i].append(row[:m])
+        return [np.concatenate(x) for x in out]
+
+
+def _likely(p: np.ndarray, reach: float, limit: int | None):
+    """Of rows x hashes x steps the combinations of a step for each hash, likeliest first, until their probabilities sum to reach.
+
+    Yields (rows, their combinations, how many of them it takes). Only the likeliest steps and beginnings are followed;
+    more of them for rows where these fall short."""
+    left, some, most = np.arange(len(p)), 5, 256
+    while len(left):
+        some, block = min(some, p.shape[2]), max(1, (1 << 21) // (most * some))
+        whole = some == p.shape[2]
+        short = []
+        for at in range(0, len(left), block):
+            who = left[at : at + block]
+            prob, steps, complete = np.ones((len(who), 1)), np.zeros((len(who), 1, 0), np.int64), whole
+            for k in range(p.shape[1]):
+                pick = np.argpartition(-p[who, k], some - 1, axis=1)[:, :some]
+                both = (prob[:, :, None] * np.take_along_axis(p[who, k], pick, 1)[:, None, :]).reshape(len(who), -1)
+                keep = np.broadcast_to(np.arange(both.shape[1]), both.shape)
+                if both.shape[1] > most:
+                    keep, complete = np.argpartition(-both, most - 1, axis=1)[:, :most], False
+                prob = np.take_along_axis(both, keep, 1)
+                last = np.take_along_axis(pick, keep % some, 1)
+                steps = np.concatenate([np.take_along_axis(steps, (keep // some)[:, :, None], 1), last[:, :, None]], 2)
+            order = np.argsort(-prob, axis=1, kind="stable")
+            if limit is not None:
+                order = order[:, :limit]
+            total = np.cumsum(np.take_along_axis(prob, order, 1), 1)
+            done = np.full(len(who), limit is not None or complete) | (total[:, -1] >= reach)
+            n = np.full(len(who), order.shape[1]) if limit is not None else np.minimum((total < reach).sum(1) + 1, order.shape[1])
+            yield who[done], np.take_along_axis(steps, order[:, :, None], 1)[done], n[done]
+            short.append(who[~done])
+        left, some, most = np.concatenate(short), 2 * some + 1, 8 * most
 
 
 def _erf(x: np.ndarray) -> np.ndarray:
@@ -215,7 +227,7 @@ def usable(df: DataFrame) -> DataFrame:
 class Index:
     """Buckets of ``vectors(vec_id, embedding)`` in the shared folder: units (unit, path) and cells (key, pieces)."""
 
-    def __init__(self, vectors: DataFrame, bucket: int = 128):
+    def __init__(self, vectors: DataFrame, bucket: int = BUCKET):
         spark = vectors.sparkSession
         base = usable(vectors)
         norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
@@ -341,7 +353,7 @@ class Index:
         return merged(some.union(self.visit(bound, top, False)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, bucket: int = 128) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, bucket: int = BUCKET) -> DataFrame:
     """For ``vectors(vec_id, embedding)`` and queries of the same columns: query_id, rank, vec_id, score."""
     return Index(vectors, bucket).search(queries, top)
 
@@ -351,7 +363,7 @@ def op6_multiprobe_neighbours(spark, sf_dir):
     return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
-#: Exact search. It holds where a length has one bucket only (k is 0: below about 200 vectors).
+#: Exact search. It holds where a length has one bucket only (k is 0: below about 800 vectors).
 ORACLE = """
 WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL

@@ -278,7 +278,7 @@ def test_candidates_of_clustered_vectors():
     x = centre[rng.integers(0, len(centre), n)] + rng.standard_normal((n, 64)) * 0.04
     y = x / np.linalg.norm(x, axis=1).max()
     y = np.concatenate([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(1)))[:, None]], 1)
-    h = ann.Hashes(64, ann.hashes_for(n, 128))
+    h = ann.Hashes(64, ann.hashes_for(n, 512))
     keys, who = h.buckets(y), np.arange(0, n, n // 40)
     q = np.concatenate([x[who] / np.linalg.norm(x[who], axis=1)[:, None], np.zeros((len(who), 1))], 1)
     near = q @ y.T
@@ -286,7 +286,7 @@ def test_candidates_of_clustered_vectors():
     true = np.argsort(-near, axis=1)[:, :20]
     far = np.sqrt(2 - 2 * np.take_along_axis(near, true, 1)[:, -1])
     seen = [np.isin(keys, p).any(1) for p in h.probes(q, far, ann.REACH)]
-    assert np.mean([m[t].mean() for m, t in zip(seen, true, strict=True)]) > 0.9 and np.mean(seen) < 0.15
+    assert np.mean([m[t].mean() for m, t in zip(seen, true, strict=True)]) > 0.9 and np.mean(seen) < 0.2
 
 
 def brute_repeats(docs, length=100):
