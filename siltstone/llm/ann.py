@@ -211,6 +211,8 @@ def _answer(unit: _Unit, block: list[tuple], top: int):
     qs, vs, ss = (np.concatenate(c) for c in zip(*got, strict=True))
     best = _best(qs, vs, ss, top)
     qs, vs, ss = qs[best], vs[best], ss[best]
+    if not len(qs):  # a bucket that holds nothing but its query
+        return None
     start = np.flatnonzero(_ranks(qs) == 0)
     ends = [*start[1:], len(qs)]
     packed = [vs[a:b].tobytes() + ss[a:b].tobytes() for a, b in zip(start, ends, strict=True)]  # a row for each query

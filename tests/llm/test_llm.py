@@ -270,6 +270,17 @@ def test_neighbours_of_each_length(spark):
     assert hits >= 0.95 * len(got)
 
 
+def test_neighbours_of_lonely_and_of_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.tile([[1.0, 2.0, 3.0, 4.0]], (1500, 1)), rng.standard_normal((700, 4)) * 0.2, [[-90.0, 40.0, 3.0, 1.0]]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), bucket=16).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert [v for _, v in sorted(got[40])] == [*range(20)]  # of equal ones the smallest identifiers
+    assert set(got) == set(range(0, 2201, 20))
+
+
 def test_candidates_of_clustered_vectors():
     rng = np.random.default_rng(3)
     n = 40_000
