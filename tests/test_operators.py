@@ -145,6 +145,9 @@ def test_entities(spark):
     got = {(r.query_id, r.kind, r.value) for r in understand.entities(q).collect()}
     assert {(1, "file_type", "pdf"), (1, "person", "John Smith"), (1, "size", "10 mb"), (1, "date", "2024-01-05"), (3, "file_type", "xlsx")} <= got
     assert any(k == 3 and kind == "person" for k, kind, _ in got)
+    more = spark.createDataFrame([(1, "XLSX files written by Ada Lovelace on March 3, 2021"), (2, "powerpoint presentations over 2 GB"), (3, ".tar files, report of Mr Long")], "query_id long, text string")
+    found = {(r.query_id, r.kind, r.value) for r in understand.entities(more).collect()}
+    assert {(1, "file_type", "xlsx"), (1, "person", "Ada Lovelace"), (1, "date", "March 3, 2021"), (2, "file_type", "pptx"), (2, "size", "2 GB"), (3, "file_type", "tar"), (3, "person", "Mr Long")} <= found
 
 
 def test_strategies(spark):
@@ -190,6 +193,12 @@ def test_redaction(spark):
     df = spark.createDataFrame([("mail a.b@c.org from 10.0.0.1 ssn 123-45-6789",), (None,), ("",)], "t string")
     got = [r[0] for r in df.select(T.redact_secrets(F.col("t"))).collect()]
     assert got == ["mail [REDACTED-EMAIL] from [REDACTED-IP] ssn [REDACTED-SSN]", None, ""]
+    more = spark.createDataFrame([("the key: value stays, the rest of it too",), ("password = 'a b', token:xyz; ok",), ('api_key="q r" done',), ("card 1234-5678-9012-3456.",)], "t string")
+    assert [r[0] for r in more.select(T.redact_secrets(F.col("t"))).collect()] == [
+        "the key=[REDACTED] stays, the rest of it too", "password=[REDACTED], token=[REDACTED]; ok", "api_key=[REDACTED] done", "card [REDACTED-CARD].",
+    ]
+    some = spark.createDataFrame([("ftp://u:pw@h/x 555-123-4567 a.b@c.d.org " + "k" * 20,)], "t string")
+    assert some.select(T.redact_sensitive(F.col("t"))).first()[0] == "ftp[REDACTED]h/x [REDACTED] [REDACTED] [REDACTED]"
 
 
 def test_files(spark, tmp_path):
