@@ -1,8 +1,7 @@
-"""Lexical search over derived tables: postings with positions, BM25, prefix, phrase and boolean matches.
+"""Lexical search: postings with positions, BM25, prefix, phrase and boolean matches.
 
-Queries come in as a table (query_id, term), so a batch of queries is one plan. Postings carry the term
-statistics that scoring needs; a search joins only the postings of its terms, which the term filter
-prunes before anything is shuffled."""
+Queries come in as a table (query_id, term), so a batch of queries is one plan. ``bm25`` scores a table of texts
+that has no index, in passes over the texts; ``inverted`` stores postings, and its searches read those of their terms only."""
 
 from __future__ import annotations
 
@@ -38,9 +37,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 20, tokens: Column
     corpus = words.agg(F.count("*").alias("n"), F.avg("len").alias("mean_len"))
     tf = words.select("doc_id", "len", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    return ranked(tf.join(df, "term").join(asked, "term"), corpus, k)
+
+
+def ranked(found: DataFrame, corpus: DataFrame, k: int | None) -> DataFrame:
+    """The best documents of each query from (query_id, term, doc_id, len, tf, df) and the one row (n, mean_len)."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
-    hits = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus))  # corpus is one row
+    hits = found.crossJoin(F.broadcast(corpus))  # corpus is one row
     scored = hits.withColumn("s", score).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
     return top_k(scored, k)
 
@@ -59,10 +63,11 @@ def prefix_matches(docs: DataFrame, prefix: str) -> DataFrame:
 def phrase_matches(posts: DataFrame, phrase: list[str], key: str = "doc_id") -> DataFrame:
     """(key, hits): places where the words follow each other, by arithmetic on positions."""
     wanted = posts.where(F.col("term").isin(phrase))
+    own_row = [key, *(c for c in ("len",) if c in posts.columns)]  # stored postings keep rows of one key apart by their length
     starts = None
     for i, w in enumerate(phrase):
-        own = wanted.where(F.col("term") == w).select(key, F.expr(f"transform(positions, p -> p - {i})").alias(f"p{i}"))
-        starts = own if starts is None else starts.join(own, key)
+        own = wanted.where(F.col("term") == w).select(*own_row, F.expr(f"transform(positions, p -> p - {i})").alias(f"p{i}"))
+        starts = own if starts is None else starts.join(own, own_row)
     both = F.col("p0")
     for i in range(1, len(phrase)):
         both = F.array_intersect(both, F.col(f"p{i}"))

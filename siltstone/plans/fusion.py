@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hybrid as H
-from ..operators import lexical, vectors
+from ..operators import vectors
+from ..operators.inverted import stored
 from .catalog import query, table
 from .search import bm25_sql
 from .vectors import COS
@@ -17,7 +18,7 @@ VEC = f"""SELECT 1 query_id, id, score, row_number() OVER (ORDER BY round(score,
 
 def _sides(spark, d):
     docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
-    lex = lexical.bm25(docs, spark.createDataFrame(ASKED, "query_id int, term string"), 20).withColumnRenamed("doc_id", "id")
+    lex = stored(docs).search(spark.createDataFrame(ASKED, "query_id int, term string"), 20).withColumnRenamed("doc_id", "id")
     q = e.where("vec_id = 0").select(F.lit(1).alias("query_id"), F.col("embedding").alias("q"))
     return lex, vectors.knn(e, q, 20, 0.2).withColumnRenamed("vec_id", "id")
 

@@ -9,6 +9,7 @@ from ..boolean.compile import boolean_search
 from ..boolean.parser import parse
 from ..functions import text as T
 from ..operators import lexical
+from ..operators.inverted import stored
 from .catalog import QUERIES, Query, query, table
 from .texts import TOKENS
 
@@ -48,13 +49,13 @@ LITERALS = [(1, "the"), (1, "of"), (2, "erheble"), (2, "from"), (3, "worthless")
 
 @query(bm25_sql("VALUES " + ", ".join(f"({i}, '{t}')" for i, t in LITERALS), 20))
 def bm25_search(spark, d):
-    return lexical.bm25(_docs(spark, d), _terms(spark, LITERALS), 20)
+    return stored(_docs(spark, d)).search(_terms(spark, LITERALS), 20)
 
 
 @query(bm25_sql(f"SELECT CAST(item_id AS INTEGER), unnest({TOKENS.format('text')}) FROM benchmark", 5))
 def bm25_batch(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.explode(T.ascii_tokens(F.col("text"))).alias("term"))
-    return lexical.bm25(_docs(spark, d), q, 5)
+    return stored(_docs(spark, d)).search(q, 5)
 
 
 @query(f"SELECT doc_id, CAST(h AS INTEGER) hits FROM (SELECT doc_id, len(list_filter(t, lambda x: starts_with(x, 'wor'))) h FROM ({DOCS})) WHERE h > 0")
@@ -64,22 +65,22 @@ def prefix_search(spark, d):
 
 @query(f"SELECT doc_id, CAST(n AS INTEGER) hits FROM (SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) n FROM ({DOCS})) WHERE n > 0")
 def phrase_search(spark, d):
-    return lexical.phrase_matches(lexical.postings(_docs(spark, d)), ["of", "the"])
+    return lexical.phrase_matches(stored(_docs(spark, d)).postings, ["of", "the"])
 
 
 @query(f"SELECT doc_id FROM ({DOCS}) WHERE list_contains(t, 'with') AND list_contains(t, 'from') AND list_contains(t, 'was')")
 def all_terms(spark, d):
-    return lexical.all_of(lexical.postings(_docs(spark, d)), ["with", "from", "was"])
+    return lexical.all_of(stored(_docs(spark, d)).postings, ["with", "from", "was"])
 
 
 @query(f"SELECT doc_id FROM ({DOCS}) WHERE list_contains(t, 'moron') OR list_contains(t, 'scum')")
 def any_term(spark, d):
-    return lexical.any_of(lexical.postings(_docs(spark, d)), ["moron", "scum"])
+    return lexical.any_of(stored(_docs(spark, d)).postings, ["moron", "scum"])
 
 
 @query(f"SELECT count(*) n FROM ({DOCS}) WHERE list_contains(t, 'this')")
 def match_count(spark, d):
-    return lexical.any_of(lexical.postings(_docs(spark, d)), ["this"]).agg(F.count("*").alias("n"))
+    return lexical.any_of(stored(_docs(spark, d)).postings, ["this"]).agg(F.count("*").alias("n"))
 
 
 HAS = "contains(' ' || list_aggregate(t, 'string_agg', ' ') || ' ', ' {} ')"
