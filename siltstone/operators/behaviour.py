@@ -118,3 +118,30 @@ def learning_state(n: Column, accuracy: Column) -> Column:
     return F.when(n <= 5, "ColdStart").when(n <= 20, "Bootstrapping").when(accuracy >= 0.8, "Stable").when(accuracy >= 0.6, "Active").otherwise("Degraded")
 
 
+def adaptations(models: DataFrame, conditions: list[tuple[str, str, str, float]]) -> DataFrame:
+    """(user_id, strategy): strategies all of whose conditions (strategy, metric, '<' or '>', threshold) hold for a model's metrics.
+
+    A null metric fulfils no condition; conditions are a stated list and become expressions."""
+    need: dict[str, Column] = {}
+    for strategy, metric, op, bound in conditions:
+        ok = F.col(metric) < bound if op == "<" else F.col(metric) > bound
+        need[strategy] = need[strategy] & ok if strategy in need else ok
+    apply = F.array_compact(F.array(*[F.when(ok, F.lit(s)) for s, ok in need.items()]))
+    return models.select("user_id", F.explode(apply).alias("strategy"))
+
+
+def due(state: Column, adapted: Column, accuracy: Column) -> Column:
+    """Whether a model in this learning state is to be adapted now."""
+    return F.when(state.isin("ColdStart", "Degraded"), True).when(state == "Bootstrapping", adapted % 10 == 0).when(state == "Active", accuracy < 0.8).otherwise(False)
+
+
+def session_suggestions(sessions: DataFrame, goals: DataFrame, areas: DataFrame) -> DataFrame:
+    """(session_id, kind, content, relevance) from sessions(session_id, queries), goals(session_id, goal, progress, active) and
+    areas(session_id, area, queries, success): unfinished goals, areas of little success, goals to split, goals to set."""
+    g = goals.where("active AND progress < 1")
+    on = g.select("session_id", F.lit("query").alias("kind"), F.concat(F.lit("continue: "), "goal").alias("content"), (0.8 * (1 - F.col("progress"))).alias("relevance"))
+    split = g.where("progress < 0.2").select("session_id", F.lit("refine_goal").alias("kind"), F.concat(F.lit("split: "), "goal").alias("content"), F.lit(0.5).alias("relevance"))
+    other = areas.where("queries > 2 AND success < 0.5").select("session_id", F.lit("query").alias("kind"), F.concat(F.lit("other ways: "), "area").alias("content"), F.lit(0.7).alias("relevance"))
+    none = sessions.where("queries > 3").join(goals.select("session_id").distinct(), "session_id", "left_anti")
+    fresh = none.select("session_id", F.lit("set_goal").alias("kind"), F.lit("set goals").alias("content"), F.lit(0.6).alias("relevance"))
+    return on.unionByName(split).unionByName(other).unionByName(fresh)

@@ -42,11 +42,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 20, tokens: Column
 
 def ranked(found: DataFrame, corpus: DataFrame, k: int | None) -> DataFrame:
     """The best documents of each query from (query_id, term, doc_id, len, tf, df) and the one row (n, mean_len)."""
+    return top_k(scored(found, corpus), k)
+
+
+def scored(found: DataFrame, corpus: DataFrame, boost: Column | float = 1.0) -> DataFrame:
+    """(query_id, doc_id, score) of all documents that hold an asked term."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     hits = found.crossJoin(F.broadcast(corpus))  # corpus is one row
-    scored = hits.withColumn("s", score).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
-    return top_k(scored, k)
+    return hits.withColumn("s", score * boost).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"))
 
 
 def top_k(scored: DataFrame, k: int | None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Signs of unsafe queries.
 UNSAFE = [r"(?i)\b(drop|delete|truncate|alter)\s+(table|from|database)\b", r"(?i)<script\b", r"(?i)javascript:", r"\.\./", r"(?i)\bunion\s+select\b", r"[;|`]\s*(rm|cat|curl|wget)\b"]
@@ -108,3 +111,79 @@ def role_closure(spark, parents: DataFrame) -> DataFrame:
         if more.count() == reach.count():
             return reach
         reach = more
+
+
+@dataclass(frozen=True)
+class Rule:
+    """effect for resources like glob, an action (or '*') and conditions (field, operator, value) that must all hold."""
+
+    name: str
+    effect: str
+    glob: str
+    action: str = "*"
+    conditions: tuple[tuple[str, str, str], ...] = ()
+
+
+def condition(field: Column, op: str, value: str) -> Column:
+    """One of ten comparisons of a request's field (null: empty) with a text; what isn't a number compares as 0."""
+    c = F.coalesce(field.cast("string"), F.lit(""))
+    number = F.coalesce(c.try_cast("double"), F.lit(0.0))
+    match op:
+        case "equals":
+            return c == value
+        case "not_equals":
+            return c != value
+        case "contains":
+            return F.contains(c, F.lit(value))
+        case "starts_with":
+            return F.startswith(c, F.lit(value))
+        case "ends_with":
+            return F.endswith(c, F.lit(value))
+        case "greater" | "less":
+            try:
+                bound = float(value)
+            except ValueError:
+                bound = 0.0
+            return number > bound if op == "greater" else number < bound
+        case "matches":
+            return c.rlike(value)
+        case "in":
+            return c.isin(value.split(","))
+        case "not_in":
+            return ~c.isin(value.split(","))
+    raise ValueError(f"no such operator: {op}")
+
+
+def first_rule(rules: list[Rule], resource: Column, action: Column, fields: dict[str, Column]) -> Column:
+    """struct(rule, effect) of the first rule that matches, or (null, not_applicable). One expression, no join."""
+    out = F.struct(F.lit(None).cast("string").alias("rule"), F.lit("not_applicable").alias("effect"))
+    for r in reversed(rules):
+        parts = ("".join({"*": ".*", "?": "."}.get(x, x if x.isalnum() or x in "_/-" else "\\" + x) for x in r.glob),)
+        ok = F.coalesce(resource, F.lit("")).rlike(f"^{parts[0]}$")
+        if r.action != "*":
+            ok = ok & action.eqNullSafe(F.lit(r.action))
+        for field, op, value in r.conditions:
+            ok = ok & condition(fields.get(field, F.lit("")), op, value)
+        out = F.when(ok, F.struct(F.lit(r.name).alias("rule"), F.lit(r.effect).alias("effect"))).otherwise(out)
+    return out
+
+
+def session_validity(accesses: DataFrame, timeout_s: int) -> DataFrame:
+    """accesses(session, ts, seq) + valid: a session lives while no two accesses are further apart than its timeout; once expired it stays so."""
+    w = Window.partitionBy("session").orderBy("ts", "seq")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = us - F.lag(us).over(w)
+    worst = F.max("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return accesses.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("valid", worst <= timeout_s * 1_000_000).drop("_gap")
+
+
+def security_report(events: DataFrame, last: int = 1000) -> DataFrame:
+    """One row over the last events(ts, seq, session, severity, kind): counts, threat level and advice."""
+    sev = F.col("severity")
+    a = events.orderBy(F.desc("ts"), F.desc("seq")).limit(last).agg(
+        F.count("*").alias("total_events"), F.countDistinct("session").alias("active_sessions"), F.count_if(sev == "critical").alias("critical_events"), F.count_if(sev == "high").alias("high_events"),
+        F.count_if(F.col("kind") == "failed_login").alias("_logins"), F.count_if(F.col("kind") == "injection").alias("_injections"), F.count_if(F.col("kind") == "traversal").alias("_paths"),
+    )
+    threat = F.when(F.col("critical_events") > 0, "critical").when(F.col("high_events") > 5, "high").when(F.col("high_events") > 0, "medium").otherwise("low")
+    advice = F.array_compact(F.array(F.when(F.col("_logins") > 10, "lock accounts after failed logins"), F.when(F.col("_injections") > 0, "validate input against injection"), F.when(F.col("_paths") > 0, "check paths")))
+    return a.select("total_events", "active_sessions", "critical_events", "high_events", threat.alias("threat_level"), F.array_join(advice, "; ").alias("advice"))

@@ -16,7 +16,7 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
-MODULES = ("documents", "texts", "chunks", "search", "vectors", "fusion", "understanding", "ranking", "results", "suggestions", "behaviour", "operations", "security", "media", "streams", "extras")
+MODULES = ("documents", "texts", "chunks", "search", "vectors", "fusion", "understanding", "ranking", "results", "suggestions", "behaviour", "operations", "security", "media", "streams", "extras", "upkeep")
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -5,14 +5,16 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..operators.store import size_category
+from ..operators.store import latest, size_category
 
 #: File classes by extension, beginnings of files (hex), folders that are passed over.
 CLASSES = {"pdf": "Pdf", "docx": "Docx", "doc": "Docx", "txt": "Text", "md": "Markdown", "markdown": "Markdown", "html": "Html", "htm": "Html", "jpg": "Image", "jpeg": "Image", "png": "Image", "gif": "Image", "bmp": "Image", "mp3": "Audio", "wav": "Audio", "flac": "Audio", "ogg": "Audio", "mp4": "Video", "avi": "Video", "mkv": "Video", "mov": "Video", "eml": "Email", "msg": "Email"}
@@ -91,28 +93,126 @@ def docx_text(data: bytes) -> str:
     return " ".join(re.sub(r"<[^>]*>", " ", xml).split())
 
 
+_PDF_STREAM = re.compile(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n")
+_PDF_SIGN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[A-Za-z'\"*]+|[-+.\d]+", re.S)
+_PDF_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
+_PDF_CODES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()).decode("cp1252", "replace")
+
+    def code(m: re.Match) -> bytes:
+        x = m[1]
+        return _PDF_CODES.get(x) or (bytes([int(x, 8) & 255]) if x[:1].isdigit() else b"" if x[-1:] == b"\n" else x)
+
+    return _PDF_ESCAPE.sub(code, token[1:-1]).decode("cp1252", "replace")
+
+
+def pdf_text(data: bytes) -> str:
+    """Text that the content streams of a PDF show, words and lines parted by one space.
+
+    Streams are plain or deflated, strings in the common one-byte encoding. Files with fonts of their own encoding, with
+    encryption or without text give little or nothing; they are left to character recognition."""
+    out: list[str] = []
+    for m in _PDF_STREAM.finditer(data):
+        end = data.find(b"endstream", m.end())
+        body = data[m.end() : end if end >= 0 else len(data)]
+        if b"/Subtype" in m[1] or b"/ObjStm" in m[1] or b"/XRef" in m[1]:
+            continue  # images, fonts, tables of objects
+        if b"/FlateDecode" in m[1]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        for text in re.findall(rb"\bBT\b(.*?)\bET\b", body, re.S):
+            strings: list[str] = []
+            in_array = False
+            for token in _PDF_SIGN.findall(text):
+                if token[:1] in b"(<":
+                    strings.append(_pdf_string(token))
+                elif token == b"[":
+                    in_array, strings = True, []
+                elif token == b"]":
+                    in_array = False
+                elif in_array and token[:1] in b"-+.0123456789":
+                    if token[:1] == b"-" and float(token) < -200:  # a gap as wide as a space
+                        strings.append(" ")
+                elif token in (b"Tj", b"TJ", b"'", b'"'):
+                    out.append(("\n" if token in (b"'", b'"') else "") + "".join(strings))
+                    strings = []
+                elif token in (b"Td", b"TD", b"T*", b"Tm"):
+                    out.append("\n")
+            out.append("\n")
+    return " ".join("".join(out).split())
+
+
+def mail_fields(raw: Column) -> Column:
+    """struct(subject, sender, recipient, date, body) of a message: headers end at the first empty line, folded ones are joined.
+
+    Fields that are missing are null; a text without an empty line is all headers."""
+    text = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
+    cut = F.locate("\n\n", text)
+    head = F.regexp_replace(F.when(cut > 0, F.left(text, cut - 1)).otherwise(text), r"\n[ \t]+", " ")
+    body = F.when(cut > 0, F.substring(text, cut + 2, F.length(text))).otherwise(F.lit(""))
+    named = lambda n: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{n}:[ \t]*(.*)$", 1)), F.lit(""))
+    return F.struct(named("Subject").alias("subject"), named("From").alias("sender"), named("To").alias("recipient"), named("Date").alias("date"), body.alias("body"))
+
+
 def documents(files: DataFrame, min_chars: int = 0) -> DataFrame:
     """Files as documents: path, kind, size class, hash, text, needs_ocr.
 
-    Text, Markdown and HTML are read by expressions; only archives of office documents need Python."""
+    Text, Markdown, HTML and mails (subject, sender and body) are read by expressions; only office documents and PDF need
+    Python. Images, and PDF files that show no text, are marked for character recognition."""
     f = files.withColumn("kind", detected(F.col("path"), F.col("content"))["kind"])
     raw = F.decode("content", "UTF-8")
-    plain = f.where("kind <> 'Docx'").withColumn("text", F.when(F.col("kind") == "Html", T.strip_html(raw)).when(F.col("kind") == "Markdown", T.strip_markdown(raw)).when(F.col("kind").isin("Text", "Email"), T.folded(raw)).otherwise(F.lit("")))
+    mail = mail_fields(raw)
+    mailed = T.folded(F.concat_ws(" ", mail["subject"], mail["sender"], mail["body"]))
+    plain = f.where("kind NOT IN ('Docx', 'Pdf')").withColumn(
+        "text", F.when(F.col("kind") == "Html", T.strip_html(raw)).when(F.col("kind") == "Markdown", T.strip_markdown(raw)).when(F.col("kind") == "Email", mailed).when(F.col("kind") == "Text", T.folded(raw)).otherwise(F.lit(""))
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            x["text"] = [docx_text(c) for c in x["content"]]
+            x["text"] = [pdf_text(c) if k == "Pdf" else docx_text(c) for k, c in zip(x["kind"], x["content"], strict=True)]
             yield x
 
     schema = plain.schema
-    office = f.where("kind = 'Docx'").withColumn("text", F.lit("")).mapInPandas(run, schema)
+    office = f.where("kind IN ('Docx', 'Pdf')").withColumn("text", F.lit("")).mapInPandas(run, schema)
     out = plain.unionByName(office)
+    ocr = (F.col("kind") == "Image") | ((F.col("kind") == "Pdf") & (F.col("text") == ""))
     return out.select(
         "path", "kind", "length", F.col("modificationTime").alias("modified"), size_category(F.col("length")).alias("size_category"), partial_hash(F.col("content")).alias("content_hash"),
-        "text", T.language(F.col("text")).alias("lang"), F.col("kind").isin("Pdf", "Image").alias("needs_ocr"),
+        "text", T.language(F.col("text")).alias("lang"), ocr.alias("needs_ocr"),
     ).where((F.length("text") >= min_chars) | F.col("needs_ocr"))
 
 
+def watch(spark: SparkSession, root: str, target: str, state: str, once: bool = True) -> StreamingQuery:
+    """New files below root become documents in target, one folder a batch; ``state`` (a checkpoint) is what it has seen.
+
+    A batch that runs again after a lost driver writes its folder again, so nothing is taken twice. The source tells
+    created files and those that got a new name; ``operators.upkeep.changes`` tells the rest from two listings."""
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
+
+    def take(batch: DataFrame, number: int) -> None:
+        documents(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    w = found.writeStream.foreachBatch(take).option("checkpointLocation", state)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def watched(spark: SparkSession, target: str) -> DataFrame:
+    """What a watch has written: of each path the document of the latest batch."""
+    return latest(spark.read.parquet(target), ["path"], F.desc("batch"))
+
+
+def file_count(spark: SparkSession, root: str, **options) -> int:
+    """Files below a folder, by their names alone; options as for ``listing``."""
+    return listing(spark, root, content=False, **options).count()
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition: list[str] | None = None, mode: str = "append") -> None:
     """Appends or overwrites a table; kind is any of Spark's file formats."""
     w = df.write.mode(mode).format(kind)
