@@ -93,7 +93,7 @@ def docx_text(data: bytes) -> str:
     return " ".join(re.sub(r"<[^>]*>", " ", xml).split())
 
 
-_PDF_STREAM = re.compile(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n")
+_PDF_STREAM = re.compile(rb">>\s*stream\r?\n")
 _PDF_SIGN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[A-Za-z'\"*]+|[-+.\d]+", re.S)
 _PDF_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3}|\r?\n)")
 _PDF_CODES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -117,12 +117,15 @@ def pdf_text(data: bytes) -> str:
     Streams are plain or deflated, strings in the common one-byte encoding. Files with fonts of their own encoding, with
     encryption or without text give little or nothing; they are left to character recognition."""
     out: list[str] = []
-    for m in _PDF_STREAM.finditer(data):
+    at = 0
+    while m := _PDF_STREAM.search(data, at):
+        about = data[max(data.rfind(b"obj", at, m.start()), at) : m.start()]
         end = data.find(b"endstream", m.end())
-        body = data[m.end() : end if end >= 0 else len(data)]
-        if b"/Subtype" in m[1] or b"/ObjStm" in m[1] or b"/XRef" in m[1]:
+        end = end if end >= 0 else len(data)
+        body, at = data[m.end() : end], end
+        if b"/Subtype" in about or b"/ObjStm" in about or b"/XRef" in about:
             continue  # images, fonts, tables of objects
-        if b"/FlateDecode" in m[1]:
+        if b"/FlateDecode" in about:
             try:
                 body = zlib.decompressobj().decompress(body)
             except zlib.error:
