@@ -155,11 +155,11 @@ def pdf_text(data: bytes) -> str:
 def mail_fields(raw: Column) -> Column:
     """struct(subject, sender, recipient, date, body) of a message: headers end at the first empty line, folded ones are joined.
 
-    Fields that are missing are null; a text without an empty line is all headers."""
+    Fields that are missing are null, and all of a null text are; a text without an empty line is all headers."""
     text = F.replace(raw, F.lit("\r\n"), F.lit("\n"))
     cut = F.locate("\n\n", text)
     head = F.regexp_replace(F.when(cut > 0, F.left(text, cut - 1)).otherwise(text), r"\n[ \t]+", " ")
-    body = F.when(cut > 0, F.substring(text, cut + 2, F.length(text))).otherwise(F.lit(""))
+    body = F.when(cut > 0, F.substring(text, cut + 2, F.length(text))).when(cut == 0, F.lit(""))
     named = lambda n: F.nullif(F.trim(F.regexp_extract(head, rf"(?im)^{n}:[ \t]*(.*)$", 1)), F.lit(""))
     return F.struct(named("Subject").alias("subject"), named("From").alias("sender"), named("To").alias("recipient"), named("Date").alias("date"), body.alias("body"))
 
