@@ -19,7 +19,7 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [k for k, q in QUERIES.items() if not q.sql])
 def test_runs(spark, name):
     df = QUERIES[name].build(spark, DATA)
-    assert df.columns and len(df.collect()) >= 0
+    assert df.columns and df.limit(1).collect()
 
 
 def test_entry(spark):
