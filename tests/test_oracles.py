@@ -9,6 +9,7 @@ from siltstone.plans.catalog import load
 from .conftest import DATA, same
 
 QUERIES = load()
+NONE = {"regenerated_embeddings"}  # every document of the smallest tables has its vector
 
 
 @pytest.mark.parametrize("name", [k for k, q in QUERIES.items() if q.sql])
@@ -19,7 +20,7 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", [k for k, q in QUERIES.items() if not q.sql])
 def test_runs(spark, name):
     df = QUERIES[name].build(spark, DATA)
-    assert df.columns and df.limit(1).collect()
+    assert df.columns and bool(df.limit(1).collect()) == (name not in NONE)
 
 
 def test_entry(spark):
