@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, htmlmain, linededup, neardup, packing, pfp, sstable, toxicity, warc
+from . import ann, decontam, filteraudit, htmlmain, linededup, neardup, packing, pfp, sstable, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         decontam.op8_suffix_array_decontamination,
         htmlmain.op9_recurrent_main_text,
         neardup.op10_tensored_near_duplicates,
+        filteraudit.op11_adjacent_swap_audit,
     )
 }
 
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op7_prefix_free_repeats": pfp.ORACLE,
     "op8_suffix_array_decontamination": decontam.ORACLE,
     "op10_tensored_near_duplicates": neardup.ORACLE,
+    "op11_adjacent_swap_audit": filteraudit.ORACLE,
 }
