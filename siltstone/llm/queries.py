@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, filteraudit, htmlmain, linededup, neardup, packing, pfp, simhash, sstable, toxicity, warc
+from . import ann, decontam, filteraudit, htmlmain, linededup, neardup, packing, pfp, simhash, sstable, tokenalign, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         htmlmain.op9_recurrent_main_text,
         neardup.op10_tensored_near_duplicates,
         filteraudit.op11_adjacent_swap_audit,
+        tokenalign.op12_overlap_components,
         simhash.op13_anchor_covered_simhash,
     )
 }
