@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from .common import chunked, rows, written
 from .tokens import PieceEncoder, vocabulary_path
 
 BATCH = 4 << 20
-PIECES = 200_000  # that a worker remembers; beyond, it begins anew
+PIECES = 400_000  # that a worker remembers; beyond, it begins anew
 BLOCK = 4096  # larger groups are paired by their different ids
 _READY: dict[tuple[str, str], Aligner] = {}
 
@@ -101,12 +102,11 @@ class Aligned:
         self.pairs = np.zeros(0, np.int64)
         self.times = np.zeros(0, np.int64)
 
-    def add(self, ids_a: list[np.ndarray], ids_b: list[np.ndarray], len_a: np.ndarray, len_b: np.ndarray) -> None:
-        if not ids_a:
+    def add(self, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, vocabulary: Vocabulary) -> None:
+        """Pieces with na[k] and nb[k] tokens each, of the ids a and b one after another."""
+        if not len(na):
             return
-        a, b = np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b).astype(np.int64)
-        na, nb = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
-        group_a, group_b = components(np.cumsum(len_a[a]), np.cumsum(len_b[b]))
+        group_a, group_b = components(np.cumsum(vocabulary.len_a[a]), np.cumsum(vocabulary.len_b[b]))
         item = np.repeat(np.arange(len(na)), na)
         of = item[np.searchsorted(group_a, np.arange(int(group_a[-1]) + 1))]  # the piece of each group
         ga, gb = np.bincount(group_a), np.bincount(group_b)
@@ -122,13 +122,29 @@ class Aligned:
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.bincount(where[new], minlength=len(na)))])
         self.pairs = np.concatenate([self.pairs, pair[new]])
         self.times = np.concatenate([self.times, np.add.reduceat(times, new)])
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        x = y = 0
-        forms: list[list[str]] = [[] for _ in na]
-        for i, p, q in zip(of.tolist(), ga.tolist(), gb.tolist(), strict=True):
-            forms[i].append(f"{','.join(sa[x : x + p])}|{','.join(sb[y : y + q])}")
-            x, y = x + p, y + q
-        self.forms += map(";".join, forms)
+        # each token with what follows it: another of its side, the other side, another group, the end of its piece
+        last_a, last_b = np.cumsum(ga) - 1, np.cumsum(gb) - 1
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[last_a], end_b[last_b] = 1, 2
+        end_b[np.cumsum(nb) - 1] = 3
+        codes = np.concatenate([a + end_a * vocabulary.size, b + end_b * vocabulary.size])
+        codes = codes[np.argsort(np.concatenate([group_a * 2, group_b * 2 + 1]), kind="stable")]
+        self.forms += "".join(map(vocabulary.names.__getitem__, codes.tolist())).split("\n")[:-1]
+
+
+class Vocabulary:
+    """Bytes of the tokens of both sides, and ids as text with each of the signs that can follow."""
+
+    def __init__(self, bytes_a: list[bytes], bytes_b: list[bytes]):
+        self.bytes_a, self.bytes_b = bytes_a, bytes_b
+        self.len_a, self.len_b = (np.array([len(x) for x in t]) for t in (bytes_a, bytes_b))
+        self.size = max(len(bytes_a), len(bytes_b))
+        self.names = [f"{i}{end}" for end in ",|;\n" for i in range(self.size)]
+
+    def whole(self, a: np.ndarray, b: np.ndarray, text: str) -> bool:
+        """Whether both give back the text behind a space."""
+        want = text.encode("utf-8", "surrogatepass")
+        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
 
 
 class Aligner:
@@ -137,10 +153,9 @@ class Aligner:
 
         self.a = PlainEncoder(name_a)
         self.b = SentencePieceProcessor(model_file=name_b)
-        self.bytes_a = self.a.token_bytes()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.len_a, self.len_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
+        self.vocabulary = Vocabulary(self.a.token_bytes(), [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
+        self.kind = np.dtype(f"<u{self.a.itemsize}")
         self.space = self.b.piece_to_id("▁")
         self.forget()
 
@@ -148,35 +163,38 @@ class Aligner:
         self.number: dict[str, int] = {}  # of a piece; -1: its tokens don't give it back
         self.known = Aligned()
 
-    def _ids_b(self, texts: list[str]) -> list[np.ndarray]:
-        """The tokenizer puts a space before each text, but for an empty one."""
-        return [np.array(x or [self.space], np.int64) for x in self.b.encode(texts, num_threads=1)]
-
-    def _whole(self, a: np.ndarray, b: np.ndarray, text: str) -> bool:
-        want = (" " + text).encode("utf-8", "surrogatepass")
-        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == want == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+    def _ids_b(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids one after another and how many each text has; the tokenizer puts a space before each text, but for an empty one."""
+        ids = [x or [self.space] for x in self.b.encode(texts, num_threads=1)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
 
     def learn(self, pieces: set[str]) -> None:
         got = self.a._learn(pieces)
-        names = list(got)
-        kind = f"<u{self.a.itemsize}"
-        ids_a = [np.frombuffer(got[p], kind) for p in names]
-        ids_b = self._ids_b(names)
-        good = [self._whole(*x) for x in zip(ids_a, ids_b, names, strict=True)]
+        if len(self.a.cache) < self.a.CACHE:
+            self.a.cache.update(got)
+        names, v = list(got), self.vocabulary
+        a = np.frombuffer(b"".join(got.values()), self.kind).astype(np.int64)
+        na = np.fromiter(map(len, got.values()), np.int64, len(names)) // self.kind.itemsize
+        b, nb = self._ids_b(names)
+        if v.whole(a, b, " " + " ".join(names)) and (np.add.reduceat(v.len_a[a], np.cumsum(na) - na) == np.add.reduceat(v.len_b[b], np.cumsum(nb) - nb)).all():
+            good = np.ones(len(names), bool)
+        else:
+            ends_a, ends_b = np.cumsum(na), np.cumsum(nb)
+            good = np.array([v.whole(a[i - m : i], b[j - n : j], " " + p) for p, i, m, j, n in zip(names, ends_a, na, ends_b, nb, strict=True)])
+            a, b = a[np.repeat(good, na)], b[np.repeat(good, nb)]
         n = len(self.known.forms)
-        self.known.add([x for x, g in zip(ids_a, good, strict=True) if g], [x for x, g in zip(ids_b, good, strict=True) if g], self.len_a, self.len_b)
-        for p, g in zip(names, good, strict=True):
-            self.number[p] = n if g else -1
-            n += g
+        self.known.add(a, na[good], b, nb[good], v)
+        self.number.update(zip(names, np.where(good, n + np.cumsum(good) - 1, -1).tolist(), strict=True))
 
     def alone(self, text: str) -> tuple[Aligned, np.ndarray] | None:
         """A text as one piece."""
-        a = np.frombuffer(self.a.whole(" " + text), f"<u{self.a.itemsize}")
-        b = self._ids_b([text])[0]
-        if not self._whole(a, b, text):
+        a = np.frombuffer(self.a.whole(" " + text), self.kind).astype(np.int64)
+        b, n = self._ids_b([text])
+        if not self.vocabulary.whole(a, b, " " + text):
             return None
         own = Aligned()
-        own.add([a], [b], self.len_a, self.len_b)
+        own.add(a, np.array([len(a)]), b, n, self.vocabulary)
         return own, np.zeros(1, np.int64)
 
     def texts(self, texts: list[str]) -> list[tuple[Aligned, np.ndarray] | None]:
