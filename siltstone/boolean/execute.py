@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lexical
 from ..operators.inverted import InvertedIndex
-from . import ast
+from . import ast, postings
 from .ast import And, Node, Not, Or, Term
 from .compile import boolean_search
 from .parser import QueryError, parse
@@ -41,10 +41,12 @@ def ranked_search(docs: DataFrame, index: InvertedIndex, text: str, fields: dict
     Matches without such a word (ranges, NOT) score 0; ties go to the smaller doc_id; rows of one doc_id count once."""
     tree = parse(text)
     spark = docs.sparkSession
-    words = spark.createDataFrame([(1, *x) for x in sorted(scoring_terms(tree).items())], "query_id int, term string, boost double")
-    found = index.of_terms(index.postings, words).join(index.of_terms(index.terms, words), "term").join(words, "term")
+    weights = sorted(scoring_terms(tree).items())
+    words = spark.createDataFrame([(1, *x) for x in weights], "query_id int, term string, boost double")
+    asked = [w for w, _ in weights]
+    found = index.of_terms(index.postings, asked).join(index.of_terms(index.terms, asked), "term").join(words, "term")
     scores = lexical.scored(found, index.corpus, F.col("boost")).select("doc_id", "score")
-    hits = boolean_search(docs, text, fields).select("doc_id").distinct().join(scores, "doc_id", "left")
+    hits = postings.search(docs, index, text, fields).distinct().join(scores, "doc_id", "left")
     full = hits.select(F.lit(1).alias("query_id"), "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     return lexical.top_k(full, k).select("doc_id", "score", "rank")
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..boolean import ast
-from ..boolean.compile import boolean_search
+from ..boolean import postings as P
 from ..boolean.parser import parse
 from ..functions import text as T
 from ..operators import lexical
 from ..operators.inverted import stored
+from ..storage import scratch
 from .catalog import QUERIES, Query, query, table
 from .texts import TOKENS
 
@@ -49,7 +50,7 @@ LITERALS = [(1, "the"), (1, "of"), (2, "erheble"), (2, "from"), (3, "worthless")
 
 @query(bm25_sql("VALUES " + ", ".join(f"({i}, '{t}')" for i, t in LITERALS), 20))
 def bm25_search(spark, d):
-    return stored(_docs(spark, d)).search(_terms(spark, LITERALS), 20)
+    return stored(_docs(spark, d)).search(LITERALS, 20)
 
 
 @query(bm25_sql(f"SELECT CAST(item_id AS INTEGER), unnest({TOKENS.format('text')}) FROM benchmark", 5))
@@ -60,27 +61,28 @@ def bm25_batch(spark, d):
 
 @query(f"SELECT doc_id, CAST(h AS INTEGER) hits FROM (SELECT doc_id, len(list_filter(t, lambda x: starts_with(x, 'wor'))) h FROM ({DOCS})) WHERE h > 0")
 def prefix_search(spark, d):
-    return lexical.prefix_matches(_docs(spark, d), "wor")
+    return stored(_docs(spark, d)).prefixed("wor").select("doc_id", F.col("hits").cast("int").alias("hits"))
 
 
 @query(f"SELECT doc_id, CAST(n AS INTEGER) hits FROM (SELECT doc_id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) n FROM ({DOCS})) WHERE n > 0")
 def phrase_search(spark, d):
-    return lexical.phrase_matches(stored(_docs(spark, d)).postings, ["of", "the"])
+    return stored(_docs(spark, d)).phrase(["of", "the"]).select("doc_id", "hits")
 
 
 @query(f"SELECT doc_id FROM ({DOCS}) WHERE list_contains(t, 'with') AND list_contains(t, 'from') AND list_contains(t, 'was')")
 def all_terms(spark, d):
-    return lexical.all_of(stored(_docs(spark, d)).postings, ["with", "from", "was"])
+    return P.indexed_search(stored(_docs(spark, d)), "with AND from AND was", FIELDS).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM ({DOCS}) WHERE list_contains(t, 'moron') OR list_contains(t, 'scum')")
 def any_term(spark, d):
-    return lexical.any_of(stored(_docs(spark, d)).postings, ["moron", "scum"])
+    return P.indexed_search(stored(_docs(spark, d)), "moron OR scum", FIELDS).select("doc_id")
 
 
 @query(f"SELECT count(*) n FROM ({DOCS}) WHERE list_contains(t, 'this')")
 def match_count(spark, d):
-    return lexical.any_of(stored(_docs(spark, d)).postings, ["this"]).agg(F.count("*").alias("n"))
+    index = stored(_docs(spark, d))
+    return index.of_terms(index.bits, ["this"]).agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("n"))
 
 
 HAS = "contains(' ' || list_aggregate(t, 'string_agg', ' ') || ' ', ' {} ')"
@@ -104,11 +106,24 @@ BOOLEAN = {
 }
 for _name, (_text, _where) in BOOLEAN.items():
     QUERIES[_name] = Query(
-        lambda spark, d, text=_text: boolean_search(_docs(spark, d), text, FIELDS).select("doc_id"),
+        lambda spark, d, text=_text: P.search(_docs(spark, d), stored(_docs(spark, d)), text, FIELDS),
         f"SELECT doc_id FROM (SELECT *, {TOKENS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} t FROM documents) WHERE coalesce({_where}, false)",
     )
 
 
+UPKEPT = f"""WITH x AS (SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT -1 - item_id, text FROM benchmark),
+    documents AS (SELECT *, NULL lang, NULL source, NULL n_chars FROM x) SELECT * FROM ({bm25_sql("VALUES " + ", ".join(f"({i}, '{t}')" for i, t in LITERALS), 20)})"""
+
+
+@query(UPKEPT)
+def index_upkeep(spark, d):
+    """The search after documents labelled toxic are deleted from the index and the benchmark's items are added."""
+    index = stored(_docs(spark, d))
+    index = index.fork(scratch(spark, "upkeep")).delete(table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+    items = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text", *(F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+    return index.upsert(items).search(LITERALS, 20)
+
+
 @query()
 def boolean_analysis(spark, d):
     """Text form, complexity, selectivity and usage of the boolean queries."""

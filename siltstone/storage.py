@@ -1,19 +1,84 @@
-"""Folders for checkpoints and tables that a job writes for itself."""
+"""Folders for checkpoints and tables that a job writes for itself, and small files in them."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; in a local session without it, below the temp folder."""
+def root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in a local session without it, a folder below the temp folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/siltstone-scratch"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the root."""
+    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder, in order; nothing where there is none."""
+    p, fs = _at(spark, folder)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def stamped(spark: SparkSession, files: Iterable[str]) -> list[tuple[str, int, int]]:
+    """(file, size, time of change), by one listing of each folder that holds some of them."""
+    wanted = set(files)
+    out = []
+    for folder in sorted({f.rsplit("/", 1)[0] for f in wanted}):
+        p, fs = _at(spark, folder)
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if any(x in wanted for x in (f"{folder}/{name}", s.getPath().toUri().toString())):
+                out.append((f"{folder}/{name}", s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
+def read(spark: SparkSession, path: str) -> str:
+    p, fs = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create(spark: SparkSession, path: str, text: str) -> None:
+    """A new file; fails where there is one of the name."""
+    p, fs = _at(spark, path)
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    def run() -> None:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001  the session is already gone
+            return
+
+    atexit.register(run)
