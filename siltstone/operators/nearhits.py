@@ -8,8 +8,9 @@ beyond 0.75. Candidates come from MinHash over all documents, whatever their sou
 2. Representatives that share one of ``BANDS`` keys of ``ROWS`` minhashes and at least half of ``SIGNS`` short
    minhashes are linked (a forest for each key, so that a hot group writes no pairs). Of pairs at a Jaccard
    of 0.75 0.0002 share no key, of pairs at 0.8 0.000003.
-3. Linked documents form a block. Its first document is kept and compared with all others by a join; what it
-   doesn't take is compared in order with what is kept so far, exactly, in one task for each block.
+3. Linked documents form a block. Its first document is kept and compared with all others by a join, which takes
+   most of a group of copies at once. Of what it doesn't take all near pairs are found by ``setjoin``, and rounds over
+   them keep each that is near to no kept one before it. No block is ever in one task.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import scratch
+from ..functions import text as T
+from ..storage import Tables
+from . import setjoin
 
-NEAR, BANDS, ROWS, SIGNS, LINK, SAME = 0.85, 32, 5, 96, 0.5, 0.9
+NEAR, JACCARD, BANDS, ROWS, SIGNS, LINK, SAME = 0.85, 0.75, 32, 5, 96, 0.5, 0.9
 _U = np.uint64
 _rng = np.random.default_rng(85)
 _MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
@@ -35,12 +38,6 @@ _FOLD = _rng.integers(0, 1 << 63, ROWS, dtype=_U) * _U(2) + _U(1)
 _WORD = re.compile("[a-z0-9]+")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch(df.sparkSession, "nearhits")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def likeness(a: Counter, b: Counter) -> float:
     both = a.keys() & b.keys()
     if not both:
@@ -154,16 +151,16 @@ def _links(least: float, forward: bool):
     return run
 
 
-def _components(edges: DataFrame) -> DataFrame:
+def _components(tables: Tables, edges: DataFrame) -> DataFrame:
     """(id, block): block is the least identifier that can be reached."""
     ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
-    both = _written(edges.select(ways).select("e.a", "e.b").distinct())
-    labels = _written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("block")))
+    both = tables.write(edges.select(ways).select("e.a", "e.b").distinct())
+    labels = tables.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("block")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "block"), "b").groupBy(F.col("a").alias("id")).agg(F.min("block").alias("near"))
         step = labels.join(near, "id").select("id", F.col("block").alias("was"), F.least("block", "near").alias("c"))
         up = labels.select(F.col("id").alias("c"), F.col("block").alias("up"))
-        new = _written(step.join(up, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("block")))
+        new = tables.write(step.join(up, "c", "left").select("id", "was", F.least("c", F.coalesce("up", "c")).alias("block")))
         labels = new.select("id", "block")
         if new.where("block <> was").isEmpty():
             return labels
@@ -183,43 +180,38 @@ def _by_first(batches):
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["block", "id", "score"])
 
 
-def _in_order(batches):
-    """Rows (block, id, t) in order -> (a, b, score) of those that a kept one takes; only kept ones are held."""
-    own, kept = None, []
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            out = []
-            for block, i, t in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                if block != own:
-                    own, kept = block, []
-                c = Counter(_WORD.findall(t))
-                hit = next(((k, s) for k, x in kept if (s := _near(x, c)) is not None), None)
-                if hit:
-                    out.append((hit[0], i, hit[1]))
-                else:
-                    kept.append((i, c))
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "score"])
+def _kept_first(rest: DataFrame, tables: Tables) -> DataFrame:
+    """rest(id, t), texts of different counts -> (a, b, score) of those that a kept one takes."""
+    counts = tables.write(setjoin.counts_of(rest.select("id", T.ascii_tokens(F.col("t")).alias("tokens"))))
+    score = F.round(0.6 * F.round("jaccard", 9) + 0.4 * F.round("cosine", 9), 9)
+    near = tables.write(setjoin.jaccard_join(counts, JACCARD).select("a", "b", score.alias("score")).where(F.col("score") > NEAR))
+    told = setjoin.keep_first(near)
+    kept, gone = told.where("kept").select(F.col("id").alias("a")), told.where("not kept").select(F.col("id").alias("b"))
+    return near.join(kept, "a").join(gone, "b").groupBy("b").agg(F.min(F.struct("a", "score")).alias("x")).select("x.a", "b", "x.score")
 
 
 def near_hits(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (a, b, score): b goes, since it is near to a, the first that is kept of those near it.
 
     Rows of null identifier or without tokens take no part; identifiers are unique."""
+    with Tables(docs.sparkSession, "nearhits") as tables:
+        return tables.release(tables.write(_near_hits(docs, tables)))
+
+
+def _near_hits(docs: DataFrame, tables: Tables) -> DataFrame:
     held = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.lower(F.coalesce("text", F.lit(""))).alias("t"))
-    sketch = _written(held.mapInArrow(_sketch, "id long, same binary, keys array<long>, signs binary"))
-    reps = _written(sketch.groupBy("same").agg(F.min(F.struct("id", "keys", "signs")).alias("r")).select("same", "r.*"))
+    sketch = tables.write(held.mapInArrow(_sketch, "id long, same binary, keys array<long>, signs binary"))
+    reps = tables.write(sketch.groupBy("same").agg(F.min(F.struct("id", "keys", "signs")).alias("r")).select("same", "r.*"))
     schema = "key long, a long, signs binary, b long"
-    local = _written(reps.select(F.explode("keys").alias("key"), "id", "signs").mapInArrow(_links(SAME, True), schema))
+    local = tables.write(reps.select(F.explode("keys").alias("key"), "id", "signs").mapInArrow(_links(SAME, True), schema))
     met = local.where("key is not null").select("key", F.col("a").alias("id"), "signs").repartition("key").sortWithinPartitions("key").mapInArrow(_links(LINK, False), schema)
-    blocks = _components(local.where("key is null").select("a", "b").union(met.select("a", "b")))
-    member = _written(blocks.join(held, "id").select("block", "id", "t"))
+    blocks = _components(tables, local.where("key is null").select("a", "b").union(met.select("a", "b")))
+    member = tables.write(blocks.join(held, "id").select("block", "id", "t"))
     first = member.where("block = id").select("block", F.col("t").alias("first"))
     asked = member.where("block <> id").join(first.hint("merge"), "block").select("block", "id", "t", "first")
-    by_first = _written(asked.mapInArrow(_by_first, "block long, id long, score double"))
-    rest = by_first.where("score is null").select("id").join(member, "id").select("block", "id", "t")
-    rest = rest.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_in_order, "a long, b long, score double")
-    gone = _written(by_first.where("score is not null").select(F.col("block").alias("a"), F.col("id").alias("b"), "score").union(rest))
+    by_first = tables.write(asked.mapInArrow(_by_first, "block long, id long, score double"))
+    rest = _kept_first(by_first.where("score is null").select("id").join(member, "id").select("id", "t"), tables)
+    gone = tables.write(by_first.where("score is not null").select(F.col("block").alias("a"), F.col("id").alias("b"), "score").union(rest))
     # others of a class go with what took its representative, or else with that
     copies = sketch.select("same", F.col("id").alias("b")).join(reps.select("same", F.col("id").alias("rep")), "same").where("b <> rep")
     taken = gone.select(F.col("b").alias("rep"), "a", "score")

@@ -12,8 +12,7 @@ from ..operators import understand as U
 from .behaviour import SESSIONS
 from .catalog import query, table
 from .fusion import ASKED_SQL, asked_queries
-from .results import PAIRS, _pairs, _token_pairs
-from .search import DOCS
+from .results import ALIKE, CLASSES, MEASURED, PAIRS, alike
 
 
 def _e(spark, d):
@@ -77,26 +76,26 @@ def customisations(spark, d):
 
 
 @query(
-    f"""WITH t AS ({DOCS}), p AS ({PAIRS}) SELECT a, b, round(least(1.0, 0.35 * CASE WHEN len(list_distinct(x.t || y.t)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(x.t), list_distinct(y.t))) / len(list_distinct(x.t || y.t)) END + 0.2 * (1 - abs(x.n_chars - y.n_chars) / 10000) + CASE WHEN x.lang = y.lang THEN 0.1 ELSE 0 END + 0.1 * 0.9), 6) similarity
-    FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b"""
+    f"""SELECT a, b, round(least(1.0, 0.35 * jaccard + 0.2 * (1 - abs(x.n_chars - y.n_chars) / 10000) + CASE WHEN x.lang = y.lang THEN 0.1 ELSE 0 END + 0.1 * 0.9), 6) similarity
+    FROM (WITH {CLASSES} {MEASURED}) p JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE round(jaccard, 9) >= {ALIKE}"""
 )
 def cluster_similarity(spark, d):
     """The weighted sum that clusters are built on."""
     m = _docs(spark, d).select("doc_id", "lang", "n_chars")
     x, y = (m.select(F.col("doc_id").alias(k), F.col("lang").alias(f"l{k}"), F.col("n_chars").alias(f"n{k}")) for k in "ab")
-    p = _token_pairs(spark, d).join(x, "a").join(y, "b")
+    p = alike(spark, d).join(x, "a").join(y, "b")
     vec = 1 - F.abs(F.col("na") - F.col("nb")) / 10000
-    s = R.cluster_similarity(T.jaccard(F.col("ta"), F.col("tb")), vec, F.lit(0.0), F.col("la") == F.col("lb"), F.lit(0.9), F.lit(0.0))
+    s = R.cluster_similarity(F.col("jaccard"), vec, F.lit(0.0), F.col("la") == F.col("lb"), F.lit(0.9), F.lit(0.0))
     return p.select("a", "b", F.round(s, 6).alias("similarity"))
 
 
-@query(f"SELECT d.lang AS label, count(*) pairs, round(avg(1 - abs(d.n_chars - e.n_chars) / 64.0), 9) coherence FROM ({PAIRS}) p JOIN documents d ON d.doc_id = a JOIN documents e ON e.doc_id = b WHERE d.lang = e.lang GROUP BY 1")
+@query(f"SELECT d.lang AS label, count(*) pairs, round(avg(1 - abs(d.n_chars - e.n_chars) / greatest(d.n_chars, e.n_chars)), 9) coherence FROM ({PAIRS}) p JOIN documents d ON d.doc_id = a JOIN documents e ON e.doc_id = b WHERE d.lang = e.lang GROUP BY 1")
 def cluster_coherence(spark, d):
     """Mean likeness of the pairs of a group."""
     m = _docs(spark, d).select("doc_id", "lang", "n_chars")
     x, y = (m.select(F.col("doc_id").alias(k), F.col("lang").alias(f"l{k}"), F.col("n_chars").alias(f"n{k}")) for k in "ab")
-    p = _pairs(spark, d).join(x, "a").join(y, "b").where("la = lb")
-    return p.groupBy(F.col("la").alias("label")).agg(F.count("*").alias("pairs"), F.round(F.avg(1 - F.abs(F.col("na") - F.col("nb")) / 64.0), 9).alias("coherence"))
+    p = alike(spark, d).join(x, "a").join(y, "b").where("la = lb")
+    return p.groupBy(F.col("la").alias("label")).agg(F.count("*").alias("pairs"), F.round(F.avg(1 - F.abs(F.col("na") - F.col("nb")) / F.greatest("na", "nb")), 9).alias("coherence"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '([?&])(utm_source|ref|token|key)=[^&#]*', '\\1\\2=[REDACTED]', 'g'), '#.*$', '') url FROM pages")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rank as R
 from .catalog import query, table
+from .search import BATCH_TERMS, bm25_batch, bm25_sql
 
 AS_OF = "2024-01-31"
 FEATURES = f"""SELECT d.doc_id, d.n_chars, coalesce(l.quality, 0.5) quality, least(coalesce(u.n, 0) / 10, 1.0) frequency, coalesce(exp(-date_diff('day', u.last, DATE '{AS_OF}') / 30.0), 0.0) recency,
@@ -66,10 +67,15 @@ def mmr_diversity(spark, d):
     return R.mmr(f.select(q.alias("query_id"), F.col("doc_id").alias("id"), "relevance", F.col("vector").alias("vec"), F.col("source").alias("kind")))
 
 
-@query("SELECT a.doc_id a_id, b.doc_id b_id, round(0.7 * (1 - abs(a.x - b.x)) + CASE WHEN a.source = b.source THEN 0.3 ELSE 0 END, 9) similarity FROM (SELECT doc_id, source, CAST(embedding[1] AS DOUBLE) x FROM documents JOIN embeddings ON vec_id = doc_id WHERE label = 2) a, (SELECT doc_id, source, CAST(embedding[1] AS DOUBLE) x FROM documents JOIN embeddings ON vec_id = doc_id WHERE label = 2) b WHERE a.doc_id < b.doc_id")
+PAIRWISE = f"""WITH h AS (SELECT query_id, doc_id, source, CAST(embedding[1] AS DOUBLE) x FROM ({bm25_sql(BATCH_TERMS, 5)}) JOIN documents USING (doc_id) JOIN embeddings ON vec_id = doc_id)
+    SELECT a.query_id, a.doc_id a_id, b.doc_id b_id, round(0.7 * (1 - abs(a.x - b.x)) + CASE WHEN a.source = b.source THEN 0.3 ELSE 0 END, 9) similarity FROM h a JOIN h b ON a.query_id = b.query_id AND a.doc_id < b.doc_id"""
+
+
+@query(PAIRWISE)
 def pairwise_similarity(spark, d):
-    e = table(spark, d, "embeddings").where("label = 2").select(F.col("vec_id").alias("doc_id"), F.element_at("embedding", 1).cast("double").alias("x"))
-    a = table(spark, d, "documents").select("doc_id", "source").join(e, "doc_id")
-    b = a.select(F.col("doc_id").alias("b_id"), F.col("source").alias("b_source"), F.col("x").alias("y"))
+    """Likeness of the hits of each query (the five best of bm25_batch) by pairs."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.element_at("embedding", 1).cast("double").alias("x"))
+    a = bm25_batch(spark, d).select("query_id", "doc_id").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").join(e, "doc_id")
+    b = a.select("query_id", F.col("doc_id").alias("b_id"), F.col("source").alias("b_source"), F.col("x").alias("y"))
     s = 0.7 * (1 - F.abs(F.col("x") - F.col("y"))) + F.when(F.col("source") == F.col("b_source"), 0.3).otherwise(0.0)
-    return a.join(b, F.col("doc_id") < F.col("b_id")).select(F.col("doc_id").alias("a_id"), "b_id", F.round(s, 9).alias("similarity"))
+    return a.join(b, "query_id").where("doc_id < b_id").select("query_id", F.col("doc_id").alias("a_id"), "b_id", F.round(s, 9).alias("similarity"))

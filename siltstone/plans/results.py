@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import rank as R
 from ..operators import results as O
+from ..operators import setjoin as J
 from ..operators.nearhits import near_hits
 from .catalog import query, table
 from .search import DOCS, bm25_batch
@@ -30,39 +31,46 @@ def content_duplicate_groups(spark, d):
     return O.duplicate_groups(_docs(spark, d))
 
 
-PAIRS = "SELECT a.doc_id a, b.doc_id b FROM documents a JOIN documents b ON a.source = b.source AND a.n_chars // 64 = b.n_chars // 64 AND a.doc_id < b.doc_id"
+ALIKE, NEAR_COSINE = 0.5, 0.95  # thresholds of the pairs below
+MEASURED = f"""SELECT p.a, p.b, n.k ka, m.k kb, common / (n.n + m.n - common) jaccard, dot / (n.l * m.l) cosine FROM
+    (SELECT x.id a, y.id b, count(*) common, sum(x.tf * y.tf) dot FROM tf x JOIN tf y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2) p JOIN size n ON n.id = p.a JOIN size m ON m.id = p.b"""
+CLASSES = f"""reps AS (SELECT min(doc_id) id, k FROM (SELECT doc_id, list_aggregate(t, 'string_agg', ' ') k FROM ({DOCS}) WHERE len(t) > 0) GROUP BY k),
+    tf AS (SELECT id, term, count(*) tf FROM (SELECT id, unnest(string_split(k, ' ')) term FROM reps) GROUP BY 1, 2), size AS (SELECT id, any_value(k) k, count(*) n, sqrt(sum(tf * tf)) l FROM tf JOIN reps USING (id) GROUP BY 1)"""
+PAIRS = f"SELECT a, b FROM (WITH {CLASSES} {MEASURED}) WHERE round(jaccard, 9) >= {ALIKE}"
 
 
-def _pairs(spark, d):
-    """Pairs of near size from one source: the candidates that the measures below are held on."""
-    a = _docs(spark, d).select("source", F.floor(F.col("n_chars") / 64).alias("size"), F.col("doc_id").alias("a"))
-    return a.join(a.withColumnRenamed("a", "b"), ["source", "size"]).where("a < b").select("a", "b")
+def alike(spark, d):
+    """(a, b, jaccard, cosine): all pairs of documents of different words whose word sets are alike by ALIKE or more. Of documents of equal words the first stands for all (``word_classes``)."""
+    return J.jaccard_join(J.counts_of(J.representatives(_docs(spark, d))), ALIKE)
 
 
-@query(
-    f"""WITH t AS ({DOCS}), c AS (SELECT doc_id, term, count(*) tf FROM (SELECT doc_id, unnest(t) term FROM t) GROUP BY 1, 2), n AS (SELECT doc_id, sqrt(sum(tf * tf)) l FROM c GROUP BY 1), p AS ({PAIRS}),
-    x AS (SELECT a, b, sum(c.tf * e.tf) dot FROM p JOIN c ON c.doc_id = a JOIN e ON e.doc_id = b AND e.term = c.term GROUP BY 1, 2)
-    SELECT p.a, p.b, round(coalesce(dot / (n.l * m.l), 0), 9) AS cosine FROM p LEFT JOIN x USING (a, b) LEFT JOIN n ON n.doc_id = p.a LEFT JOIN n m ON m.doc_id = p.b""".replace("JOIN e ON", "JOIN c e ON")
-)
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY list_aggregate(t, 'string_agg', ' ')) rep FROM ({DOCS}) WHERE len(t) > 0")
+def word_classes(spark, d):
+    """The document that stands for each in the pairs below."""
+    return J.token_classes(_docs(spark, d))
+
+
+@query(f"SELECT a, b, round(cosine, 9) AS cosine FROM (WITH {CLASSES} {MEASURED}) WHERE round(cosine, 9) >= {NEAR_COSINE}")
 def tf_cosine_similarity(spark, d):
-    return O.tf_cosine(_pairs(spark, d), O.term_counts(_docs(spark, d))).select("a", "b", F.round("cosine", 9).alias("cosine"))
+    """All pairs with a cosine of term counts of NEAR_COSINE or more."""
+    return J.cosine_join(J.counts_of(J.representatives(_docs(spark, d))), NEAR_COSINE).select("a", "b", F.round("cosine", 9).alias("cosine"))
 
 
-def _token_pairs(spark, d):
-    t = _docs(spark, d).select("doc_id", T.ascii_tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    x, y = t.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), t.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"))
-    return _pairs(spark, d).join(x, "a").join(y, "b")
+def _bigrams(spark, d):
+    """(a, b, jaccard, cosine, bigrams) of the pairs that are alike."""
+    t = J.representatives(_docs(spark, d)).select("id", F.array_distinct(T.ngrams(F.col("tokens"), 2)).alias("t"))
+    x, y = (t.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
+    return alike(spark, d).join(x, "a").join(y, "b").withColumn("bigrams", T.jaccard(F.col("ta"), F.col("tb")))
 
 
-@query(
-    f"""WITH t AS ({DOCS}), p AS ({PAIRS}), z AS (SELECT a, b, x.t ta, y.t tb FROM p JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b),
-    g AS (SELECT *, list_transform(range(1, greatest(1, len(ta))), lambda i: ta[i] || ' ' || ta[i + 1]) ga, list_transform(range(1, greatest(1, len(tb))), lambda i: tb[i] || ' ' || tb[i + 1]) gb FROM z)
-    SELECT a, b, round(CASE WHEN len(list_distinct(ta || tb)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(ta), list_distinct(tb))) / len(list_distinct(ta || tb)) END, 9) words,
-    round(CASE WHEN len(list_distinct(ga || gb)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(ga), list_distinct(gb))) / len(list_distinct(ga || gb)) END, 9) bigrams FROM g"""
-)
+BIGRAMS = f"""SELECT a, b, jaccard, cosine, CASE WHEN len(list_distinct(ga || gb)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(ga), list_distinct(gb))) / len(list_distinct(ga || gb)) END bigrams FROM
+    (SELECT *, list_transform(range(1, greatest(1, len(ta))), lambda i: ta[i] || ' ' || ta[i + 1]) ga, list_transform(range(1, greatest(1, len(tb))), lambda i: tb[i] || ' ' || tb[i + 1]) gb FROM
+    (SELECT *, string_split(ka, ' ') ta, string_split(kb, ' ') tb FROM (WITH {CLASSES} {MEASURED}) WHERE round(jaccard, 9) >= {ALIKE}))"""
+
+
+@query(f"SELECT a, b, round(jaccard, 9) words, round(bigrams, 9) bigrams FROM ({BIGRAMS})")
 def jaccard_similarity(spark, d):
-    p = _token_pairs(spark, d)
-    return p.select("a", "b", F.round(T.jaccard(F.col("ta"), F.col("tb")), 9).alias("words"), F.round(T.jaccard(T.ngrams(F.col("ta"), 2), T.ngrams(F.col("tb"), 2)), 9).alias("bigrams"))
+    return _bigrams(spark, d).select("a", "b", F.round("jaccard", 9).alias("words"), F.round("bigrams", 9).alias("bigrams"))
 
 
 @query()
@@ -71,11 +79,10 @@ def near_duplicate_hits(spark, d):
     return near_hits(_docs(spark, d))
 
 
-@query()
+@query(f"SELECT a, b, round(0.5 * cosine + 0.3 * jaccard + 0.2 * bigrams, 9) similarity FROM ({BIGRAMS})")
 def enhanced_similarity(spark, d):
     """0.5 cosine + 0.3 Jaccard + 0.2 of bigrams."""
-    j = jaccard_similarity(spark, d)
-    return j.join(tf_cosine_similarity(spark, d), ["a", "b"]).select("a", "b", F.round(0.5 * F.col("cosine") + 0.3 * F.col("words") + 0.2 * F.col("bigrams"), 9).alias("similarity"))
+    return _bigrams(spark, d).select("a", "b", F.round(0.5 * F.col("cosine") + 0.3 * F.col("jaccard") + 0.2 * F.col("bigrams"), 9).alias("similarity"))
 
 
 @query(
@@ -120,7 +127,7 @@ def cluster_centroids(spark, d):
 def path_similarity(spark, d):
     path = _docs(spark, d).select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("p"))
     x, y = path.select(F.col("doc_id").alias("a"), F.col("p").alias("pa")), path.select(F.col("doc_id").alias("b"), F.col("p").alias("pb"))
-    return _pairs(spark, d).join(x, "a").join(y, "b").select("a", "b", O.path_similarity(F.col("pa"), F.col("pb")).alias("similarity"))
+    return alike(spark, d).join(x, "a").join(y, "b").select("a", "b", O.path_similarity(F.col("pa"), F.col("pb")).alias("similarity"))
 
 
 @query()

@@ -53,7 +53,10 @@ def bm25_search(spark, d):
     return stored(_docs(spark, d)).search(LITERALS, 20)
 
 
-@query(bm25_sql(f"SELECT CAST(item_id AS INTEGER), unnest({TOKENS.format('text')}) FROM benchmark", 5))
+BATCH_TERMS = f"SELECT CAST(item_id AS INTEGER), unnest({TOKENS.format('text')}) FROM benchmark"
+
+
+@query(bm25_sql(BATCH_TERMS, 5))
 def bm25_batch(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("query_id"), F.explode(T.ascii_tokens(F.col("text"))).alias("term"))
     return stored(_docs(spark, d)).search(q, 5)

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
@@ -82,3 +82,45 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
             return
 
     atexit.register(run)
+
+
+class Tables:
+    """Tables that one operator writes for itself, deleted when it is done, whatever runs beside it.
+
+    As a context; what ``release`` gives back stays until the session ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, scratch(spark, name), 0
+        self.places: set[str] = set()
+        self.released: set[str] = set()
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """df as Parquet, read again: cuts its lineage and survives lost executors."""
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.places.add(path)
+        table.written_at = path
+        return table
+
+    def forget(self, *keep: DataFrame) -> None:
+        """Deletes all tables but those to keep."""
+        stay = {t.written_at for t in keep} | self.released
+        for path in self.places - stay:
+            delete(self.spark, path)
+        self.places &= stay
+
+    def release(self, table: DataFrame) -> DataFrame:
+        self.released.add(table.written_at)
+        return table
+
+    def __exit__(self, *error) -> None:
+        self.forget()
+        if self.released:
+            delete_at_exit(self.spark, self.folder)
+        else:
+            delete(self.spark, self.folder)
