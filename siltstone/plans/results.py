@@ -31,7 +31,7 @@ def content_duplicate_groups(spark, d):
     return O.duplicate_groups(_docs(spark, d))
 
 
-ALIKE, NEAR_COSINE = 0.5, 0.95  # thresholds of the pairs below
+ALIKE = 0.75  # least Jaccard similarity of the pairs below
 MEASURED = f"""SELECT p.a, p.b, n.k ka, m.k kb, common / (n.n + m.n - common) jaccard, dot / (n.l * m.l) cosine FROM
     (SELECT x.id a, y.id b, count(*) common, sum(x.tf * y.tf) dot FROM tf x JOIN tf y ON x.term = y.term AND x.id < y.id GROUP BY 1, 2) p JOIN size n ON n.id = p.a JOIN size m ON m.id = p.b"""
 CLASSES = f"""reps AS (SELECT min(doc_id) id, k FROM (SELECT doc_id, list_aggregate(t, 'string_agg', ' ') k FROM ({DOCS}) WHERE len(t) > 0) GROUP BY k),
@@ -44,23 +44,25 @@ def alike(spark, d):
     return J.jaccard_join(J.counts_of(J.representatives(_docs(spark, d))), ALIKE)
 
 
-@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY list_aggregate(t, 'string_agg', ' ')) rep FROM ({DOCS}) WHERE len(t) > 0")
+@query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY list_aggregate(t, 'string_agg', ' ')) AS rep FROM ({DOCS}) WHERE len(t) > 0")
 def word_classes(spark, d):
     """The document that stands for each in the pairs below."""
     return J.token_classes(_docs(spark, d))
 
 
-@query(f"SELECT a, b, round(cosine, 9) AS cosine FROM (WITH {CLASSES} {MEASURED}) WHERE round(cosine, 9) >= {NEAR_COSINE}")
+@query(f"SELECT a, b, round(cosine, 9) AS cosine FROM (WITH {CLASSES} {MEASURED}) WHERE round(jaccard, 9) >= {ALIKE}")
 def tf_cosine_similarity(spark, d):
-    """All pairs with a cosine of term counts of NEAR_COSINE or more."""
-    return J.cosine_join(J.counts_of(J.representatives(_docs(spark, d))), NEAR_COSINE).select("a", "b", F.round("cosine", 9).alias("cosine"))
+    """The cosine of term counts of all pairs that are alike."""
+    return alike(spark, d).select("a", "b", F.round("cosine", 9).alias("cosine"))
 
 
 def _bigrams(spark, d):
     """(a, b, jaccard, cosine, bigrams) of the pairs that are alike."""
-    t = J.representatives(_docs(spark, d)).select("id", F.array_distinct(T.ngrams(F.col("tokens"), 2)).alias("t"))
+    pairs = alike(spark, d)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    t = J.representatives(_docs(spark, d)).join(asked, "id", "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct(T.ngrams(F.col("tokens"), 2)).alias("t"))
     x, y = (t.select(F.col("id").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
-    return alike(spark, d).join(x, "a").join(y, "b").withColumn("bigrams", T.jaccard(F.col("ta"), F.col("tb")))
+    return pairs.join(x, "a").join(y, "b").withColumn("bigrams", T.jaccard(F.col("ta"), F.col("tb")))
 
 
 BIGRAMS = f"""SELECT a, b, jaccard, cosine, CASE WHEN len(list_distinct(ga || gb)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(ga), list_distinct(gb))) / len(list_distinct(ga || gb)) END bigrams FROM
