@@ -13,17 +13,37 @@ ENGLISH_MARKS = ["the", "and", "or", "is", "are", "was", "were"]
 #: Names whose values are secret; a value ends at its quote, or without quotes at white space or a mark.
 SECRET_NAMES = ["password", "token", "key", "secret", "api_key", "authentication", "authorization"]
 _VALUE = r"""(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;]+)"""
-_CARD, _SSN, _MAIL = r"\b(?:\d{4}[ -]?){3}\d{4}\b", r"\b\d{3}-\d{2}-\d{4}\b", r"[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}"
-#: Patterns of secrets and personal data, with what replaces them, in order; a number behind a backslash is a group.
+_SSN, _MAIL = r"\b\d{3}-\d{2}-\d{4}\b", r"[\w.%+-]+@(?:[\w-]+\.)+[A-Za-z]{2,}"
+#: Numbers as long as those of cards; one is a card if its check digit is right.
+CARD_LIKE = r"\b[1-9]\d{3}(?:\d{9,15}|(?:[ -]\d{4}){2}[ -]\d{1,7}|[ -]\d{6}[ -]\d{4,5})\b"
+#: Phones: with a country code, with an area code in brackets, or three groups parted by signs.
+PHONE = r"\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}\b|\(\d{2,5}\)[ -]?\d{3,4}[ .-]?\d{3,5}\b|\b\d{3}[ .-]\d{3}[ .-]\d{4}\b"
+#: Runs as long as those of keys; one is a key if it has letters and digits.
+KEY_LIKE = r"\b\w[\w-]{18,}\w\b"
+#: Patterns of secrets and personal data, with what replaces them, in order; a number behind a backslash is a group. Cards go before them.
 SECRET_PATTERNS = [
     (rf"\b({'|'.join(SECRET_NAMES)})\s*[:=]\s*{_VALUE}", r"\1=[REDACTED]"),
-    (_CARD, "[REDACTED-CARD]"),
     (_SSN, "[REDACTED-SSN]"),
     (_MAIL, "[REDACTED-EMAIL]"),
     (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "[REDACTED-IP]"),
 ]
-#: Patterns of cards, social security numbers, mail addresses, phones, long keys and passwords in addresses, all replaced by the same mark.
-SENSITIVE_PATTERNS = [_CARD, _SSN, _MAIL, r"\b(?:\d{3}[.-]?){2}\d{4}\b", r"\b[0-9A-Za-z]{20,}\b", r"://[^\s/:@]+:[^\s/@]+@"]
+#: Patterns of social security numbers, mail addresses, phones and passwords in addresses, all replaced by the same mark. Cards and keys go before them.
+SENSITIVE_PATTERNS = [_SSN, _MAIL, PHONE, r"://[^\s/:@]+:[^\s/@]+@"]
+_EDGE = "\u0001"
+
+
+def _checked(c: Column, pattern: str, right, mark: str) -> Column:
+    """What matches and passes a test, replaced by a mark; the sign U+0001 is dropped from the text."""
+    parts = F.split(F.regexp_replace(F.replace(c, F.lit(_EDGE), F.lit("")), f"({pattern})", f"{_EDGE}$1{_EDGE}"), _EDGE)
+    return F.array_join(F.transform(parts, lambda x, i: F.when((i % 2 == 1) & right(x), mark).otherwise(x)), "")
+
+
+def _card(x: Column) -> Column:
+    return F.call_function("luhn_check", F.regexp_replace(x, "[ -]", ""))
+
+
+def _key(x: Column) -> Column:
+    return x.rlike("[A-Za-z]") & x.rlike("[0-9]")
 
 
 def folded(c: Column) -> Column:
@@ -79,12 +99,14 @@ def summary_sentences(c: Column) -> Column:
 
 
 def redact_secrets(c: Column) -> Column:
+    c = _checked(c, CARD_LIKE, _card, "[REDACTED-CARD]")
     for pattern, mark in SECRET_PATTERNS:
         c = F.regexp_replace(c, pattern, mark.replace("\\", "$"))
     return c
 
 
 def redact_sensitive(c: Column) -> Column:
+    c = _checked(_checked(c, CARD_LIKE, _card, "[REDACTED]"), KEY_LIKE, _key, "[REDACTED]")
     for pattern in SENSITIVE_PATTERNS:
         c = F.regexp_replace(c, pattern, "[REDACTED]")
     return c

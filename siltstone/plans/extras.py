@@ -203,9 +203,9 @@ def session_clusters(spark, d):
 
 
 def _types(c):
-    from ..operators.understand import TYPE_WORDS
+    from .understanding import TYPES
 
-    return f"list_sort(list_distinct(list_filter([{', '.join(f'CASE WHEN regexp_matches(lower({c}), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{t}{chr(39)} END' for p, t in TYPE_WORDS.items())}], lambda x: x IS NOT NULL)))"
+    return TYPES.replace("lower(text)", f"lower({c})")
 
 
 STOPS = ", ".join(f"'{w}'" for w in T.STOP_WORDS)

@@ -52,19 +52,32 @@ def summary_sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.summary_sentences(F.col("text"))).alias("n"))
 
 
+def _checked(sql: str, pattern: str, right: str, mark: str) -> str:
+    """What matches and passes a test on x, replaced by a mark."""
+    cut = f"string_split(regexp_replace(replace({sql}, chr(1), ''), '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    return f"array_to_string(list_transform({cut}, lambda x, i: CASE WHEN i % 2 = 0 AND {right} THEN '{mark}' ELSE x END), '')"
+
+
+DIGITS = "regexp_replace(x, '[ -]', '', 'g')"
+LUHN = f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda k: CASE WHEN (length({DIGITS}) - k) % 2 = 1 THEN CAST({DIGITS}[k] AS INT) * 2 // 10 + CAST({DIGITS}[k] AS INT) * 2 % 10 ELSE CAST({DIGITS}[k] AS INT) END)) % 10 = 0"
+KEY = "regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]')"
+SECRET_CARDS = _checked("text", T.CARD_LIKE, LUHN, "[REDACTED-CARD]")
+SENSITIVE_MARKS = _checked(_checked("text", T.CARD_LIKE, LUHN, "[REDACTED]"), T.KEY_LIKE, KEY, "[REDACTED]")
+
+
 def _nested(sql: str, patterns) -> str:
     for p, r in patterns:
         sql = "regexp_replace({}, '{}', '{}', 'g')".format(sql, p.replace("'", "''"), r)
     return sql
 
 
-@query(f"SELECT doc_id, sha256(r) redacted, r <> text changed FROM (SELECT doc_id, text, {_nested('text', T.SECRET_PATTERNS)} r FROM documents)")
+@query(f"SELECT doc_id, sha256(r) redacted, r <> text changed FROM (SELECT doc_id, text, {_nested(SECRET_CARDS, T.SECRET_PATTERNS)} r FROM documents)")
 def secret_redaction(spark, d):
     r = table(spark, d, "documents").select("doc_id", "text", T.redact_secrets(F.col("text")).alias("r"))
     return r.select("doc_id", F.sha2("r", 256).alias("redacted"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-@query(f"SELECT doc_id, sha256(r) redacted, r <> text changed FROM (SELECT doc_id, text, {_nested('text', [(p, '[REDACTED]') for p in T.SENSITIVE_PATTERNS])} r FROM documents)")
+@query(f"SELECT doc_id, sha256(r) redacted, r <> text changed FROM (SELECT doc_id, text, {_nested(SENSITIVE_MARKS, [(p, '[REDACTED]') for p in T.SENSITIVE_PATTERNS])} r FROM documents)")
 def sensitive_redaction(spark, d):
     r = table(spark, d, "documents").select("doc_id", "text", T.redact_sensitive(F.col("text")).alias("r"))
     return r.select("doc_id", F.sha2("r", 256).alias("redacted"), (F.col("r") != F.col("text")).alias("changed"))

@@ -28,13 +28,23 @@ def query_normalised(spark, d):
     return asked_queries(spark, d).select("query_id", U.normalised(F.col("text")).alias("normalised"))
 
 
-def _count(ps):
-    return " + ".join(f"CAST(regexp_matches(lower(text), '{p}') AS INT)" for p in ps)
+WORD_LIST = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
 
 
-SECOND = f"""SELECT query_id, list_transform(list_sort(list_filter([{", ".join(f"{{'s': -({_count(ps)}), 'i': '{i}'}}" for i, ps in U.SECOND_INTENTS.items())}], lambda x: x.s < 0))[1:CASE WHEN regexp_matches(lower(text), '{U.COMPOUND}') THEN 3 ELSE 2 END], lambda x: x.i) intents,
-CASE WHEN {" + ".join(_count(ps) for ps in U.SECOND_INTENTS.values())} > 0 THEN 0.8 ELSE 0.3 END confidence,
-CASE WHEN regexp_matches(lower(text), '{U.COMPOUND}') THEN 'compound' WHEN contains(text, '?') THEN 'conversational' WHEN regexp_matches(lower(text), '\\b(filter|only|exclude|without)\\b') THEN 'filter' WHEN length(text) > 50 THEN 'exploratory' ELSE 'simple' END query_type FROM ({ASKED_SQL})"""
+def _found(intent):
+    line = f"(' ' || coalesce(array_to_string({WORD_LIST}, ' '), '') || ' ')"
+    asked = [f" {p} " for p in U.SECOND_PHRASES[intent]] + [f" {p}" for p in U.SECOND_STEMS.get(intent, ())]
+    return " + ".join(f"CAST(contains({line}, '{p}') AS INT)" for p in asked)
+
+
+def _holds(words):
+    return f"len(list_intersect({WORD_LIST}, [{', '.join(f'{chr(39)}{w}{chr(39)}' for w in words)}])) > 0"
+
+
+TYPES = f"list_sort(list_filter([{', '.join(f'CASE WHEN {_holds(ws)} THEN {chr(39)}{t}{chr(39)} END' for t, ws in U.TYPE_WORDS.items())}], lambda x: x IS NOT NULL))"
+SECOND = f"""SELECT query_id, list_transform(list_sort(list_filter([{", ".join(f"{{'s': -({_found(i)}), 'i': '{i}'}}" for i in U.SECOND_PHRASES)}], lambda x: x.s < 0))[1:CASE WHEN {_holds(U.JOINING_WORDS)} THEN 3 ELSE 2 END], lambda x: x.i) intents,
+CASE WHEN {" + ".join(map(_found, U.SECOND_PHRASES))} > 0 THEN 0.8 ELSE 0.3 END confidence,
+CASE WHEN {_holds(U.JOINING_WORDS)} THEN 'compound' WHEN contains(text, '?') THEN 'conversational' WHEN {_holds(U.SECOND_PHRASES["Filter"])} THEN 'filter' WHEN length(text) > 50 THEN 'exploratory' ELSE 'simple' END query_type FROM ({ASKED_SQL})"""
 
 
 @query(SECOND)
@@ -42,7 +52,7 @@ def query_intents_second(spark, d):
     return U.second_intents(asked_queries(spark, d))
 
 
-@query(f"SELECT query_id, list_sort(list_distinct(list_filter([{', '.join(f'CASE WHEN regexp_matches(lower(text), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{t}{chr(39)} END' for p, t in U.TYPE_WORDS.items())}], lambda x: x IS NOT NULL))) types FROM ({ASKED_SQL})")
+@query(f"SELECT query_id, {TYPES} types FROM ({ASKED_SQL})")
 def query_file_types(spark, d):
     return asked_queries(spark, d).select("query_id", U.file_types(F.col("text")).alias("types"))
 

@@ -193,12 +193,17 @@ def test_redaction(spark):
     df = spark.createDataFrame([("mail a.b@c.org from 10.0.0.1 ssn 123-45-6789",), (None,), ("",)], "t string")
     got = [r[0] for r in df.select(T.redact_secrets(F.col("t"))).collect()]
     assert got == ["mail [REDACTED-EMAIL] from [REDACTED-IP] ssn [REDACTED-SSN]", None, ""]
-    more = spark.createDataFrame([("the key: value stays, the rest of it too",), ("password = 'a b', token:xyz; ok",), ('api_key="q r" done',), ("card 1234-5678-9012-3456.",)], "t string")
+    more = spark.createDataFrame([("the key: value stays, the rest of it too",), ("password = 'a b', token:xyz; ok",), ('api_key="q r" done',), ("card 4111-1111-1111-1111, 378282246310005.",), ("order 1234-5678-9012-3456, 4111 1111 1111 1112",)], "t string")
     assert [r[0] for r in more.select(T.redact_secrets(F.col("t"))).collect()] == [
-        "the key=[REDACTED] stays, the rest of it too", "password=[REDACTED], token=[REDACTED]; ok", "api_key=[REDACTED] done", "card [REDACTED-CARD].",
+        "the key=[REDACTED] stays, the rest of it too", "password=[REDACTED], token=[REDACTED]; ok", "api_key=[REDACTED] done", "card [REDACTED-CARD], [REDACTED-CARD].",
+        "order 1234-5678-9012-3456, 4111 1111 1111 1112",  # no cards: their check digits are wrong
     ]
-    some = spark.createDataFrame([("ftp://u:pw@h/x 555-123-4567 a.b@c.d.org " + "k" * 20,)], "t string")
+    some = spark.createDataFrame([("ftp://u:pw@h/x 555-123-4567 a.b@c.d.org " + "k1" * 10,)], "t string")
     assert some.select(T.redact_sensitive(F.col("t"))).first()[0] == "ftp[REDACTED]h/x [REDACTED] [REDACTED] [REDACTED]"
+    kept = "interdisciplinarities of antidisestablishmentarianism 5551234567 12345678901234567890"  # long words and bare numbers are neither keys nor phones
+    found = "+44 20 7946 0958 / (030) 123 4567 / sk-live-0a1b2c3d4e5f6g7h"
+    rows = spark.createDataFrame([(kept,), (found,), ("a\u0001b",)], "t string").select(T.redact_sensitive(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [kept, "[REDACTED] / [REDACTED] / [REDACTED]", "ab"]
 
 
 def test_files(spark, tmp_path):
