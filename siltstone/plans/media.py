@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import media as M
 from ..sources import files as S
+from ..storage import delete_at_exit, scratch
 from .catalog import query, table
+from .texts import FOLDED
 
 
 @query("SELECT page_id, CASE WHEN starts_with(hex(encode(html))[1:16], '3C21444F43545950') OR starts_with(hex(encode(html))[1:16], '3C68746D6C') THEN 'Html' ELSE 'other' END kind, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) extension FROM pages")
@@ -37,3 +39,14 @@ def image_features(spark, d):
 def file_hashes(spark, d):
     c = F.encode("html", "UTF-8")
     return table(spark, d, "pages").select("page_id", S.partial_hash(c).alias("content_hash"), F.octet_length(c).cast("long").alias("n_bytes"))
+
+
+@query(f"SELECT doc_id, 'Text' kind, strlen(text) + 1 n_bytes, sha256(text || chr(10)) content_hash, sha256({FOLDED.format('text')}) folded, CAST(NULL AS VARCHAR) problem FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def files_read_back(spark, d):
+    """Every document written as a text file of its own, then the files listed and read as documents."""
+    root = scratch(spark, "files")
+    delete_at_exit(spark, root)
+    S.write_files(table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").alias("value")), root, "doc_id")
+    read = S.documents(S.listing(spark, root))
+    own = F.regexp_extract("path", r"/doc_id=(-?\d+)/", 1).cast("long")
+    return read.select(own.alias("doc_id"), "kind", F.col("length").alias("n_bytes"), "content_hash", F.sha2("text", 256).alias("folded"), "problem")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from email import message_from_bytes, policy
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,11 +87,8 @@ def partial_hash(content: Column, edge: int = 1 << 20, whole: int = 10 << 20) ->
 
 
 def docx_text(data: bytes) -> str:
-    try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            xml = z.read("word/document.xml").decode("utf-8", "replace")
-    except (zipfile.BadZipFile, KeyError):
-        return ""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        xml = z.read("word/document.xml").decode("utf-8", "replace")
     return " ".join(re.sub(r"<[^>]*>", " ", xml).split())
 
 
@@ -141,7 +140,7 @@ def pdf_text(data: bytes) -> str:
                 elif token == b"]":
                     in_array = False
                 elif in_array and token[:1] in b"-+.0123456789":
-                    if token[:1] == b"-" and float(token) < -200:  # a gap as wide as a space
+                    if re.fullmatch(rb"-\d*\.?\d+|-\d+\.", token) and float(token) < -200:  # a gap as wide as a space
                         strings.append(" ")
                 elif token in (b"Tj", b"TJ", b"'", b'"'):
                     out.append(("\n" if token in (b"'", b'"') else "") + "".join(strings))
@@ -164,31 +163,58 @@ def mail_fields(raw: Column) -> Column:
     return F.struct(named("Subject").alias("subject"), named("From").alias("sender"), named("To").alias("recipient"), named("Date").alias("date"), body.alias("body"))
 
 
+def mail_text(data: bytes) -> str:
+    """Subject, sender and body of a message; encoded words and bodies are decoded, of several forms of a body the plain one counts."""
+    message = message_from_bytes(data, policy=policy.default)
+    body = message.get_body(("plain", "html"))
+    text = body.get_content() if body is not None else ""
+    if body is not None and body.get_content_type() == "text/html":
+        text = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", text)))
+    return " ".join(" ".join([str(message["Subject"] or ""), str(message["From"] or ""), text]).split())
+
+
+_READERS = {"Docx": docx_text, "Pdf": pdf_text, "Email": mail_text}
+
+
+def read_by(kind: str, data: bytes) -> tuple[str, str | None]:
+    """(text, problem): a file that its reader can't read is a document without text, and tells why."""
+    try:
+        return _READERS[kind](data).encode("utf-8", "replace").decode(), None
+    except Exception as e:  # noqa: BLE001  any bytes may come; one file must not stop the others
+        return "", f"{type(e).__name__}: {e}"[:200]
+
+
+def text_of(content: Column) -> Column:
+    """Bytes as text: UTF-8 (a mark in front is dropped), or, where they aren't, Latin-1, which reads any bytes."""
+    return F.regexp_replace(F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1")), "^\ufeff", "")
+
+
 def documents(files: DataFrame, min_chars: int = 0) -> DataFrame:
-    """Files as documents: path, kind, size class, hash, text, needs_ocr.
+    """Files as documents: path, kind, size class, hash, text, needs_ocr, problem.
 
-    Text, Markdown, HTML and mails (subject, sender and body) are read by expressions; only office documents and PDF need
-    Python. Images, and PDF files that show no text, are marked for character recognition."""
+    Text, Markdown and HTML are read by expressions, whatever their bytes; mails (subject, sender and body), office documents
+    and PDF need Python. A file that can't be read has no text and a problem; an
+    empty file is no document (Spark lists none). Images, and PDF files that show no text, are
+    marked for character recognition."""
     f = files.withColumn("kind", detected(F.col("path"), F.col("content"))["kind"])
-    raw = F.decode("content", "UTF-8")
-    mail = mail_fields(raw)
-    mailed = T.folded(F.concat_ws(" ", mail["subject"], mail["sender"], mail["body"]))
-    plain = f.where("kind NOT IN ('Docx', 'Pdf')").withColumn(
-        "text", F.when(F.col("kind") == "Html", T.strip_html(raw)).when(F.col("kind") == "Markdown", T.strip_markdown(raw)).when(F.col("kind") == "Email", mailed).when(F.col("kind") == "Text", T.folded(raw)).otherwise(F.lit(""))
-    )
+    raw = text_of(F.col("content"))
+    by_python = F.coalesce(F.col("kind").isin(*_READERS), F.lit(False))
+    text = F.when(F.col("kind") == "Html", T.strip_html(raw)).when(F.col("kind") == "Markdown", T.strip_markdown(raw)).when(F.col("kind") == "Text", T.folded(raw)).otherwise(F.lit(""))
+    plain = f.where(~by_python).withColumn("text", text).withColumn("problem", F.lit(None).cast("string"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
-            x["text"] = [pdf_text(c) if k == "Pdf" else docx_text(c) for k, c in zip(x["kind"], x["content"], strict=True)]
+            read = [read_by(k, bytes(c)) for k, c in zip(x["kind"], x["content"], strict=True)]
+            x["text"], x["problem"] = ([r[i] for r in read] for i in (0, 1))
             yield x
 
     schema = plain.schema
-    office = f.where("kind IN ('Docx', 'Pdf')").withColumn("text", F.lit("")).mapInPandas(run, schema)
+    office = f.where(by_python).withColumn("text", F.lit("")).withColumn("problem", F.lit(None).cast("string")).mapInPandas(run, schema)
     out = plain.unionByName(office)
     ocr = (F.col("kind") == "Image") | ((F.col("kind") == "Pdf") & (F.col("text") == ""))
     return out.select(
         "path", "kind", "length", F.col("modificationTime").alias("modified"), size_category(F.col("length")).alias("size_category"), partial_hash(F.col("content")).alias("content_hash"),
-        "text", T.language(F.col("text")).alias("lang"), ocr.alias("needs_ocr"),
+        "text", T.language(F.col("text")).alias("lang"), ocr.alias("needs_ocr"), "problem",
     ).where((F.length("text") >= min_chars) | F.col("needs_ocr"))
 
 
@@ -216,6 +242,11 @@ def file_count(spark: SparkSession, root: str, **options) -> int:
     return listing(spark, root, content=False, **options).count()
 
 
+def write_files(texts: DataFrame, root: str, key: str) -> None:
+    """Each row of (key, value) as a text file of its own, ``root/key=...``, closed by a line feed."""
+    texts.select(key, "value").write.partitionBy(key).option("maxRecordsPerFile", 1).text(root)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", partition: list[str] | None = None, mode: str = "append") -> None:
     """Appends or overwrites a table; kind is any of Spark's file formats."""
     w = df.write.mode(mode).format(kind)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from pathlib import Path
 
@@ -120,6 +121,33 @@ def test_pdf_text():
     assert files.pdf_text(pdf((b"/Resources << /Font << /F1 2 0 R >> >>", b"BT (nested) Tj ET"))) == "nested"
 
 
+def test_any_bytes_under_any_name(spark, tmp_path: Path):
+    """No file stops the others: each gives a document, those that can't be read with a problem."""
+    rng = random.Random(5)
+    shown = pdf((b"", b"BT [(a) - (b) --5 (c) 1.2.3 (d) -.] TJ <4> Tj ET"))
+    some = [b"", b"\x00", b"\xff\xfe\x00", "Größe".encode("latin-1"), "\ufeffmark".encode(), rng.randbytes(3000), b"PK\x03\x04" + rng.randbytes(200), b"%PDF-1.4\n" + rng.randbytes(2000), shown, b"Subject: =?utf-8?B?!!?=\nContent-Type: text/plain; charset=nothing\n\n\xff"]
+    kinds = ["txt", "md", "html", "pdf", "docx", "eml", "json", "png", "bin", ""]
+    for i, data in enumerate(some):
+        for k in kinds:
+            (tmp_path / f"f{i}.{k}".rstrip(".")).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[-1]: r for r in files.documents(files.listing(spark, f"file://{tmp_path}")).collect()}
+    assert len(got) == (len(some) - 1) * len(kinds)  # empty files are none
+    assert got["f3.txt"].text == "Größe" and got["f4.txt"].text == "mark" and got["f4.txt"].problem is None
+    assert got["f8.pdf"].text.startswith("abcd") and got["f6.docx"].text == "" and got["f6.docx"].problem
+
+
+def test_mails_are_decoded(spark, tmp_path: Path):
+    head = b"Subject: =?utf-8?B?R3LDvMOfZQ==?=\r\nFrom: =?iso-8859-1?Q?J=F6rg?= <j@x.org>\r\nMIME-Version: 1.0\r\n"
+    base64 = head + b"Content-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\nSGVsbG8gd8O2cmxk\r\n"
+    parts = head + b'Content-Type: multipart/alternative; boundary="b"\r\n\r\n--b\r\nContent-Type: text/html\r\n\r\n<p>no</p>\r\n--b\r\nContent-Type: text/plain\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\na=3Db\r\n--b--\r\n'
+    page = b"Subject: s\n" + b"Content-Type: text/html\n\n<style>x</style><p>a &amp; b</p>"
+    for name, data in (("a", base64), ("b", parts), ("c", page), ("d", b"Subject: plain\nFrom: x@y\n\nbody")):
+        (tmp_path / f"{name}.eml").write_bytes(data)
+    got = {r.path[-5]: (r.text, r.problem) for r in files.documents(files.listing(spark, f"file://{tmp_path}")).collect()}
+    who = "Grüße Jörg <j@x.org>"
+    assert got == {"a": (f"{who} Hello wörld", None), "b": (f"{who} a=b", None), "c": ("s a & b", None), "d": ("plain x@y body", None)}
+
+
 def test_mail_fields(spark):
     mails = ["Subject: a\r\n b\r\nFROM: x@y\r\n\r\nbody\r\n\r\nSubject: no", "To: z\nDate: today", "", None]
     df = spark.createDataFrame([(m,) for m in mails], "m string")
