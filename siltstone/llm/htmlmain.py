@@ -3,7 +3,8 @@
 A page is read as a sequence of leaf blocks: text between block-level tags, without scripts,
 styles and comments of the markup. Each block becomes a vector: hashed tags, classes and
 identifiers of its whole path (each distinct name once, however far up), hashed words, its share of
-link text, its length, its punctuation. A bidirectional LSTM in numpy reads the sequence, so a block
+link text, its length, its punctuation, and what share of the page's text stands in its element and the three around
+it. A bidirectional LSTM in numpy reads the sequence, so a block
 is labelled in the light of what stands before and behind it; a logistic unit says whether it
 belongs to the article. A page beyond ``STRETCH`` blocks is read in stretches of that length that
 overlap by twice ``MARGIN``; each block's label comes from the stretch in which it lies further inside.
@@ -11,12 +12,14 @@ overlap by twice ``MARGIN``; each block's label comes from the stretch in which
 The labeller is trained on the driver on ``SAMPLE`` stretches of at most ``TRAIN_BLOCKS`` blocks, cut from
 all parts of at most ``SAMPLE`` different pages (those with the smallest hash of their html; of their
 stretches those with the smallest hash); executors turn them into vectors, so that the driver's memory doesn't depend
-on the length of pages. Their labels come from the meaning of
-tags and class names (``taught``); ``COPIES`` of each stretch with other containers, and with
-sidebars, notices, adverts, forms and reader comments put in, widen what it has seen.
+on the length of pages. Labels of the page itself come from the meaning of tags and class names (``taught``). That alone would
+teach names only, so ``COPIES`` of each stretch are written as new pages whose labels are known from how they are made
+(``_rewritten``): the article in other containers and elements, boxes of many names within and around it, and, in a third of
+them, all names and telling tags replaced by such as say nothing, so that text and place must tell.
 Extraction reads whole pages and labels every block.
 
-Elements share their path (a node with its parent), so deep nesting costs a node for each element.
+Elements are nodes that point at their parent and share its vector unless they add a name to it, so deep nesting costs a
+small node for each element.
 
 Defined results: null or empty html has an empty text; broken markup is read as far as it goes (a
 tag that the end cuts off is dropped, an incomplete character reference stays as text);
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import chunked, rows
 from .texthash import SOLID, words
 
-SAMPLE, TRAIN_BLOCKS, HIDDEN, EPOCHS, STRETCH, MARGIN, DROP, DECAY = 192, 160, 16, 14, 2048, 128, 0.1, 0.01
-PATH_DIM, WORD_DIM, OTHER_DIM, COPIES = 96, 16, 5, 6
+SAMPLE, TRAIN_BLOCKS, HIDDEN, EPOCHS, STRETCH, MARGIN, DROP, DECAY = 192, 160, 24, 16, 2048, 128, 0.1, 0.01
+PATH_DIM, WORD_DIM, OTHER_DIM, COPIES = 160, 16, 9, 8
 INPUT = PATH_DIM + WORD_DIM + OTHER_DIM
 
 #: Names of HTML.
@@ -67,22 +70,32 @@ def _add(x: np.ndarray, name: str) -> None:
     x[(h >> 16) % PATH_DIM] += 1.0 if h >> 41 & 1 else -1.0
 
 
+def _parts(n: str) -> tuple[str, ...]:
+    return (n, *(re.split("[-_]+", n[1:]) if n[0] in ".#" else ()))
+
+
+_NONE = np.zeros(PATH_DIM, np.float32)
+
+
 class Path:
-    """An element within its parents: hashed names, and what the names mean. ``held`` counts the names of a way down."""
+    """An element below its parent: its names, the hashed names of the whole way, what the names mean, and how much text it holds.
 
-    __slots__ = ("boiler", "inside", "main_name", "main_tag", "own", "whole")
+    ``held`` counts the names of a way down; ``page`` is a list with the length of the page's text."""
 
-    def __init__(self, up: Path | None, names: list[str], held: dict[str, int]):
-        self.whole = up.whole.copy() if up else np.zeros(PATH_DIM, np.float32)
-        self.own = np.zeros(PATH_DIM, np.float32)
+    __slots__ = ("boiler", "inside", "main_name", "main_tag", "names", "page", "text", "up", "whole")
+
+    def __init__(self, up: Path | None, names: tuple[str, ...], held: dict[str, int], page: list[int]):
+        self.up, self.names, self.page, self.text = up, names, page, 0
+        self.whole = up.whole if up else _NONE
         self.boiler, self.inside = (up.boiler, up.inside) if up else (False, False)
         self.main_tag, self.main_name = (up.main_tag, up.main_name) if up else (False, False)
         for n in names:
-            for part in (n, *(re.split("[-_]+", n[1:]) if n[0] in ".#" else ())):
+            for part in _parts(n):
                 if not held.get(part):
+                    if self.whole is (up.whole if up else _NONE):
+                        self.whole = self.whole.copy()
                     _add(self.whole, part)
                 held[part] = held.get(part, 0) + 1
-            _add(self.own, "leaf" + n)
             main = n in ("article", "main", "@main")
             self.inside |= main
             self.main_tag |= main
@@ -90,13 +103,13 @@ class Path:
             self.main_name |= bool(named and MAIN_NAME.search(n))
             self.boiler |= n in BOILER_TAGS or (n == "header" and not self.inside) or n in ("@navigation", "@banner", "@contentinfo", "@complementary", "@search") or bool(named and BOILER_NAME.search(n))
 
-    @staticmethod
-    def of(*elements: list[str]) -> Path:
-        """The path of elements, each a list of its names, outermost first."""
-        path, held = None, {}
-        for names in elements:
-            path = Path(path, names, held)
-        return path
+    def shares(self) -> list[float]:
+        """What share of the page's text, links left out, this element and the three around it hold."""
+        out, p = [], self
+        for _ in range(4):
+            out.append(p.text / max(1, self.page[0]))
+            p = p.up or p
+        return out
 
 
 Block = tuple  # path (None outside all elements), tag, text, share of link text
@@ -105,8 +118,10 @@ Block = tuple  # path (None outside all elements), tag, text, share of link text
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in order; their text is decoded and its white space folded."""
     out: list[Block] = []
-    stack: list[tuple[str, list[str], Path]] = []
+    stack: list[tuple[str, Path, int]] = []
     held: dict[str, int] = {}
+    same: dict[tuple[str, ...], tuple[str, ...]] = {}  # equal names are one object
+    page_text = [0]
     deep: dict[str, list[int]] = {}  # of each tag the places in the stack
     text: list[str] = []
     linked = link = at = 0
@@ -116,16 +131,19 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
-                out.append((stack[-1][2] if stack else None, stack[-1][0] if stack else "", whole, min(1.0, linked / len(whole))))
+                share = min(1.0, linked / len(whole))
+                out.append((stack[-1][1] if stack else None, stack[-1][0] if stack else "", whole, share))
+                page_text[0] += round(len(whole) * (1 - share))
             text.clear()
         linked = 0
 
     def cut(k: int):
         while len(stack) > k:
-            tag, names, _ = stack.pop()
+            tag, path, before = stack.pop()
+            path.text = page_text[0] - before
             deep[tag].pop()
-            for n in names:
-                for part in (n, *(re.split("[-_]+", n[1:]) if n[0] in ".#" else ())):
+            for n in path.names:
+                for part in _parts(n):
                     held[part] -= 1
 
     def pop(tags: tuple, below: frozenset = frozenset()):
@@ -183,8 +201,10 @@ def blocks_of(page: str) -> list[Block]:
                 mark = {"class": ".", "id": "#", "role": "@"}[kind.lower()]
                 names += [mark + x for x in (a or b or c).lower().split()]
         deep.setdefault(tag, []).append(len(stack))
-        stack.append((tag, names, Path(stack[-1][2] if stack else None, names, held)))
+        own = same.setdefault(tuple(names), tuple(names))
+        stack.append((tag, Path(stack[-1][1] if stack else None, own, held, page_text), page_text[0]))
     close()
+    cut(0)
     return out
 
 
@@ -205,7 +225,10 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         return x
     for k, (path, _, text, link) in enumerate(blocks):
         if path is not None:
-            x[k, :PATH_DIM] = path.whole + path.own
+            x[k, :PATH_DIM] = path.whole
+            for name in path.names:
+                _add(x[k, :PATH_DIM], "leaf" + name)
+            x[k, -9:-5] = path.shares()
         n = len(text)
         x[k, -5:] = (link, min(1.0, n / 400), np.log1p(n) / 8, (text.count(".") + text.count(",")) / n, text[-1] in ".!?:;")
     # many names on a way count by their square root, so that deep pages stay in the range that training has seen
@@ -308,72 +331,125 @@ def padded(x: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return out, mask
 
 
-#: Containers of articles and of what surrounds them, for the widened copies of training pages.
-_HOMES = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", "#content"), ("section", ".post"), ("div", ".entry-content"), ("div", ".story-body"), ("div", ".article-body"), ("div", "#main", "div", ".post-content")]
-_AROUND = [
-    ("header", "h2"), ("header", "p"), ("div", ".header", "p"), ("aside", "p"), ("aside", ".sidebar", "ul", "li"), ("div", ".sidebar", "p"), ("div", "#sidebar", "ul", "li"), ("div", ".cookie-notice", "p"), ("div", ".notice"), ("div", ".ad"), ("div", ".ads", "p"), ("div", ".advert"),
-    ("form",), ("form", "p"), ("form", "label"), ("section", ".comments", "p"), ("div", "#comments", "div", ".comment", "p"), ("ol", ".comments", "li"), ("div", ".comment"), ("div", ".related", "ul", "li"), ("footer", "p"), ("footer",), ("div", ".footer"), ("nav", "ul", "li"), ("ul", ".menu", "li"), ("div", ".newsletter", "p"), ("div", ".share"), ("div", ".banner"), ("div", ".promo"),
-]
-
-_LEAVES = [("h1",), ("h2",), ("h3",), ("p",), ("ul", "li"), ("ol", "li"), ("table", "tr", "td"), ("table", "tbody", "tr", "th"), ("dl", "dt"), ("dl", "dd"), ("blockquote",), ("blockquote", "p"), ("pre",), ("figure", "figcaption"), ("section", "p"), ("section", "h2")]
-
-
-def _elements(names: tuple[str, ...]) -> list[list[str]]:
-    out: list[list[str]] = []
-    for n in names:
-        if n[0] in ".#@":
-            out[-1].append(n)
-        else:
-            out.append([n])
-    return out
-
-
-def _widen(blocks: list[Block], labels: list[bool], rng) -> tuple[list[Block], list[bool]]:
-    home = _HOMES[rng.integers(len(_HOMES))]
-    # some pages wrap everything in containers that say nothing
-    wrap = ("html", "body", *[x for _ in range(rng.integers(0, 5)) for x in ("div", f".{'abcdefgh'[rng.integers(8)]}{rng.integers(100)}")])
-    out, ys = [], []
+#: Elements of articles and containers around them, and names of what surrounds or interrupts them, for the pages that are written for training.
+_HOMES = ["article", "main", "main article", "div.content", "div#content", "section.post", "div.entry-content", "div.story-body", "div.article-body", "div#main div.post-content", "div.post-body", "div#page div.entry"]
+_LEAVES = ["h1", "h2", "h3", "p", "p", "ul li", "ol li", "table tr td", "table tbody tr th", "dl dt", "dl dd", "blockquote", "blockquote p", "pre", "pre code", "figure figcaption", "section p", "section h2", "div", "div p"]
+_BOXES = (
+    "ad ads advert advertisement ad-slot sponsored sponsored-links promo banner related share social sidebar comments comment comment-list disqus_thread replies newsletter subscribe cookie-notice cookies consent notice popup modal menu "
+    "nav navbar breadcrumbs site-footer footer site-header header masthead copyright widget login search tags toolbar"
+).split()
+_BOX_TAGS = ["div", "div", "div", "section", "aside", "ul", "form", "nav", "footer", "header", "ol"]
+_BOX_LEAVES = ["p", "p", "", "li", "h2", "h3", "label", "div", "div p", "ul li"]
+_PLAIN = {t: "div" for t in ("article", "main", "nav", "header", "footer", "aside", "section", "form", "menu", "dialog")}
+
+
+class Page:
+    """Markup in the making, with a label for each block that it will give."""
+
+    def __init__(self, rng, plain: bool):
+        self.rng, self.plain, self.out, self.labels = rng, plain, [], []
+        self.names: dict[str, str] = {}
+
+    def open(self, way: str) -> list[str]:
+        """Opens elements like ``div.a section#b``; their tags, for closing."""
+        tags = []
+        for step in way.split():
+            tag, sign, name = *re.match(r"(\w+)([.#]?)", step).groups(), re.sub(r"^\w+[.#]?", "", step)
+            if self.plain:  # one name that says nothing for each that does
+                tag = _PLAIN.get(tag, tag)
+                name = self.names.setdefault(name, f"{'abcdefgh'[self.rng.integers(8)]}{self.rng.integers(99)}") if name else ""
+            mark = {".": f" class={name}", "#": f" id={name}"}.get(sign, "") if name else ""
+            self.out.append(f"<{tag}{mark}>")
+            tags.append(tag)
+        return tags
+
+    def shut(self, tags: list[str]) -> None:
+        self.out += [f"</{t}>" for t in reversed(tags)]
+
+    def leaf(self, way: str, text: str, link: bool, label: bool) -> None:
+        tags = self.open(way) if way else []
+        text = _html.escape(text)
+        self.out.append(f"<a href=x>{text}</a>" if link else text)
+        self.shut(tags)
+        self.labels.append(label)
+
+
+def _rewritten(blocks: list[Block], labels: list[bool], rng) -> tuple[list[Block], list[bool]]:
+    """A page of the same texts with other elements and boxes. What isn't the article's comes from the page's own such texts, or from any words."""
+    page = Page(rng, rng.random() < 1 / 3)
+    other = [t for (*_, t, _), y in zip(blocks, labels, strict=True) if not y]
     texts = [t for *_, t, _ in blocks]
 
-    def around(prefix):
-        where = _AROUND[rng.integers(len(_AROUND))]
-        deeper = ("div",) * int(rng.integers(0, 3))
-        for _ in range(rng.integers(1, 6 if where[-1] == "li" else 4)):
-            ws = " ".join(texts[rng.integers(len(texts))].split()[: int(rng.choice([2, 6, 15, 60]))])
-            if ws:
-                out.append((Path.of(*_elements((*wrap, *prefix, *where, *deeper))), where[-1], ws, float(rng.random() < 0.4 and where[-1] == "li")))
-                ys.append(False)
-
-    for _ in range(rng.integers(0, 3)):
-        around(())
-    for (path, tag, text, link), y in zip(blocks, labels, strict=True):
+    def words_of(some: list[str]) -> str:
+        return " ".join(some[rng.integers(len(some))].split()[: int(rng.choice([2, 6, 15, 60]))]) or "more"
+
+    def box(inside: bool) -> None:
+        """Some blocks in a box; within a plain page's article there is none, since nothing would tell it."""
+        if inside and page.plain:
+            return
+        tag, name = _BOX_TAGS[rng.integers(len(_BOX_TAGS))], _BOXES[rng.integers(len(_BOXES))]
+        own = tag if not inside and tag in ("aside", "form", "nav", "footer", "header") and rng.random() < 0.4 else f"{tag}{'.#'[rng.integers(2)]}{name}"
+        leaf = "li" if tag in ("ul", "ol") else _BOX_LEAVES[rng.integers(len(_BOX_LEAVES))]
+        linked = leaf.endswith("li") and rng.random() < 0.7
+        tags = page.open(own + " div" * int(rng.integers(0, 3)) if tag not in ("ul", "ol") else own)
+        for k in range(int(rng.integers(1, 6 if leaf.endswith("li") else 3))):
+            some = other if other and (page.plain or rng.random() < 0.5) else texts
+            page.leaf(leaf or ("p" if k else ""), words_of(some) if not linked else " ".join(words_of(some).split()[:3]), linked, False)
+        page.shut(tags)
+
+    wrap = page.open("body" + "".join(f" div.{'abcdefgh'[rng.integers(8)]}{rng.integers(100)}" for _ in range(rng.integers(0, 4))))
+    for _ in range(rng.integers(0, 4)):
+        box(False)
+    first = labels.index(True)
+    last = len(labels) - labels[::-1].index(True)
+    home: list[str] = []
+    for k, ((path, tag, text, link), y) in enumerate(zip(blocks, labels, strict=True)):
+        if k == first:
+            home = page.open(_HOMES[rng.integers(len(_HOMES))] + " div" * int(rng.choice([0, 0, 1, 3])))
         if y:
-            leaf = _LEAVES[rng.integers(len(_LEAVES))] if rng.random() < 0.3 else (tag if tag and tag not in ("article", "main") else "p",)
-            out.append((Path.of(*_elements((*wrap, *home, *leaf))), leaf[-1], text, link))
+            usual = tag if tag in ("p", "h1", "h2", "h3", "li", "td", "th", "dt", "dd", "pre", "blockquote") and rng.random() < 0.5 else _LEAVES[rng.integers(len(_LEAVES))]
+            way = {"li": "ul li", "td": "table tr td", "th": "table tr th", "dt": "dl dt", "dd": "dl dd"}.get(usual, usual)
+            if way.split()[-1] in ("li", "td", "th", "dt") and rng.random() < 0.6:  # lists and tables of an article have short parts too
+                *outer, leaf = way.split()
+                tags = page.open(" ".join(outer))
+                for _ in range(int(rng.integers(1, 5))):
+                    page.leaf(leaf, " ".join(words_of(texts).split()[: int(rng.integers(1, 6))]), False, True)
+                page.shut(tags)
+            else:
+                page.leaf(way, text, link > 0.5, True)
             if rng.random() < 0.3:
-                ys.append(True)
-                around(home)
-                continue
-        else:
-            out.append((path, tag, text, link))
-        ys.append(y)
-    for _ in range(rng.integers(0, 3)):
-        around(())
-    return out, ys
+                box(True)
+        elif not first <= k < last and not page.plain:
+            named = (n for p in _ups(path) for n in p.names if n[0] in ".#" and re.fullmatch(r"[\w-]+", n[1:]) and BOILER_NAME.search(n))
+            page.leaf(f"div{next(named, '.' + _BOXES[rng.integers(len(_BOXES))])} p", text, link > 0.5, False)
+        if k == last - 1:
+            if rng.random() < 0.4:
+                box(True)
+            page.shut(home)
+    for _ in range(rng.integers(0, 4)):
+        box(False)
+    page.shut(wrap)
+    return blocks_of("".join(page.out)), page.labels
+
+
+def _ups(path: Path | None):
+    while path is not None:
+        yield path
+        path = path.up
 
 
 Lesson = tuple  # vectors of a stretch of blocks, their labels
 
 
 def lessons_of(page: str, seed: int = 5) -> list[list[Lesson]]:
-    """The stretches of a page, each with its widened copies, as vectors and labels."""
+    """The stretches of a page, each with pages written from it, as vectors and labels."""
     blocks = blocks_of(page)
     labels, out = taught(blocks), []
     rng = np.random.default_rng([seed, zlib.crc32(page.encode("utf-8", "surrogatepass"))])
     for at in range(0, len(blocks), TRAIN_BLOCKS):
         b, y = blocks[at : at + TRAIN_BLOCKS], labels[at : at + TRAIN_BLOCKS]
-        some = [(b, y)] + ([_widen(b, y, rng) for _ in range(COPIES)] if any(y) else [])
-        out.append([(vectors(bs), np.array(ys, bool)) for bs, ys in some])
+        some = [(b, y)] + ([_rewritten(b, y, rng) for _ in range(COPIES)] if any(y) else [])
+        out.append([(vectors(bs), np.array(ys, bool)) for bs, ys in some if len(bs) == len(ys)])
     return out
 
 
