@@ -134,3 +134,28 @@ def simplified(n: Node) -> Node:
             inner = simplified(n.inner)
             return inner.inner if isinstance(inner, Not) else inner if isinstance(inner, Empty) else Not(inner)
     return n
+
+
+def _operands(n: Node, kind: type) -> list[Node]:
+    return _operands(n.left, kind) + _operands(n.right, kind) if isinstance(n, kind) else [n]
+
+
+def canonical(n: Node) -> Node:
+    """One form for trees that commuting, regrouping, repeating, absorbing and double negation turn into each other."""
+    match n:
+        case Not():
+            inner = canonical(n.inner)
+            return inner.inner if isinstance(inner, Not) else inner if isinstance(inner, Empty) else Not(inner)
+        case And() | Or():
+            kind, other = type(n), Or if isinstance(n, And) else And
+            own = {show(x): x for y in _operands(n, kind) for x in _operands(canonical(y), kind) if not isinstance(x, Empty)}
+            held = {k: {show(y) for y in _operands(x, other)} for k, x in own.items()}
+            # an operand goes if the parts of another are among its own: a AND (a OR b) is a
+            left = [x for k, x in sorted(own.items()) if not any(j != k and held[j] < held[k] for j in own)]
+            if not left:
+                return Empty()
+            out = left[-1]
+            for x in reversed(left[:-1]):
+                out = kind(x, out)
+            return out
+    return n

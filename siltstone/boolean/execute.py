@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import lexical
 from ..operators.inverted import InvertedIndex
 from . import ast, postings
@@ -78,3 +82,26 @@ def steps(tree: Node, documents: int = ASSUMED_DOCUMENTS) -> Iterator[tuple[str,
     kind = "TermSearch" if isinstance(tree, Term) else "BooleanOperation" if isinstance(tree, And | Or | Not) else "IndexLookup"
     share = ast.selectivity(tree)
     yield kind, str(tree), round(share, 9), round(share * documents), ast.complexity(tree)
+
+
+def cached_search(index: InvertedIndex, text: str, fields: dict[str, str]) -> DataFrame:
+    """(doc_id) of what the query matches, computed once: saved beside the index under the canonical form of the query and the index's generation.
+
+    Queries of one canonical form share a result; another generation, or the index of another file, has its own. Two who compute
+    one at the same time write the same rows, each to a folder of its own, and the first that is published stays."""
+    form = ast.show(ast.canonical(parse(text)))
+    key = hashlib.sha256(json.dumps([form, sorted(fields.items()), index.folder, index.manifest.generation]).encode()).hexdigest()
+    place = f"{index.folder}/results/{key}"
+    published = storage.listed(index.spark, place)
+    if not published:
+        own = f"{index.folder}/result-tables/{uuid.uuid4().hex}"
+        postings.indexed_search(index, text, fields).select("doc_id").write.parquet(own)
+        try:
+            storage.create(index.spark, f"{place}/table", own)
+        except Exception:  # noqa: BLE001  somebody else was first
+            storage.delete(index.spark, own)
+            if not storage.listed(index.spark, place):
+                raise
+        published = storage.listed(index.spark, place)
+    kind = f"doc_id {index.manifest.id_type}"
+    return index.spark.read.schema(kind).parquet(storage.read(index.spark, published[0]))

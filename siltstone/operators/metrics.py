@@ -75,6 +75,24 @@ def alerts(checks: DataFrame) -> DataFrame:
     return checks.groupBy("rule").applyInPandas(run, "rule string, ts timestamp_ntz, action string")
 
 
+def alert_states(commands: DataFrame) -> DataFrame:
+    """(alert_id, state, opened, acknowledged) from commands(alert_id, at, kind): what is left once all are applied in the order of ``at``.
+
+    Legal steps: create opens an alert that isn't open, acknowledge marks an open one, resolve closes it; others change nothing.
+    Whatever came before, nothing is open after a resolve, so the last resolve, the first create behind it and the first acknowledge
+    behind that tell the state. These are sums over rows in any order, so the log may be unordered and repeated, and a busy
+    alert is summed up before the shuffle. Rows of null id, place or kind, and of other kinds, are left out."""
+    c = commands.where("alert_id is not null and at is not null and kind in ('create', 'acknowledge', 'resolve')").select("alert_id", "at", "kind")
+    of = lambda kind, how: how(F.when(F.col("kind") == kind, F.col("at")))
+    last = c.groupBy("alert_id").agg(of("resolve", F.max).alias("resolved"), F.max("at").alias("_last"))
+    after = c.join(last, "alert_id").where(F.col("resolved").isNull() | (F.col("at") > F.col("resolved")))
+    opened = after.groupBy("alert_id").agg(of("create", F.min).alias("opened"))
+    marked = after.where("kind = 'acknowledge'").join(opened, "alert_id").where("at > opened").groupBy("alert_id").agg(F.min("at").alias("acknowledged"))
+    out = last.join(opened, "alert_id", "left").join(marked, "alert_id", "left")
+    state = F.when(F.col("acknowledged").isNotNull(), "acknowledged").when(F.col("opened").isNotNull(), "open").when(F.col("resolved").isNotNull(), "resolved").otherwise("none")
+    return out.select("alert_id", state.alias("state"), "opened", "acknowledged")
+
+
 def anonymised(path: Column) -> Column:
     """Home folders and long numbers out of paths and messages."""
     c = F.regexp_replace(path, r"(/home/|/Users/|C:\\Users\\)[^/\\]+", "$1[USER]")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import Tables
+
 #: Signs of unsafe queries.
 UNSAFE = [r"(?i)\b(drop|delete|truncate|alter)\s+(table|from|database)\b", r"(?i)<script\b", r"(?i)javascript:", r"\.\./", r"(?i)\bunion\s+select\b", r"[;|`]\s*(rm|cat|curl|wget)\b"]
 BLOCKED = "[BLOCKED]"
@@ -103,14 +105,16 @@ def decisions(requests: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def role_closure(spark, parents: DataFrame) -> DataFrame:
-    """(role, inherits): all roles reachable; ends at cycles. Reach doubles each round."""
-    reach = parents.select("role", F.col("parent").alias("inherits")).distinct()
-    while True:
-        step = reach.join(reach.select(F.col("role").alias("inherits"), F.col("inherits").alias("next")), "inherits").select("role", F.col("next").alias("inherits"))
-        more = reach.union(step).distinct()
-        if more.count() == reach.count():
-            return reach
-        reach = more
+    """(role, inherits): all roles reachable; ends at cycles. Reach doubles each round; a round joins what the last one has found, and is written."""
+    with Tables(spark, "roles") as tables:
+        reach = tables.write(parents.select("role", F.col("parent").alias("inherits")).distinct())
+        while True:
+            step = reach.join(reach.select(F.col("role").alias("inherits"), F.col("inherits").alias("next")), "inherits").select("role", F.col("next").alias("inherits"))
+            new = tables.write(step.distinct().join(reach, ["role", "inherits"], "left_anti"))
+            if new.isEmpty():
+                return tables.release(reach)
+            reach = tables.write(reach.unionByName(new))
+            tables.forget(reach)
 
 
 @dataclass(frozen=True)

@@ -79,6 +79,24 @@ def alert_history(spark, d):
     return M.alerts(M.alert_checks(points(spark, d), _rules(spark)))
 
 
+COMMANDS = "SELECT user_id alert_id, event_id AS place, CASE event_type WHEN 'error' THEN 'create' WHEN 'view' THEN 'acknowledge' ELSE 'resolve' END kind FROM events WHERE event_type IN ('error', 'view', 'purchase')"
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY place) n FROM ({COMMANDS})),
+    f AS (SELECT alert_id, CAST(0 AS BIGINT) n, 'none' state, CAST(NULL AS BIGINT) opened, CAST(NULL AS BIGINT) acknowledged FROM (SELECT DISTINCT alert_id FROM c)
+    UNION ALL SELECT f.alert_id, c.n, CASE WHEN kind = 'create' AND state IN ('none', 'resolved') THEN 'open' WHEN kind = 'acknowledge' AND state = 'open' THEN 'acknowledged' WHEN kind = 'resolve' THEN 'resolved' ELSE state END,
+    CASE WHEN kind = 'create' AND state IN ('none', 'resolved') THEN place WHEN kind = 'resolve' THEN NULL ELSE opened END, CASE WHEN kind = 'acknowledge' AND state = 'open' THEN place WHEN kind = 'resolve' THEN NULL ELSE acknowledged END
+    FROM f JOIN c ON c.alert_id = f.alert_id AND c.n = f.n + 1)
+    SELECT alert_id, arg_max(state, n) state, arg_max(CAST(coalesce(opened, -1) AS BIGINT), n) opened, arg_max(CAST(coalesce(acknowledged, -1) AS BIGINT), n) acknowledged FROM f GROUP BY 1"""
+)
+def alert_lifecycle(spark, d):
+    """The state of each user's alert after errors create it, views acknowledge it and purchases resolve it."""
+    kind = F.when(F.col("event_type") == "error", "create").when(F.col("event_type") == "view", "acknowledge").when(F.col("event_type") == "purchase", "resolve")
+    s = M.alert_states(_e(spark, d).select(F.col("user_id").alias("alert_id"), F.col("event_id").alias("at"), kind.alias("kind")))
+    return s.select("alert_id", "state", *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("opened", "acknowledged")))
+
+
 @query(f"SELECT '# TYPE ' || n || ' gauge' || chr(10) || n || ' ' || v line FROM (SELECT regexp_replace(metric, '[^A-Za-z0-9_]', '_', 'g') n, CAST(arg_max(value, (ts, seq)) AS VARCHAR) v FROM ({POINTS}) GROUP BY metric)")
 def prometheus_export(spark, d):
     return M.prometheus(points(spark, d))

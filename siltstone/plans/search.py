@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..boolean import ast
+from ..boolean import execute as X
 from ..boolean import postings as P
 from ..boolean.parser import parse
 from ..functions import text as T
@@ -127,6 +128,14 @@ def index_upkeep(spark, d):
     return index.upsert(items).search(LITERALS, 20)
 
 
+@query(f"SELECT doc_id FROM (SELECT *, {TOKENS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} t FROM documents) WHERE (lang = 'en' OR lang = 'de') AND {HAS.format('with')} AND NOT {HAS.format('scum')}")
+def boolean_cached(spark, d):
+    """The saved result of an equivalent query, written another way."""
+    index = stored(_docs(spark, d))
+    X.cached_search(index, "(with AND (type:de OR type:en)) AND NOT scum", FIELDS)
+    return X.cached_search(index, "NOT scum AND (type:en OR type:de OR type:en) AND with AND (with OR from)", FIELDS)
+
+
 @query()
 def boolean_analysis(spark, d):
     """Text form, complexity, selectivity and usage of the boolean queries."""

@@ -170,3 +170,24 @@ def test_boolean_over_postings_equals_a_pass_over_the_texts(spark, tmp_path):
     for text in ("nofield:x", "cat )"):
         with pytest.raises(parser.QueryError):
             postings.indexed_search(index, text, FIELDS)
+
+
+def test_equivalent_queries_share_a_result(spark, tmp_path):
+    from siltstone.boolean import ast, execute
+
+    forms = {
+        "a AND b": ["b AND a", "b a", "a AND b AND a", "(a OR c) AND b AND a", "NOT NOT (b AND a)"], "a OR (b AND c)": ["(c AND b) OR a", "a OR (c AND b) OR (a AND d)", "(b AND c) OR (a OR a)"], "NOT a": ["NOT NOT NOT a"],
+        "x": ["x OR x", "x AND (x OR y)"], "(a OR b) AND (c OR d)": ["(d OR c) AND (b OR a)"], "a NOT b": ["(NOT b) AND a"],
+    }
+    keys = {form: {ast.show(ast.canonical(parser.parse(t))) for t in [form, *others]} for form, others in forms.items()}
+    assert all(len(k) == 1 for k in keys.values()) and len({min(k) for k in keys.values()}) == len(forms)
+    index = inverted.InvertedIndex.build(numbered(spark, enumerate(TEXTS)), f"file://{tmp_path}/index", fields=("lang", "n_chars"))
+    results = f"file://{tmp_path}/index/results"
+
+    def ask(i, text):
+        return sorted(r.doc_id for r in execute.cached_search(i, text, FIELDS).collect())
+
+    assert ask(index, "the AND cat") == ask(index, "cat AND (the OR dog) AND the") == [0, 7]
+    assert len(inverted.shared.listed(spark, results)) == 1
+    changed = index.delete(spark.createDataFrame([(7,)], "doc_id long"))
+    assert ask(changed, "the AND cat") == [0] and ask(index, "cat AND the") == [0, 7] and len(inverted.shared.listed(spark, results)) == 2

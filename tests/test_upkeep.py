@@ -172,3 +172,26 @@ def test_watch(spark, tmp_path: Path):
     assert seen() == want | {"b.txt": ("second text", False)}
     assert len(list(Path(target).glob("batch=*"))) == 2
     assert files.file_count(spark, str(root)) == 5 and files.file_count(spark, str(root), exclude=["scan"]) == 4
+
+
+def test_alert_states_in_any_order(spark):
+    from siltstone.operators import metrics
+
+    rng = random.Random(9)
+    log = [(rng.randint(1, 12), at, rng.choice(["create", "acknowledge", "resolve", "other"])) for at in range(150)] + [(20, 1, "acknowledge"), (21, 1, "create"), (22, 1, "create"), (22, 2, "resolve"), (22, 3, "acknowledge")]
+    want = {}
+    for i, at, kind in log:
+        state, opened, marked = want.get(i, ("none", None, None))
+        if kind == "create" and state in ("none", "resolved"):
+            state, opened = "open", at
+        elif kind == "acknowledge" and state == "open":
+            state, marked = "acknowledged", at
+        elif kind == "resolve":
+            state, opened, marked = "resolved", None, None
+        if kind != "other" or i in want:
+            want[i] = state, opened, marked
+    more = [*log, *rng.sample(log, 60), (None, 1, "create"), (30, None, "create"), (31, 1, None)]
+    rng.shuffle(more)
+    got = metrics.alert_states(spark.createDataFrame(more, "alert_id long, at long, kind string").repartition(3)).collect()
+    assert {r.alert_id: (r.state, r.opened, r.acknowledged) for r in got} == want
+    assert metrics.alert_states(spark.createDataFrame([], "alert_id long, at long, kind string")).isEmpty()
