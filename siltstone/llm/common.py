@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +13,16 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_threads = threading.local()
+_lists: list[list[tuple[SparkSession, str]]] = []
+
+
+def _made() -> list[tuple[SparkSession, str]]:
+    """The folders made in this thread; operators in other threads of the driver have lists of their own."""
+    if not hasattr(_threads, "made"):
+        _threads.made = []
+        _lists.append(_threads.made)
+    return _threads.made
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = f"file://{tempfile.gettempdir()}/siltstone-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(base)
     out = f"{qualified(spark, base).rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    _made.append((spark, out))
+    _made().append((spark, out))
     return out
 
 
@@ -47,7 +57,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path in [m for made in _lists for m in made]:
         try:
             _delete(spark, path)
         except Exception:  # noqa: BLE001  the session is already gone
@@ -64,19 +74,20 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def mark() -> int:
-    """What has been written up to here; for ``drop_since``."""
-    return len(_made)
+    """What has been written up to here in this thread; for ``drop_since``."""
+    return len(_made())
 
 
 def drop_since(at: int, *keep: DataFrame) -> None:
-    """Deletes the folders made since mark(), but for those of the tables ``keep``, which ``written`` returned.
+    """Deletes the folders made in this thread since mark(), but for those of the tables ``keep``, which ``written`` returned.
 
     Only for what no table still in use reads."""
     own = {df.folder_of_table for df in keep}
-    for spark, path in _made[at:]:
+    made = _made()
+    for spark, path in made[at:]:
         if path not in own:
             _delete(spark, path)
-    _made[at:] = [m for m in _made[at:] if m[1] in own]
+    made[at:] = [m for m in made[at:] if m[1] in own]
 
 
 def collected(manifest: DataFrame) -> DataFrame:
