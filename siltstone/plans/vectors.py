@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import metricjoin as J
 from ..operators import vectors as O
 from .catalog import query, table
 
@@ -51,10 +52,14 @@ def vector_centroids(spark, d):
     return O.centroids(_e(spark, d), "label")
 
 
-@query(f"SELECT a.vec_id, round({COS.format(a='a.embedding', b='b.embedding')}, 9) score, CASE WHEN {COS.format(a='a.embedding', b='b.embedding')} > 0.9 THEN 'Duplicate' WHEN {COS.format(a='a.embedding', b='b.embedding')} > 0.7 THEN 'VerySimilar' WHEN {COS.format(a='a.embedding', b='b.embedding')} > 0.5 THEN 'Similar' ELSE 'Related' END class FROM embeddings a, embeddings b WHERE b.vec_id = 5 AND a.vec_id <> 5")
+ALIKE = f"SELECT a.vec_id a, b.vec_id b, round({COS.format(a='a.embedding', b='b.embedding')}, 9) score FROM (SELECT min(vec_id) vec_id, embedding FROM embeddings GROUP BY embedding) a JOIN (SELECT min(vec_id) vec_id, embedding FROM embeddings GROUP BY embedding) b ON a.vec_id < b.vec_id"
+
+
+@query(f"SELECT a, b, score, CASE WHEN score > 0.9 THEN 'Duplicate' WHEN score > 0.7 THEN 'VerySimilar' ELSE 'Similar' END AS class FROM ({ALIKE}) WHERE score >= 0.5")
 def similarity_classes(spark, d):
-    s = O.knn(_e(spark, d), _one(spark, d, 5), 1 << 30, exclude_self=True)
-    return s.select("vec_id", F.round("score", 9).alias("score"), O.similarity_class(F.col("score")).alias("class"))
+    """Every vector against every other: pairs beyond 0.5 and their class."""
+    s = J.cosine_join(_e(spark, d), 0.5).withColumn("score", F.round("cosine", 9))
+    return s.select("a", "b", "score", O.similarity_class(F.col("score")).alias("class"))
 
 
 @query(f"SELECT a.doc_id, round({COS.format(a='e.embedding', b='f.embedding')}, 9) similarity FROM documents a JOIN embeddings e ON e.vec_id = a.doc_id JOIN embeddings f ON f.vec_id = a.doc_id + 1")
