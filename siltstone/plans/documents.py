@@ -175,12 +175,12 @@ def browse_by_type(spark, d):
     return table(spark, d, "documents").where(F.col("source").isin("src1", "src2")).select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(25)
 
 
-@query("SELECT 'documents' name, 1 AS versions UNION ALL SELECT 'missing', 0")
+@query("SELECT c_mktsegment || ':' || n_name AS name, coalesce(max(o_orderkey), 0) AS versions FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1")
 def schema_version(spark, d):
-    """Highest applied version with 0 where there is none."""
-    applied = spark.createDataFrame([("documents", 1)], "name string, version int")
-    names = spark.createDataFrame([("documents",), ("missing",)], "name string")
-    return names.join(applied, "name", "left").groupBy("name").agg(F.coalesce(F.max("version"), F.lit(0)).alias("versions"))
+    """Highest applied version of each component, 0 where there is none: segments of nations stand for components, open orders for what was applied."""
+    names = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.concat_ws(":", "c_mktsegment", "n_name").alias("name"))
+    applied = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("version"))
+    return names.join(applied, "c_custkey", "left").groupBy("name").agg(F.coalesce(F.max("version"), F.lit(0)).alias("versions"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars >= 50")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import hybrid as H
@@ -92,10 +93,15 @@ def query_routing(spark, d):
 
 @query()
 def prepared_queries(spark, d):
-    """What the index is asked, by both builders, for the stated queries."""
-    a = H.analysed(spark.createDataFrame([(i, t) for i, t in enumerate(QUERY_TEXTS)], "query_id long, text string"))
-    rows = [(r.query_id, H.prepared_fts(r.text), H.built_fts(r.keywords, r.phrases, r.factual, r.text), H.route(r.has_boolean or bool(r.phrases), r.conceptual, r.mode)) for r in a.collect()]  # the stated queries
-    return spark.createDataFrame(rows, "query_id long, prepared string, built string, route string")
+    """What the index is asked, by both builders, for the stated queries and the benchmark's items."""
+    a = H.analysed(asked_queries(spark, d)).select("query_id", "text", "keywords", "phrases", "factual", "has_boolean", "conceptual", "mode")
+
+    def run(frames):
+        for x in frames:
+            rows = [(r.query_id, H.prepared_fts(r.text), H.built_fts(list(r.keywords), list(r.phrases), r.factual, r.text), H.route(r.has_boolean or len(r.phrases) > 0, r.conceptual, r.mode)) for r in x.itertuples()]
+            yield pd.DataFrame(rows, columns=["query_id", "prepared", "built", "route"])
+
+    return a.mapInPandas(run, "query_id long, prepared string, built string, route string")
 
 
 @query(

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..boolean import ast
 from ..boolean import execute as X
 from ..boolean import postings as P
-from ..boolean.parser import parse
+from ..boolean.parser import QueryError, parse
 from ..functions import text as T
 from ..operators import lexical
 from ..operators.inverted import stored
@@ -136,15 +137,34 @@ def boolean_cached(spark, d):
     return X.cached_search(index, "NOT scum AND (type:en OR type:de OR type:en) AND with AND (with OR from)", FIELDS)
 
 
+def boolean_texts(spark, d):
+    """(name, text): the queries above, and the benchmark's items as users would type them."""
+    own = spark.createDataFrame([(name, text) for name, (text, _) in BOOLEAN.items()], "name string, text string")
+    return own.union(table(spark, d, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")), "text"))
+
+
+def tree_of(text):
+    """The tree of a text; of one that isn't a query, that of its words."""
+    try:
+        return parse(text)
+    except QueryError:
+        return parse(X.fallback(text))
+
+
 @query()
 def boolean_analysis(spark, d):
-    """Text form, complexity, selectivity and usage of the boolean queries."""
-    rows = []
-    for name, (text, _) in BOOLEAN.items():
-        tree = parse(text)
-        u = ast.usage(tree)
-        rows.append((name, str(ast.simplified(tree)), ast.complexity(tree), round(ast.selectivity(tree), 6), len(u.terms), u.operators.get("AND", 0), u.operators.get("OR", 0), u.operators.get("NOT", 0)))
-    return spark.createDataFrame(rows, "name string, canonical string, complexity double, selectivity double, terms int, ands int, ors int, nots int")
+    """Text form, canonical form, complexity, selectivity and usage of boolean queries."""
+
+    def run(frames):
+        for x in frames:
+            rows = []
+            for name, text in zip(x["name"], x["text"], strict=True):
+                tree = tree_of(text or "")
+                u = ast.usage(tree)
+                rows.append((name, str(ast.simplified(tree)), str(ast.canonical(tree)), ast.complexity(tree), round(ast.selectivity(tree), 6), len(u.terms), *(u.operators.get(k, 0) for k in ("AND", "OR", "NOT"))))
+            yield pd.DataFrame(rows, columns=["name", "simplified", "canonical", "complexity", "selectivity", "terms", "ands", "ors", "nots"])
+
+    return boolean_texts(spark, d).mapInPandas(run, "name string, simplified string, canonical string, complexity double, selectivity double, terms int, ands int, ors int, nots int")
 
 
 @query("SELECT 'creator' field, count(source) n, count(DISTINCT source) distinct_values, avg(length(source)) mean_length FROM documents UNION ALL SELECT 'file_type', count(lang), count(DISTINCT lang), avg(length(lang)) FROM documents")

@@ -90,10 +90,16 @@ def access_decisions(spark, d):
     return S.decisions(r, spark.createDataFrame(POLICIES, "priority int, effect string, role string, glob string, actions array<string>"))
 
 
-@query("WITH RECURSIVE p(role, parent) AS (VALUES ('owner', 'editor'), ('editor', 'viewer'), ('viewer', 'guest'), ('auditor', 'viewer'), ('guest', 'viewer')), r(role, inherits) AS (SELECT role, parent FROM p UNION SELECT r.role, p.parent FROM r JOIN p ON p.role = r.inherits) SELECT role, inherits FROM r")
+GRANTS = "SELECT 'supplier ' || s_suppkey AS role, n_name AS parent FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT r_name, 'everyone' FROM region"
+
+
+@query(f"WITH RECURSIVE p(role, parent) AS ({GRANTS}), r(role, inherits) AS (SELECT role, parent FROM p UNION SELECT r.role, p.parent FROM r JOIN p ON p.role = r.inherits) SELECT role, inherits FROM r")
 def role_inheritance(spark, d):
-    p = spark.createDataFrame([("owner", "editor"), ("editor", "viewer"), ("viewer", "guest"), ("auditor", "viewer"), ("guest", "viewer")], "role string, parent string")
-    return S.role_closure(spark, p)
+    """Suppliers have the rights of their nation, nations those of their region, regions those of everyone."""
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    of_suppliers = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("role"), F.col("n_name").alias("parent"))
+    of_nations = n.join(r, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_name").alias("role"), F.col("r_name").alias("parent"))
+    return S.role_closure(spark, of_suppliers.union(of_nations).union(r.select(F.col("r_name").alias("role"), F.lit("everyone").alias("parent"))))
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') violations, CASE WHEN count(*) FILTER (WHERE event_type = 'error') <= 2 THEN 'low' WHEN count(*) FILTER (WHERE event_type = 'error') <= 5 THEN 'medium' WHEN count(*) FILTER (WHERE event_type = 'error') <= 10 THEN 'high' ELSE 'critical' END severity FROM events GROUP BY 1")

@@ -52,11 +52,13 @@ ASKED = ["search file", "find image", "machine learning file", "image search"]
 
 
 @query(
-    """SELECT query, replace(query, w, s) suggestion, 0.8 score FROM (SELECT q AS query, unnest(list_distinct(string_split(q, ' '))) w FROM (SELECT unnest(['search file', 'find image', 'machine learning file', 'image search']) q)) a
+    """SELECT q AS query, replace(lower(q), w, s) suggestion, 0.8 score FROM (SELECT q, unnest(list_distinct(regexp_split_to_array(lower(q), '[ \\t\\n\\x0B\\f\\r]+'))) w FROM (SELECT unnest(['search file', 'find image', 'machine learning file', 'image search']) q UNION ALL SELECT text FROM conversations UNION ALL SELECT text FROM benchmark)) a
     JOIN (VALUES ('search', 'find'), ('search', 'lookup'), ('search', 'query'), ('file', 'document'), ('file', 'doc'), ('image', 'picture'), ('image', 'photo')) v(k, s) ON k = w"""
 )
 def synonym_suggestions(spark, d):
-    return S.expanded(spark.createDataFrame([(x,) for x in ASKED], "query string"))
+    """Stated queries, turns of conversations and items of the benchmark with each known word replaced."""
+    stated = spark.createDataFrame([(x,) for x in ASKED], "query string")
+    return S.expanded(stated.union(table(spark, d, "conversations").select("text")).union(table(spark, d, "benchmark").select("text")))
 
 
 @query(f"SELECT gram, list_sort(list(DISTINCT query)) queries FROM (SELECT query, unnest(list_transform(range(1, length(query) - 1), lambda i: substr(query, i, 3))) gram FROM ({LOG})) GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import understand as U
-from .catalog import query
+from .catalog import query, table
 from .fusion import ASKED_SQL, asked_queries
 
 WS = "[ \\t\\n\\x0B\\f\\r]"
@@ -64,13 +64,17 @@ def query_time_spans(spark, d):
     return U.time_spans(asked_queries(spark, d), "2024-01-31")
 
 
+SLIPS = [("find teh file",), ("I recieve seperate docs",), ("definately occured, teh end",)]
+
+
 @query(
-    """SELECT q, list_aggregate(list_transform(string_split(q, ' '), lambda w: coalesce(map_extract(MAP {'teh': 'the', 'recieve': 'receive', 'seperate': 'separate', 'definately': 'definitely', 'occured': 'occurred'}, regexp_replace(lower(w), '[^a-z]', '', 'g'))[1], w)), 'string_agg', ' ') corrected
-    FROM (VALUES ('find teh file'), ('I recieve seperate docs'), ('definately occured, teh end')) v(q)"""
+    """SELECT q, array_to_string(list_transform(regexp_split_to_array(q, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: coalesce(map_extract(MAP {'teh': 'the', 'recieve': 'receive', 'seperate': 'separate', 'definately': 'definitely', 'occured': 'occurred'}, regexp_replace(lower(w), '[^a-z]', '', 'g'))[1], w)), ' ') corrected
+    FROM (SELECT text q FROM conversations UNION ALL SELECT text FROM benchmark UNION ALL VALUES ('find teh file'), ('I recieve seperate docs'), ('definately occured, teh end')) WHERE q IS NOT NULL"""
 )
 def query_corrections(spark, d):
-    q = spark.createDataFrame([("find teh file",), ("I recieve seperate docs",), ("definately occured, teh end",)], "q string")
-    return q.select("q", U.corrected(F.col("q")).alias("corrected"))
+    """Usual slips mended in turns of conversations, items of the benchmark and stated texts."""
+    q = table(spark, d, "conversations").select("text").union(table(spark, d, "benchmark").select("text")).toDF("q").union(spark.createDataFrame(SLIPS, "q string"))
+    return q.where("q IS NOT NULL").select("q", U.corrected(F.col("q")).alias("corrected"))
 
 
 @query(f"SELECT query_id, flatten(list_transform(list_filter(regexp_split_to_array(lower(text), '{WS}+'), lambda w: w IN ('doc', 'pic', 'vid', 'find', 'show')), lambda w: CASE w WHEN 'doc' THEN ['document', 'docx'] WHEN 'pic' THEN ['picture', 'image'] WHEN 'vid' THEN ['video', 'movie'] WHEN 'find' THEN ['search', 'locate'] ELSE ['display', 'list'] END))[1:3] expansions FROM ({ASKED_SQL})")
