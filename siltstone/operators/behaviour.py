@@ -94,14 +94,34 @@ def moving(values: Column, rate: float = 0.1, start: float = 0.5) -> Column:
     return F.aggregate(values, F.lit(start), lambda a, v: a * (1 - rate) + v * rate)
 
 
+NEAR = 0.2  # values nearer than that agree
+
+
 def similar_users(features: DataFrame, k: int = 5) -> DataFrame:
     """features(user_id, feature, value) -> (user_id, other, similarity, rank): mean nearness over shared features, if
-    over half of them are within 0.2. Users meet on features; sums are added before the shuffle."""
-    a = features.select(F.col("user_id").alias("a"), "feature", F.col("value").alias("x"))
-    b = features.select(F.col("user_id").alias("b"), "feature", F.col("value").alias("y"))
-    near = a.join(b, "feature").where("a <> b").groupBy("a", "b").agg(F.avg(1 - F.abs(F.col("x") - F.col("y"))).alias("s"), F.avg((F.abs(F.col("x") - F.col("y")) < 0.2).cast("double")).alias("common"))
+    over half of them are within NEAR.
+
+    Users meet in cells of NEAR of a feature and the ones beside them, so only pairs that agree somewhere are written, each once.
+    A pair that agrees on as many features as one of the two has shares no others; of the rest, those that agree on more than half of
+    the least that they must share are looked up on all they share. Rows are one a user and feature."""
+    f = features.where("user_id is not null and feature is not null and value is not null").select("user_id", "feature", F.col("value").cast("double").alias("value"))
+    size = f.groupBy("user_id").agg(F.count("*").alias("n"))
+    f = f.join(size, "user_id")
+    every = f.select("feature").distinct().agg(F.count("*").alias("every"))
+    cell = F.floor(F.col("value") / NEAR)
+    x = f.select(F.col("user_id").alias("a"), F.col("n").alias("na"), "feature", F.col("value").alias("x"), cell.alias("cell"))
+    y = f.select(F.col("user_id").alias("b"), F.col("n").alias("nb"), "feature", F.col("value").alias("y"), F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
+    d = F.abs(F.col("x") - F.col("y"))
+    agree = x.join(y, ["feature", "cell"]).where((F.col("a") < F.col("b")) & (d < NEAR)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("near"), F.sum(1 - d).alias("sum"))
+    agree = agree.crossJoin(F.broadcast(every)).where(F.col("near") * 2 > F.col("na") + F.col("nb") - F.col("every"))  # one row
+    whole = F.col("near") == F.least("na", "nb")
+    done = agree.where(whole).select("a", "b", (F.col("sum") / F.col("near")).alias("s"))
+    xs, ys = (f.select(F.col("user_id").alias(u), "feature", F.col("value").alias(v)) for u, v in (("a", "x"), ("b", "y")))
+    looked = agree.where(~whole).select("a", "b", "near").join(xs, "a").join(ys, ["b", "feature"]).groupBy("a", "b", "near").agg(F.avg(1 - d).alias("s"), F.count("*").alias("shared"))
+    pairs = done.unionByName(looked.where("near * 2 > shared").select("a", "b", "s"))
+    both = pairs.select(F.explode(F.array(F.struct("a", "b", "s"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "s"))).alias("p")).select("p.*")
     w = Window.partitionBy("a").orderBy(F.desc(F.round("s", 9)), "b")
-    out = near.where("common > 0.5").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return out.select(F.col("a").alias("user_id"), F.col("b").alias("other"), F.round("s", 9).alias("similarity"), "rank")
 
 

@@ -14,6 +14,7 @@ from ..storage import Tables
 #: Signs of unsafe queries.
 UNSAFE = [r"(?i)\b(drop|delete|truncate|alter)\s+(table|from|database)\b", r"(?i)<script\b", r"(?i)javascript:", r"\.\./", r"(?i)\bunion\s+select\b", r"[;|`]\s*(rm|cat|curl|wget)\b"]
 BLOCKED = "[BLOCKED]"
+MANY_POLICIES = 10_000
 
 
 def html_escaped(c: Column) -> Column:
@@ -95,11 +96,11 @@ def decisions(requests: DataFrame, policies: DataFrame) -> DataFrame:
     """requests(request_id, role, resource, action) under policies(priority, effect, role, glob, actions).
 
     The most urgent rule that applies decides (a deny beats an allow of equal urgency); none: not_applicable.
-    Policies are a small stated table."""
+    Policies are few, but a caller's: without a look at their size they are broadcast up to MANY_POLICIES only."""
     glob = F.concat(F.lit("^"), F.replace(F.replace(F.col("glob"), F.lit("."), F.lit("\\.")), F.lit("*"), F.lit(".*")), F.lit("$"))
     p = policies.withColumn("pattern", glob).withColumnRenamed("role", "policy_role")
     fits = (F.col("policy_role").isin("*") | (F.col("policy_role") == F.col("role"))) & F.expr("resource RLIKE pattern") & F.array_contains("actions", F.col("action"))
-    hit = requests.join(F.broadcast(p), fits, "left")
+    hit = requests.join(F.broadcast(p) if p.limit(MANY_POLICIES + 1).count() <= MANY_POLICIES else p, fits, "left")
     best = hit.groupBy("request_id").agg(F.min_by("effect", F.struct("priority", F.when(F.col("effect") == "deny", 0).otherwise(1))).alias("effect"))
     return best.select("request_id", F.coalesce("effect", F.lit("not_applicable")).alias("decision"))
 

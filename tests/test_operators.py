@@ -232,3 +232,23 @@ def test_empty_tables(spark):
     assert lexical.bm25(docs, q).collect() == []
     assert results.summaries(docs).collect() == []
     assert chunk.sentence_chunks(docs).collect() == []
+
+
+def test_similar_users(spark):
+    import random
+
+    from siltstone.operators import behaviour
+
+    rng = random.Random(3)
+    users = {u: {f: round(rng.random() * 2 - 0.5, 3) for f in rng.sample("abcdefg", rng.randint(1, 7))} for u in range(60)}
+    want = set()
+    for u, p in users.items():
+        near = []
+        for v, q in users.items():
+            both = p.keys() & q.keys()
+            if u != v and both and sum(abs(p[f] - q[f]) < 0.2 for f in both) * 2 > len(both):
+                near.append((-round(sum(1 - abs(p[f] - q[f]) for f in both) / len(both), 9), v))
+        want |= {(u, v, -s, i + 1) for i, (s, v) in enumerate(sorted(near)[:4])}
+    df = spark.createDataFrame([(u, f, x) for u, p in users.items() for f, x in p.items()] + [(None, "a", 0.1), (99, None, 0.1), (98, "a", None)], "user_id long, feature string, value double")
+    got = {(r.user_id, r.other, r.similarity, r["rank"]) for r in behaviour.similar_users(df, 4).collect()}
+    assert {(u, v, round(s, 8), k) for u, v, s, k in got} == {(u, v, round(s, 8), k) for u, v, s, k in want}
