@@ -37,6 +37,33 @@ def sql_escaped(c: Column) -> Column:
     return F.replace(c, F.lit("'"), F.lit("''"))
 
 
+CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{7f}-\x{9f}]"
+#: Declarations that bring in what lies outside a document.
+XML_OUTSIDE = r"(?i)<!(?:entity|doctype)\b[^>\[]*[>\[]?|\b(?:system|public)\s+(?:\"[^\"]*\"|'[^']*')"
+#: Commands that must not follow another.
+HARMFUL_COMMANDS = ("rm", "del", "format", "shutdown", "reboot")
+COMMAND_CHAINS = rf"(?i)(?:[|;]|&&)\s*(?:{'|'.join(HARMFUL_COMMANDS)})\b|`[^`]*`|\$\([^)]*\)"
+#: Signs of expressions that can take very long: groups that look around, doubled quantifiers, a repeated group that repeats within.
+SLOW_REGEX = r"\(\?[=!<]|[+*][+*]|\([^()]*[+*}][^()]*\)[+*{]"
+REGEX_LENGTH = 1000
+
+
+def xml_sanitised(c: Column) -> Column:
+    """Without control characters but tabs and line ends, and with declarations of outside entities blocked."""
+    return F.regexp_replace(F.regexp_replace(c, CONTROLS, ""), XML_OUTSIDE, BLOCKED)
+
+
+def command_sanitised(c: Column) -> Column:
+    """Without control characters; chained harmful commands and substitutions are blocked."""
+    return F.regexp_replace(F.regexp_replace(c, r"[\x00-\x1f\x{7f}-\x{9f}]", ""), COMMAND_CHAINS, BLOCKED)
+
+
+def regex_sanitised(c: Column) -> Column:
+    """Blocked as a whole if it can take very long, else without control characters and at most REGEX_LENGTH long."""
+    c = F.regexp_replace(c, r"[\x00-\x1f\x{7f}-\x{9f}]", "")
+    return F.when(c.rlike(SLOW_REGEX), BLOCKED).otherwise(F.left(c, F.lit(REGEX_LENGTH)))
+
+
 def unsafe(c: Column) -> Column:
     hit = F.lit(False)
     for p in UNSAFE:

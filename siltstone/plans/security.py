@@ -22,6 +22,24 @@ def csv_escape(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(S.csv_escaped(F.col("text")), 256).alias("escaped"))
 
 
+def _without(c, pattern, mark=""):
+    return "regexp_replace({}, '{}', '{}', 'g')".format(c, pattern.replace("'", "''"), mark)
+
+
+CONTROL = r"[\x00-\x1f\x{7f}-\x{9f}]"
+
+
+@query(f"SELECT page_id, sha256({_without(_without('html', S.CONTROLS), S.XML_OUTSIDE, S.BLOCKED)}) clean FROM pages")
+def xml_sanitised(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2(S.xml_sanitised(F.col("html")), 256).alias("clean"))
+
+
+@query(f"SELECT doc_id, sha256({_without(_without('text', CONTROL), S.COMMAND_CHAINS, S.BLOCKED)}) command, CASE WHEN regexp_matches({_without('text', CONTROL)}, '{S.SLOW_REGEX}') THEN '{S.BLOCKED}' ELSE substr({_without('text', CONTROL)}, 1, {S.REGEX_LENGTH}) END AS expression FROM documents")
+def command_and_regex_sanitised(spark, d):
+    t = F.col("text")
+    return _docs(spark, d).select("doc_id", F.sha2(S.command_sanitised(t), 256).alias("command"), S.regex_sanitised(t).alias("expression"))
+
+
 def _any(c):
     return "(" + " OR ".join("regexp_matches({}, '{}')".format(c, p.replace("'", "''")) for p in S.UNSAFE) + ")"
 

@@ -57,11 +57,25 @@ def query_file_types(spark, d):
     return asked_queries(spark, d).select("query_id", U.file_types(F.col("text")).alias("types"))
 
 
+TIME_TEXTS = ["files from today", "Mails of YESTERDAY, please", "due tomorrow?", "recently changed", "the last day", "past week", "previous month and this month", "last   year", "current week or this year", "3 days ago", "notes of 2 weeks ago and 10 months ago", "1 year ago", "no time, lastly weekly"]
+DAY = "DATE '2024-01-31'"
+
+
 @query(
-    f"""SELECT query_id, '2024-01-31'::DATE - a since, '2024-01-31'::DATE + b AS until, e AS expression FROM ({ASKED_SQL}), (VALUES ('today', '\\btoday\\b', 0, 1), ('yesterday', '\\byesterday\\b', 1, 0), ('week', '\\b(last|past|previous)\\s+week\\b', 7, 1), ('month', '\\b(last|past|previous)\\s+month\\b', 30, 1), ('recent', '\\brecent(ly)?\\b', 7, 1)) r(e, p, a, b) WHERE regexp_matches(lower(text), p)"""
+    f"""WITH t AS (SELECT query_id, ' ' || coalesce(array_to_string({WORD_LIST}, ' '), '') || ' ' line FROM ({ASKED_SQL} UNION ALL SELECT 1000000 + conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT -100 - (row_number() OVER ()), x FROM (SELECT unnest({TIME_TEXTS!r}) x))),
+    u(unit, days) AS (VALUES ('day', 1), ('week', 7), ('month', 30), ('year', 365)),
+    r(e, p, a, b) AS (SELECT 'today', ' today ', {DAY}, {DAY} + 1 UNION ALL SELECT 'yesterday', ' yesterday ', {DAY} - 1, {DAY} UNION ALL SELECT 'tomorrow', ' tomorrow ', {DAY} + 1, {DAY} + 2 UNION ALL SELECT 'recent', ' recent(ly)? ', {DAY} - 7, {DAY} + 1
+      UNION ALL SELECT unit, ' (last|past|previous) ' || unit || ' ', {DAY} - CAST(days AS INTEGER), {DAY} + 1 FROM u
+      UNION ALL SELECT 'this ' || unit, ' (this|current) ' || unit || ' ', CAST(date_trunc(unit, {DAY}) AS DATE), CAST(date_trunc(unit, {DAY}) + CASE unit WHEN 'day' THEN INTERVAL 1 DAY WHEN 'week' THEN INTERVAL 7 DAY WHEN 'month' THEN INTERVAL 1 MONTH ELSE INTERVAL 1 YEAR END AS DATE) FROM u),
+    g AS (SELECT query_id, unnest(regexp_extract_all(line, ' [0-9]{{1,4}} (?:day|week|month|year)s? ago')) m FROM t)
+    SELECT query_id, e AS expression, a AS since, b AS until FROM t, r WHERE regexp_matches(line, p)
+    UNION ALL SELECT query_id, 'ago', d, d + 1 FROM (SELECT DISTINCT query_id, {DAY} - CAST(regexp_extract(m, '[0-9]+') AS INTEGER) * CAST(days AS INTEGER) d FROM g JOIN u ON contains(m, unit))"""
 )
 def query_time_spans(spark, d):
-    return U.time_spans(asked_queries(spark, d), "2024-01-31")
+    """Times named in the stated queries, the benchmark's items, turns of conversations and stated texts."""
+    turns = table(spark, d, "conversations").select((1000000 + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    own = spark.createDataFrame([(-101 - i, t) for i, t in enumerate(TIME_TEXTS)], "query_id long, text string")
+    return U.time_spans(asked_queries(spark, d).select("query_id", "text").union(turns).union(own), "2024-01-31")
 
 
 SLIPS = [("find teh file",), ("I recieve seperate docs",), ("definately occured, teh end",)]

@@ -252,3 +252,30 @@ def test_similar_users(spark):
     df = spark.createDataFrame([(u, f, x) for u, p in users.items() for f, x in p.items()] + [(None, "a", 0.1), (99, None, 0.1), (98, "a", None)], "user_id long, feature string, value double")
     got = {(r.user_id, r.other, r.similarity, r["rank"]) for r in behaviour.similar_users(df, 4).collect()}
     assert {(u, v, round(s, 8), k) for u, v, s, k in got} == {(u, v, round(s, 8), k) for u, v, s, k in want}
+
+
+def test_sanitisers(spark):
+    from siltstone.operators import security
+
+    xml = ["<a>\x00ok\x85\n</a>", '<!DOCTYPE a [<!ENTITY x SYSTEM "file:///etc/passwd">]><a>&x;</a>', "the system 'works'", "public good"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xml], "x string").select(security.xml_sanitised(F.col("x"))).collect()]
+    assert got == ["<a>ok\n</a>", "[BLOCKED][BLOCKED]]><a>&x;</a>", "the [BLOCKED]", "public good"]
+    commands = ["ls -l; rm -rf /", "a | formatter", "x && DEL y", "echo `id` $(whoami)", "firm; warm", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in commands], "x string").select(security.command_sanitised(F.col("x"))).collect()]
+    assert got == ["ls -l[BLOCKED] -rf /", "a | formatter", "x [BLOCKED] y", "echo [BLOCKED] [BLOCKED]", "firm; warm", None]
+    expressions = ["a+b*", "(a+)+", "x(?=y)", "a**", "(?:ab)+c", "(ab){2,}", "z" * 1500]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in expressions], "x string").select(security.regex_sanitised(F.col("x"))).collect()]
+    assert got == ["a+b*", "[BLOCKED]", "[BLOCKED]", "[BLOCKED]", "(?:ab)+c", "(ab){2,}", "z" * 1000]
+
+
+def test_time_spans(spark):
+    from datetime import date
+
+    from siltstone.operators import understand
+
+    df = spark.createDataFrame([(1, "this week, 2 months ago; tomorrow"), (2, "Last\tyear 3 days ago 3 days ago"), (3, None), (4, "today's weekly")], "query_id long, text string")
+    got = {(r.query_id, r.expression, r.since, r.until) for r in understand.time_spans(df, "2024-01-31").collect()}
+    assert got == {
+        (1, "this week", date(2024, 1, 29), date(2024, 2, 5)), (1, "ago", date(2023, 12, 2), date(2023, 12, 3)), (1, "tomorrow", date(2024, 2, 1), date(2024, 2, 2)),
+        (2, "year", date(2023, 1, 31), date(2024, 2, 1)), (2, "ago", date(2024, 1, 28), date(2024, 1, 29)), (4, "today", date(2024, 1, 31), date(2024, 2, 1)),
+    }
