@@ -36,7 +36,7 @@ from .common import chunked, rows, written
 from .tokens import PieceEncoder, vocabulary_path
 
 BATCH = 4 << 20
-PIECES = 200_000  # that a worker remembers; beyond, it begins anew before the next batch
+PIECES = 300_000  # that a worker remembers; beyond, it begins anew before the next batch
 BLOCK = 4096  # larger groups are paired by their different ids
 _READY: dict[tuple[str, str], Aligner] = {}
 
@@ -44,7 +44,7 @@ _READY: dict[tuple[str, str], Aligner] = {}
 class PlainEncoder(PieceEncoder):
     """Byte-level pieces in which special tokens are ordinary text."""
 
-    CACHE = 100_000  # the aligner remembers pieces too
+    CACHE = 200_000  # the aligner remembers pieces too
 
     def __init__(self, path: str):
         super().__init__(path, True)
