@@ -39,10 +39,10 @@ def sql_escaped(c: Column) -> Column:
 
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{7f}-\x{9f}]"
 #: Declarations that bring in what lies outside a document.
-XML_OUTSIDE = r"(?i)<!(?:entity|doctype)\b[^>\[]*[>\[]?|\b(?:system|public)\s+(?:\"[^\"]*\"|'[^']*')"
+XML_OUTSIDE = r"(?i)<!(?:entity|doctype)[^>\[]*[>\[]?|(?:system|public)\s+(?:\"[^\"]*\"|'[^']*')"
 #: Commands that must not follow another.
 HARMFUL_COMMANDS = ("rm", "del", "format", "shutdown", "reboot")
-COMMAND_CHAINS = rf"(?i)(?:[|;]|&&)\s*(?:{'|'.join(HARMFUL_COMMANDS)})\b|`[^`]*`|\$\([^)]*\)"
+COMMAND_CHAINS = rf"(?i)(?:[|;]|&&)\s*(?:{'|'.join(HARMFUL_COMMANDS)})(?:\s|$)|`[^`]*`|\$\([^)]*\)"
 #: Signs of expressions that can take very long: groups that look around, doubled quantifiers, a repeated group that repeats within.
 SLOW_REGEX = r"\(\?[=!<]|[+*][+*]|\([^()]*[+*}][^()]*\)[+*{]"
 REGEX_LENGTH = 1000
