@@ -457,5 +457,15 @@ def stored(docs: DataFrame) -> InvertedIndex:
         else:
             folder, index = shared.scratch(spark, "index"), None
             shared.delete_at_exit(spark, folder)
-        _KEPT[key] = index or InvertedIndex.build(docs, folder, fields=fields)
+        _KEPT[key] = index or _built(docs, folder, fields)
     return _KEPT[key]
+
+
+def _built(docs: DataFrame, folder: str, fields: list[str]) -> InvertedIndex:
+    try:
+        return InvertedIndex.build(docs, folder, fields=fields)
+    except Exception:
+        # another session may have published the same index meanwhile
+        if (index := InvertedIndex.open(docs.sparkSession, folder)) is None:
+            raise
+        return index

@@ -191,3 +191,9 @@ def test_equivalent_queries_share_a_result(spark, tmp_path):
     assert len(inverted.shared.listed(spark, results)) == 1
     changed = index.delete(spark.createDataFrame([(7,)], "doc_id long"))
     assert ask(changed, "the AND cat") == [0] and ask(index, "cat AND the") == [0, 7] and len(inverted.shared.listed(spark, results)) == 2
+
+
+def test_two_sessions_build_one_index(spark, tmp_path):
+    docs = numbered(spark, enumerate(TEXTS))
+    first = inverted._built(docs, f"file://{tmp_path}/index", ["lang"])
+    assert inverted._built(docs, f"file://{tmp_path}/index", ["lang"]).manifest == first.manifest
