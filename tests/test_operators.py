@@ -279,3 +279,10 @@ def test_time_spans(spark):
         (1, "this week", date(2024, 1, 29), date(2024, 2, 5)), (1, "ago", date(2023, 12, 2), date(2023, 12, 3)), (1, "tomorrow", date(2024, 2, 1), date(2024, 2, 2)),
         (2, "year", date(2023, 1, 31), date(2024, 2, 1)), (2, "ago", date(2024, 1, 28), date(2024, 1, 29)), (4, "today", date(2024, 1, 31), date(2024, 2, 1)),
     }
+
+
+def test_sentences_keep_digits_at_their_edges(spark):
+    """A sentence that begins or ends in the digit of its place in the text stays whole; spaces at its ends go."""
+    got = spark.createDataFrame([("0a 0. 1b 1. 2c ccccccccc2. c3 3!  4",)], "t string").select(T.sentences(F.col("t")), T.summary_sentences(F.lit(" 0 aaaaaaaaaa0. 1 bbbbbbbbbb1 "))).first()
+    assert got[0] == ["0a 0.", "1b 1.", "2c ccccccccc2.", "c3 3!", "4"]
+    assert got[1] == ["0 aaaaaaaaaa0", "1 bbbbbbbbbb1"]
