@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import Tables
+
 #: What an interaction teaches.
 SIGNAL = {"click": 0.3, "dwell": 0.6, "open": 0.7, "share": 0.9, "bookmark": 1.0}
 DEFAULT_WEIGHTS = {"relevance": 0.5, "recency": 0.2, "frequency": 0.3}
@@ -97,32 +102,83 @@ def moving(values: Column, rate: float = 0.1, start: float = 0.5) -> Column:
 NEAR = 0.2  # values nearer than that agree
 
 
+SIDE = 4096  # users of a block
+
+
+def _nearest(k: int):
+    """Rows (i, j, asks, id, names, values) of two blocks -> (rep, other, s, place): of each that asks the k + 1 nearest others of the block, itself included.
+
+    Memory is bounded by a strip of about a million pairs; a pair costs its shared features."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        a, b = t.filter(t["asks"]), t.filter(pc.invert(t["asks"])).sort_by("id")
+        every = pa.chunked_array([*pc.list_flatten(a["names"]).chunks, *pc.list_flatten(b["names"]).chunks], pa.string()).unique()
+        parts = []
+        for side in (a, b):
+            rows, code = pc.list_parent_indices(side["names"]).to_numpy(), pc.index_in(pc.list_flatten(side["names"]), every).to_numpy()
+            value = pc.list_flatten(side["values"]).to_numpy()
+            parts.append([(rows[at], value[at]) for at in (np.flatnonzero(code == c) for c in range(len(every)))])
+        out = [], [], [], []
+        step = max(1, (1 << 20) // max(1, len(b)))
+        for low in range(0, len(a) if len(b) else 0, step):
+            size = (min(step, len(a) - low), len(b))
+            total, near, shared = np.zeros(size), np.zeros(size, np.int32), np.zeros(size, np.int32)
+            for (ra, va), (rb, vb) in zip(*parts, strict=True):
+                first, last = np.searchsorted(ra, (low, low + size[0]))
+                at = np.ix_(ra[first:last] - low, rb)
+                if (last - first, len(rb)) == size:
+                    at = slice(None)  # all hold it: no copies
+                d = np.abs(va[first:last, None] - vb[None])
+                total[at] += 1 - d
+                near[at] += d < NEAR
+                shared[at] += 1
+            ok = 2 * near > shared
+            total /= np.maximum(shared, 1)
+            place = np.where(ok, np.floor(total * 1e9 + 0.5), -np.inf)  # as the score is rounded
+            if size[1] > k + 1:  # all that can be among the first, those of the last score too
+                least = np.partition(place, size[1] - k - 1, axis=1)[:, size[1] - k - 1]
+                ok &= place >= least[:, None]
+            for r in np.flatnonzero(ok.any(1)):
+                c = np.flatnonzero(ok[r])
+                c = c[np.argsort(-place[r, c], kind="stable")[: k + 1]]  # b is in order of its ids
+                out[0].append(np.full(len(c), low + r))
+                out[1].append(c)
+                out[2].append(total[r, c])
+                out[3].append(place[r, c])
+        rep, other, s, place = (np.concatenate(x) if x else np.zeros(0, int) for x in out)
+        return pa.table({"rep": a["id"].take(pa.array(rep, pa.int64())), "other": b["id"].take(pa.array(other, pa.int64())), "s": s.astype(float), "place": place.astype(float)})
+
+    return run
+
+
 def similar_users(features: DataFrame, k: int = 5) -> DataFrame:
     """features(user_id, feature, value) -> (user_id, other, similarity, rank): mean nearness over shared features, if
     over half of them are within NEAR.
 
-    Users meet in cells of NEAR of a feature and the ones beside them, so only pairs that agree somewhere are written, each once.
-    A pair that agrees on as many features as one of the two has shares no others; of the rest, those that agree on more than half of
-    the least that they must share are looked up on all they share. Rows are one a user and feature."""
+    Users of equal features are one class. Of a class the k + 1 least users can be near others only, since they go before the rest of
+    it; each class asks those of all classes, by blocks of SIDE rows, and its users share what it found. Every pair of a class and such a
+    user is looked at, in tasks of two blocks; only the nearest are written. Rows are one a user and feature."""
     f = features.where("user_id is not null and feature is not null and value is not null").select("user_id", "feature", F.col("value").cast("double").alias("value"))
-    size = f.groupBy("user_id").agg(F.count("*").alias("n"))
-    f = f.join(size, "user_id")
-    every = f.select("feature").distinct().agg(F.count("*").alias("every"))
-    cell = F.floor(F.col("value") / NEAR)
-    x = f.select(F.col("user_id").alias("a"), F.col("n").alias("na"), "feature", F.col("value").alias("x"), cell.alias("cell"))
-    y = f.select(F.col("user_id").alias("b"), F.col("n").alias("nb"), "feature", F.col("value").alias("y"), F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
-    d = F.abs(F.col("x") - F.col("y"))
-    agree = x.join(y, ["feature", "cell"]).where((F.col("a") < F.col("b")) & (d < NEAR)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("near"), F.sum(1 - d).alias("sum"))
-    agree = agree.crossJoin(F.broadcast(every)).where(F.col("near") * 2 > F.col("na") + F.col("nb") - F.col("every"))  # one row
-    whole = F.col("near") == F.least("na", "nb")
-    done = agree.where(whole).select("a", "b", (F.col("sum") / F.col("near")).alias("s"))
-    xs, ys = (f.select(F.col("user_id").alias(u), "feature", F.col("value").alias(v)) for u, v in (("a", "x"), ("b", "y")))
-    looked = agree.where(~whole).select("a", "b", "near").join(xs, "a").join(ys, ["b", "feature"]).groupBy("a", "b", "near").agg(F.avg(1 - d).alias("s"), F.count("*").alias("shared"))
-    pairs = done.unionByName(looked.where("near * 2 > shared").select("a", "b", "s"))
-    both = pairs.select(F.explode(F.array(F.struct("a", "b", "s"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "s"))).alias("p")).select("p.*")
-    w = Window.partitionBy("a").orderBy(F.desc(F.round("s", 9)), "b")
-    out = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select(F.col("a").alias("user_id"), F.col("b").alias("other"), F.round("s", 9).alias("similarity"), "rank")
+    kind = f.schema["user_id"].dataType.simpleString()
+    with Tables(f.sparkSession, "similarusers") as tables:
+        users = tables.write(f.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("feature").cast("string").alias("feature"), "value"))).alias("own")))
+        classes = tables.write(users.groupBy("own").agg(F.min("user_id").alias("id")))
+        member = tables.write(users.join(classes.withColumnRenamed("id", "rep"), "own").select("user_id", "rep"))
+        order = Window.partitionBy("rep").orderBy("user_id")
+        first = member.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select(F.col("rep"), F.col("user_id").alias("id"))
+        others = first.join(classes.withColumnRenamed("id", "rep"), "rep").select("id", "own")
+        blocks = max(1, -(-classes.count() // SIDE))
+        block, every = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        told = [F.col("id"), F.col("own.feature").alias("names"), F.col("own.value").alias("values")]
+        cells = classes.select(block.alias("i"), every.alias("j"), F.lit(True).alias("asks"), *told).union(others.select(every.alias("i"), block.alias("j"), F.lit(False).alias("asks"), *told))
+        near = cells.repartition(min(blocks * blocks, 2000), "i", "j").groupBy("i", "j").applyInArrow(_nearest(k), f"rep {kind}, other {kind}, s double, place double")
+        best = near.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("place"), "other"))).where(F.col("n") <= k + 1)
+        best = tables.write(best)
+        own = member.join(best, "rep").where("other <> user_id")
+        w = Window.partitionBy("user_id").orderBy("n")
+        out = own.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return tables.release(tables.write(out.select("user_id", "other", F.round("s", 9).alias("similarity"), "rank")))
 
 
 def drift(values: DataFrame, key: str, order: str, value: str, n: int = 20, least: int = 10) -> DataFrame:

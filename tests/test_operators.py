@@ -286,3 +286,22 @@ def test_sentences_keep_digits_at_their_edges(spark):
     got = spark.createDataFrame([("0a 0. 1b 1. 2c ccccccccc2. c3 3!  4",)], "t string").select(T.sentences(F.col("t")), T.summary_sentences(F.lit(" 0 aaaaaaaaaa0. 1 bbbbbbbbbb1 "))).first()
     assert got[0] == ["0a 0.", "1b 1.", "2c ccccccccc2.", "c3 3!", "4"]
     assert got[1] == ["0 aaaaaaaaaa0", "1 bbbbbbbbbb1"]
+
+
+def test_similar_users_in_blocks_and_classes(spark, monkeypatch):
+    """Several blocks, and classes of more users than are asked for, give what a plain loop gives."""
+    monkeypatch.setattr(behaviour, "SIDE", 7)
+    rng = random.Random(4)
+    shapes = [{f: rng.choice((0.0, 0.1, 0.3, 0.35)) for f in rng.sample("abcd", rng.randint(1, 4))} for _ in range(30)]
+    users = {u: rng.choice(shapes[: 3 if u % 2 else 30]) for u in range(90)}
+    want = set()
+    for u, p in users.items():
+        near = []
+        for v, q in users.items():
+            both = p.keys() & q.keys()
+            if u != v and both and sum(abs(p[f] - q[f]) < 0.2 for f in both) * 2 > len(both):
+                near.append((-round(sum(1 - abs(p[f] - q[f]) for f in sorted(both)) / len(both), 9), v))
+        want |= {(u, v, -s, i + 1) for i, (s, v) in enumerate(sorted(near)[:3])}
+    df = spark.createDataFrame([(u, f, x) for u, p in users.items() for f, x in p.items()], "user_id long, feature string, value double")
+    assert {tuple(r) for r in behaviour.similar_users(df, 3).collect()} == want
+    assert behaviour.similar_users(df.limit(0)).isEmpty()
