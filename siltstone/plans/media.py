@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import media as M
 from ..sources import files as S
-from ..storage import delete_at_exit, scratch
+from ..storage import Tables, delete_at_exit, scratch
 from .catalog import query, table
 from .texts import FOLDED
 
@@ -47,6 +47,7 @@ def files_read_back(spark, d):
     root = scratch(spark, "files")
     delete_at_exit(spark, root)
     S.write_files(table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").alias("value")), root, "doc_id")
-    read = S.documents(S.listing(spark, root))
-    own = F.regexp_extract("path", r"/doc_id=(-?\d+)/", 1).cast("long")
+    own = F.regexp_extract("path", r"/doc_id=(-?\d+),[^/]*$", 1).cast("long")
+    with Tables(spark, "files") as tables:
+        read = S.documents(tables.release(S.read_once(tables, S.listing(spark, root))))
     return read.select(own.alias("doc_id"), "kind", F.col("length").alias("n_bytes"), "content_hash", F.sha2("text", 256).alias("folded"), "problem")

@@ -17,6 +17,7 @@ from siltstone.functions import text as T
 from siltstone.functions.stemming import stem
 from siltstone.operators import behaviour, chunk, hybrid, metrics, rank, security, understand, vectors
 from siltstone.sources import files
+from siltstone.storage import Tables
 
 
 @pytest.mark.parametrize(
@@ -305,3 +306,16 @@ def test_similar_users_in_blocks_and_classes(spark, monkeypatch):
     df = spark.createDataFrame([(u, f, x) for u, p in users.items() for f, x in p.items()], "user_id long, feature string, value double")
     assert {tuple(r) for r in behaviour.similar_users(df, 3).collect()} == want
     assert behaviour.similar_users(df.limit(0)).isEmpty()
+
+
+def test_files_of_rows_lie_in_few_folders(spark, tmp_path):
+    """A file a row, those of one key too; folders don't grow with the rows, and small files share tasks."""
+    rows = [(i, f"text {i}\u00e9") for i in range(1500)] + [(7, "again"), (8, ""), (9, None)]
+    root = f"file://{tmp_path}/files"
+    files.write_files(spark.createDataFrame(rows, "k long, value string"), root, "k")
+    found = [p for p in (tmp_path / "files").rglob("k=*.txt") if p.is_file()]
+    assert sorted(p.read_text() for p in found) == sorted(f"{v}\n" for _, v in rows if v is not None)
+    assert len({p.parent for p in found}) <= files.FOLDERS
+    with Tables(spark, "test") as tables:
+        read = files.read_once(tables, files.listing(spark, root))
+        assert read.count() == len(found) and read.rdd.getNumPartitions() < 20
