@@ -33,29 +33,38 @@ def overlap_text(c: Column, share: float) -> Column:
 def sentence_chunks(docs: DataFrame, o: ChunkOptions | None = None) -> DataFrame:
     """(doc_id, chunk_index, content, word_count, sentence_count, overlap_start, overlap_end).
 
-    Texts up to max_size are one chunk. Longer ones are folded sentence by sentence: a chunk is closed
-    when the next sentence would carry it beyond max_size, and the next begins with its overlap.
+    The sentences of ``packed``, with measures."""
+    out = packed(docs, o).select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("chunk_index", "part")).withColumn("content", F.col("part.content"))
+    return out.select(
+        "doc_id", "chunk_index", "content",
+        T.word_count(F.col("content")).alias("word_count"), T.sentence_count(F.col("content")).alias("sentence_count"),
+        (F.col("chunk_index") > 0).alias("overlap_start"), (F.col("chunk_index") < F.col("n") - 1).alias("overlap_end"),
+    )
+
+
+def packed(docs: DataFrame, o: ChunkOptions | None = None) -> DataFrame:
+    """(doc_id, parts): the chunks of each text as an array of (content, sentences), the number of sentences they were packed from.
+
+    Texts are folded sentence by sentence: a chunk is closed when the next sentence would carry it beyond max_size,
+    and the next begins with its overlap; so texts up to max_size are one chunk.
     The fold is an aggregate over the sentence array, so it needs no shuffle and no Python."""
     o = o or ChunkOptions()
-    kind = "struct<done:array<string>,cur:string>"
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    part = "struct<content:string,sentences:int>"
+    kind = f"struct<done:array<{part}>,cur:string,n:int>"
+    empty = F.struct(F.array().cast(f"array<{part}>").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
 
     def step(acc, s):
         joined = F.when(acc["cur"] == "", s).otherwise(F.concat(acc["cur"], F.lit(" "), s))
         over = (F.length(joined) > o.max_size) & (acc["cur"] != "")
         ahead = overlap_text(acc["cur"], o.overlap)
         fresh = F.when(ahead == "", s).otherwise(F.concat(ahead, F.lit(" "), s))
-        return F.struct(F.when(over, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"), F.when(over, fresh).otherwise(joined).alias("cur")).cast(kind)
+        return F.struct(F.when(over, closed(acc)).otherwise(acc["done"]).alias("done"), F.when(over, fresh).otherwise(joined).alias("cur"), F.when(over, 1).otherwise(acc["n"] + 1).alias("n")).cast(kind)
 
-    text = T.folded(F.coalesce("text", F.lit("")))
-    folded = F.aggregate(T.sentences(text), empty.cast(kind), step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
-    parts = F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= o.max_size, F.array(text)).otherwise(folded)
-    out = docs.select("doc_id", parts.alias("parts")).select("doc_id", F.size("parts").alias("n"), F.posexplode("parts").alias("chunk_index", "content"))
-    return out.select(
-        "doc_id", "chunk_index", "content",
-        T.word_count(F.col("content")).alias("word_count"), T.sentence_count(F.col("content")).alias("sentence_count"),
-        (F.col("chunk_index") > 0).alias("overlap_start"), (F.col("chunk_index") < F.col("n") - 1).alias("overlap_end"),
-    )
+    def closed(acc):
+        return F.concat(acc["done"], F.array(F.struct(acc["cur"].alias("content"), acc["n"].alias("sentences")).cast(part)))
+
+    sentences = T.sentences(T.folded(F.coalesce("text", F.lit(""))))
+    return docs.select("doc_id", F.aggregate(sentences, empty.cast(kind), step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(closed(a))).alias("parts"))
 
 
 _BREAKS = (re.compile(r"[.!?](?=\s|$)"), re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r" "))

@@ -38,9 +38,8 @@ def character_chunks(spark, d):
 )
 def chunk_packing(spark, d):
     """The packing rule without overlap: sizes and sentence counts of the chunks."""
-    c = chunk.sentence_chunks(table(spark, d, "documents"), chunk.ChunkOptions(overlap=0.0))
-    counted = F.size(T.sentences(F.col("content")))
-    return c.select("doc_id", "chunk_index", F.length("content").alias("size"), counted.cast("long").alias("sentences"))
+    c = chunk.packed(table(spark, d, "documents"), chunk.ChunkOptions(overlap=0.0)).select("doc_id", F.posexplode("parts").alias("chunk_index", "part"))
+    return c.select("doc_id", "chunk_index", F.length("part.content").alias("size"), F.col("part.sentences").cast("long").alias("sentences"))
 
 
 @query(f"WITH s AS ({SENTENCES}) SELECT doc_id, chunk_index, sha256(string_agg(content, ' ') OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) context FROM s")

@@ -12,7 +12,7 @@ from .conftest import same
 TEXTS = [None, "", " ", "...", "éé", "the cat", "a dog", "İthe cat", "theİ dog. The İb word here of it. And so it goes on", "a\u0001b", "\u0001", "one.\u0001 two\u0001", "x. \u0001y! z", "No. 1 İİ ab. aa bb cc dd ee. " * 3]
 
 
-@pytest.mark.parametrize("name", ["boolean_not", "boolean_symbols", "extractive_summaries"])
+@pytest.mark.parametrize("name", ["boolean_not", "boolean_symbols", "extractive_summaries", "chunk_packing", "chunk_merge", "chunk_validation", "sentence_split"])
 def test_equals_sql_on_odd_texts(spark, tmp_path, name):
     docs = spark.createDataFrame([(i, t, "en", "src1", len(t or "")) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
