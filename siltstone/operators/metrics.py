@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,21 +63,29 @@ def alert_checks(points: DataFrame, rules: DataFrame) -> DataFrame:
 def alerts(checks: DataFrame) -> DataFrame:
     """(rule, ts, action): fired when a rule begins to hold and its cooldown is over, resolved when it ceases.
 
-    A firing sets the clock for later ones, so the points of a rule are walked in order."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["ts", "seq"], ignore_index=True)
-        out, active, last = [], False, None
-        for r in f.itertuples():
-            if r.firing and not active and (last is None or (r.ts - last).total_seconds() >= r.cooldown_s):
-                active, last = True, r.ts
-                out.append((r.rule, r.ts, "fired"))
-            elif not r.firing and active:
-                active = False
-                out.append((r.rule, r.ts, "resolved"))
-        return pd.DataFrame(out, columns=["rule", "ts", "action"])
-
-    return checks.groupBy("rule").applyInPandas(run, "rule string, ts timestamp_ntz, action string")
+    A firing sets the clock for later ones, so the points of a rule are walked in order: a task walks them as they come, sorted,
+    with the state of one rule. Of points that don't hold only the first after one that does can tell anything; the others stay behind."""
+    order = ["rule", F.col("ts").asc_nulls_last(), F.col("seq").asc_nulls_last()]
+    w = Window.partitionBy("rule").orderBy(*order[1:])
+    rows = checks.select("rule", "ts", "seq", F.coalesce("firing", F.lit(False)).alias("firing"), "cooldown_s").withColumn("before", F.lag("firing", 1, False).over(w))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rule, active, last = None, False, None
+        for f in frames:
+            out = []
+            for r in f.itertuples():
+                if r.rule != rule:
+                    rule, active, last = r.rule, False, None
+                if r.firing and not active and (last is None or (r.ts - last).total_seconds() >= r.cooldown_s):
+                    active, last = True, r.ts
+                    out.append((r.rule, r.ts, "fired"))
+                elif not r.firing and active:
+                    active = False
+                    out.append((r.rule, r.ts, "resolved"))
+            yield pd.DataFrame(out, columns=["rule", "ts", "action"])
+
+    told = rows.where("firing or before").select("rule", "ts", "seq", "firing", "cooldown_s")
+    return told.repartition("rule").sortWithinPartitions(*order).mapInPandas(run, "rule string, ts timestamp_ntz, action string")
 
 
 def alert_states(commands: DataFrame) -> DataFrame:
