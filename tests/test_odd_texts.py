@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from siltstone.operators import lexical
 from siltstone.plans.catalog import load
 
 from .conftest import same
@@ -20,3 +21,11 @@ def test_equals_sql_on_odd_texts(spark, tmp_path, name):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     q = load()[name]
     same(q.build(spark, str(tmp_path)), duck.execute(q.sql))
+
+
+def test_postings_shuffle_texts_not_words(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b"), (2, None)], "doc_id long, text string")
+    posts = lexical.postings(docs)
+    assert sorted((r.term, r.doc_id, r.tf, r.positions) for r in posts.collect()) == [("a", 1, 2, [0, 2]), ("b", 1, 2, [0, 1])]
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan
