@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+import pyarrow as pa
 import pytest
 
-from siltstone.operators import lexical
+from siltstone.operators import inverted, lexical
 from siltstone.plans.catalog import load
 
 from .conftest import same
@@ -29,3 +30,11 @@ def test_postings_shuffle_texts_not_words(spark):
     assert sorted((r.term, r.doc_id, r.tf, r.positions) for r in posts.collect()) == [("a", 1, 2, [0, 2]), ("b", 1, 2, [0, 1])]
     plan = posts._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan
+
+
+def test_postings_of_a_block_are_made_where_its_documents_are():
+    rows = pa.table({"block": [7] * 4, "slot": pa.array([63, 0, 2, 5], pa.int32()), "doc_id": [9, 1, None, 4], "len": pa.array([1, 3, 2, 0], pa.int32()), "tokens": [["b"], ["a", "b", "a"], ["b", "b"], []]})
+    got = {r["term"]: r for r in inverted._block_postings(rows).to_pylist()}
+    assert got["a"] == {"term": "a", "block": 7, "bits": 1, "max_tf": 2, "min_len": 3, "slots": [0], "doc_ids": [1], "lens": [3], "tfs": [2], "places": [[0, 2]]}
+    assert got["b"] == {"term": "b", "block": 7, "bits": 5 - 2**63, "max_tf": 2, "min_len": 1, "slots": [0, 2, 63], "doc_ids": [1, None, 9], "lens": [3, 2, 1], "tfs": [1, 2, 1], "places": [[1], [0, 1], [0]]}
+    assert len(got) == 2 and inverted._block_postings(rows.slice(3)).num_rows == 0
