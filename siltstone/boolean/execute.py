@@ -44,11 +44,10 @@ def ranked_search(docs: DataFrame, index: InvertedIndex, text: str, fields: dict
 
     Matches without such a word (ranges, NOT) score 0; ties go to the smaller doc_id; rows of one doc_id count once."""
     tree = parse(text)
-    spark = docs.sparkSession
-    weights = sorted(scoring_terms(tree).items())
-    words = spark.createDataFrame([(1, *x) for x in weights], "query_id int, term string, boost double")
-    asked = [w for w, _ in weights]
-    found = index.of_terms(index.postings, asked).join(index.of_terms(index.terms, asked), "term").join(words, "term")
+    weights = scoring_terms(tree)
+    counts = index.document_counts(weights)
+    told = lambda of: F.coalesce(F.lit(None), *(F.when(F.col("term") == w, F.lit(of[w])) for w in sorted(counts)))  # noqa: E731  a number for each word of the query, without a join
+    found = index.of_terms(index.postings, counts).select(F.lit(1).alias("query_id"), "doc_id", "len", "tf", told(counts).alias("df"), told(weights).alias("boost"))
     scores = lexical.scored(found, index.corpus, F.col("boost")).select("doc_id", "score")
     hits = postings.search(docs, index, text, fields).distinct().join(scores, "doc_id", "left")
     full = hits.select(F.lit(1).alias("query_id"), "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))

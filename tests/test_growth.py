@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.operators import inverted
+from siltstone.boolean import execute
+from siltstone.operators import inverted, lexical
 from siltstone.plans.catalog import load
 
 TEXTS = ["the cat and the dog", "a dog", None, "", "of the dog. cats, dogs and the bird", "the the the of the", "éa with the cat", "with from scum", "from with the"]
@@ -20,3 +21,28 @@ def test_queries_of_fields_build_no_index(spark, tmp_path):
         got = load()[name].build(spark, str(tmp_path))
         assert got.columns == ["doc_id"] and set(inverted._KEPT) == before, name
     assert load()["boolean_exists"].build(spark, str(tmp_path)).count() == len(TEXTS)
+
+
+def test_postings_are_made_by_runs_without_a_shuffle_of_words(spark, tmp_path, monkeypatch):
+    docs = docs_of(spark, 50).repartition(3).select("doc_id", "text", "lang")
+    monkeypatch.setattr(inverted, "RUN", 2000)
+    index = inverted.InvertedIndex.build(docs, f"file://{tmp_path}/index", fields=("lang",))
+    own = lambda df: sorted((r.term, r.doc_id, r.tf, r.positions) for r in df.collect())
+    assert own(index.postings.select("term", "doc_id", "tf", "positions")) == own(lexical.postings(docs))
+    assert sorted(r.doc_id for r in index.docs.collect()) == list(range(50 * len(TEXTS))) and index.manifest.unique
+    assert index.docs.select("block", "slot").distinct().count() == 50 * len(TEXTS) and index.docs.groupBy("block").count().where("count > 64").isEmpty()
+    made = spark.read.parquet(index.manifest.segments[0].path + "/postings")
+    assert made.where("term IS NULL").select("docs").count() > 50 * len(TEXTS) / 64  # several runs
+    assert index.merge().postings.count() == index.postings.count()
+
+
+def test_ranked_search_joins_nothing_by_term(spark, tmp_path):
+    docs = docs_of(spark)
+    index = inverted.InvertedIndex.build(docs, f"file://{tmp_path}/index", fields=("lang",))
+    fields = {"content": "text", "file_type": "lang"}
+    got = execute.ranked_search(docs, index, 'the^2 AND (from OR "of the" OR nothere)', fields, 5)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Join" in line and "term" in line for line in plan.splitlines()), plan
+    plain = {(r.doc_id, r.term): r for r in lexical.postings(docs).where("term IN ('the', 'from', 'of')").collect()}
+    assert [r.doc_id for r in got.collect()] and {r.doc_id for r in got.collect()} == {d for d, t in plain if t == "the"} & ({d for d, t in plain if t == "from"} | {4, 5})
+    assert execute.ranked_search(docs, index, "nothere OR type:en", fields, 3).count() == 3
