@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+import time
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 from siltstone.boolean import execute
-from siltstone.operators import inverted, lexical
+from siltstone.functions import text as T
+from siltstone.operators import inverted, lexical, results
 from siltstone.plans.catalog import load
 
 TEXTS = ["the cat and the dog", "a dog", None, "", "of the dog. cats, dogs and the bird", "the the the of the", "éa with the cat", "with from scum", "from with the"]
@@ -46,3 +54,25 @@ def test_ranked_search_joins_nothing_by_term(spark, tmp_path):
     plain = {(r.doc_id, r.term): r for r in lexical.postings(docs).where("term IN ('the', 'from', 'of')").collect()}
     assert [r.doc_id for r in got.collect()] and {r.doc_id for r in got.collect()} == {d for d, t in plain if t == "the"} & ({d for d, t in plain if t == "from"} | {4, 5})
     assert execute.ranked_search(docs, index, "nothere OR type:en", fields, 3).count() == 3
+
+
+def test_topics_of_a_long_text_take_no_pass_for_each_word(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(20_000)]
+    texts = [" ".join(words), " ".join(words[:50] * 3 + words[40:90] * 2), "", "abc de", "abcde", "zzzzz abcde zzzzz abcde mmmmm", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    started = time.time()
+    got = {r.doc_id: r.k for r in rows.select("doc_id", results.key_terms(T.ascii_tokens(F.col("text")), 3).alias("k")).collect()}
+    assert time.time() - started < 30  # minutes, when each different word was counted by a pass over the text
+    for i, t in enumerate(texts):
+        counts = Counter(w for w in re.findall("[a-z0-9]+", t or "") if len(w) > 4)
+        assert got[i] == (None if t is None else [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]])
+
+
+def test_result_pipeline_shuffles_no_texts(spark, tmp_path):
+    docs_of(spark).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = load()["result_pipeline"].build(spark, str(tmp_path))
+    exchanges = re.findall(r"Exchange.*\n.*", got._jdf.queryExecution().executedPlan().toString())
+    windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in line and "text#" in line]
+    assert exchanges and all("best" in line and "key" in line for line in windows), windows
+    assert {r.doc_id: r.summary for r in got.collect()} == {0: "<mark>the</mark> cat and <mark>the</mark> dog", 4: "cats, dogs and <mark>the</mark> bird", 5: "<mark>the</mark> <mark>the</mark> <mark>the</mark> of <mark>the</mark>", 6: "éa with <mark>the</mark> cat", 7: "with from scum", 8: "from with <mark>the</mark>"}
