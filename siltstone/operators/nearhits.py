@@ -18,10 +18,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import pairwise
 from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from ..functions import text as T
 from ..storage import Tables
 from . import setjoin
 
+PART = 1024  # texts whose words are hashed at a time
 NEAR, JACCARD, BANDS, ROWS, SIGNS, LINK, SAME = 0.85, 0.75, 32, 5, 96, 0.5, 0.9
 _U = np.uint64
 _rng = np.random.default_rng(85)
@@ -36,6 +39,7 @@ _MUL = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=_U) * _U(2) + _U(1)
 _ADD = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=_U)
 _FOLD = _rng.integers(0, 1 << 63, ROWS, dtype=_U) * _U(2) + _U(1)
 _WORD = re.compile("[a-z0-9]+")
+_SIGN = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))  # all other bytes of UTF-8 part words
 
 
 def likeness(a: Counter, b: Counter) -> float:
@@ -54,38 +58,57 @@ def _near(a: Counter, b: Counter) -> float | None:
     return s if s > NEAR else None
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+def _mixed(x: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """x, mixed in its place; room is another array of its size."""
+    room = np.empty_like(x) if room is None else room
+    for by, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        np.right_shift(x, _U(by), out=room)
+        x ^= room
+        x *= _U(times)
+    return x
 
 
 def _sketch(batches):
-    known: dict[str, int] = {}
+    """Rows (id, t) -> (id, same, keys, signs); a part of a batch at a time, its different words are hashed once."""
+    known: dict[str, bytes] = {}
     for batch in batches:
-        step = max(1, min(1024, (8 << 20) * batch.num_rows // max(1, batch.nbytes)))
+        step = max(1, min(PART, (8 << 20) * batch.num_rows // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
-            out = []
-            for i, t in zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True):
-                counts = sorted(Counter(_WORD.findall(t)).items())
-                if not counts:
-                    continue
-                if len(known) > 500_000:
-                    known.clear()
-                h = np.empty(len(counts), _U)
-                for k, (w, _) in enumerate(counts):
-                    v = known.get(w)
-                    if v is None:
-                        v = known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                    h[k] = v
-                least = np.full(len(_MUL), ~_U(0))
-                for k in range(0, len(h), 2048):
-                    np.minimum(least, _mixed(h[k : k + 2048, None] * _MUL + _ADD).min(0), out=least)
-                keys = _mixed((least.reshape(BANDS, ROWS) * _FOLD).sum(1, dtype=_U) + np.arange(BANDS, dtype=_U) * _U(0x9E3779B97F4A7C15))
-                same = hashlib.blake2b(repr(counts).encode(), digest_size=16).digest()
-                out.append((i, same, keys.view(np.int64).tolist(), (least[:SIGNS] >> _U(20)).astype(np.uint8).tobytes()))
-            i, same, keys, signs = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.record_batch([pa.array(i, pa.int64()), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["id", "same", "keys", "signs"])
+            yield _sketched(*batch.slice(at, step).columns, known)
+
+
+def _sketched(ids: pa.Array, texts: pa.Array, known: dict[str, bytes]) -> pa.RecordBatch:
+    tokens = pc.ascii_split_whitespace(pa.array([t.translate(_SIGN) for t in texts.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string()))
+    words = tokens.flatten().dictionary_encode()
+    doc, code = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy(zero_copy_only=False)), words.indices.to_numpy()
+    vocabulary = words.dictionary.to_pylist()
+    if "" in vocabulary:  # before the first or behind the last word
+        real = code != vocabulary.index("")
+        doc, code = doc[real], code[real]
+    if len(known) > 500_000:
+        known.clear()
+    for w in vocabulary:
+        if w not in known:
+            known[w] = hashlib.blake2b(w.encode(), digest_size=16).digest()
+    hashes = np.frombuffer(b"".join([known[w] for w in vocabulary]), "<u8").reshape(-1, 2)
+    entry, tf = np.unique(doc << 32 | code, return_counts=True)
+    doc, code = entry >> 32, entry & 0xFFFFFFFF
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])  # texts without words have none
+    least, own, of_words = np.empty((len(_MUL), len(first)), _U), np.ascontiguousarray(hashes[:, 0]), np.empty(len(code), _U)
+    mixed, room = np.empty_like(own), np.empty_like(own)
+    for k in range(len(_MUL)) if len(first) else ():
+        np.multiply(own, _MUL[k], out=mixed)
+        mixed += _ADD[k]
+        np.take(_mixed(mixed, room), code, out=of_words, mode="clip")
+        np.minimum.reduceat(of_words, first, out=least[k])
+    least = least.T
+    keys = _mixed((least.reshape(-1, BANDS, ROWS) * _FOLD).sum(2, dtype=_U) + np.arange(BANDS, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    order = np.argsort(doc << 32 | np.argsort(np.argsort(own))[code])  # by hash within a text, whatever else the part holds
+    counted = np.column_stack([hashes[code[order]], tf[order].astype(_U)])
+    same = [hashlib.blake2b(counted[a:b].tobytes(), digest_size=16).digest() for a, b in pairwise([*first.tolist(), len(doc)])]
+    signs = [x.tobytes() for x in (least[:, :SIGNS] >> _U(20)).astype(np.uint8)]
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+    return pa.record_batch([ids.take(pa.array(doc[first])), pa.array(same, pa.binary()), lists, pa.array(signs, pa.binary())], names=["id", "same", "keys", "signs"])
 
 
 def _forest(ids: np.ndarray, signs: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -104,51 +127,72 @@ def _forest(ids: np.ndarray, signs: np.ndarray, least: float) -> list[tuple[int,
 
 
 def _links(least: float, forward: bool):
-    """Of rows (key, id, signs), those of a key one after another: links (null, a, null, b), and forward what no link has reached."""
-
-    def group(key, ids, signs, out):
-        if len(ids) > 1:
-            order = np.argsort(ids, kind="stable")
-            ids, signs = ids[order], signs[order]
-            links = _forest(ids, signs, least)
-            out += [(None, a, None, b) for a, b in links]
-            gone = {b for _, b in links}
-        else:
-            gone = set()
-        if forward:
-            out += [(key, int(i), s.tobytes(), None) for i, s in zip(ids, signs, strict=True) if int(i) not in gone]
-
-    def made(out):
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())], names=["key", "a", "signs", "b"])
-
-    def run(batches):
-        held: list[tuple] = []  # rows of the key that the last batch ended with
+    """Of rows (key, id, signs), those of a key one after another: links (null, a, null, b), and forward what no link has reached.
+
+    Most keys have one row; only those of several rows are looked at one by one."""
+
+    def linked(ids, signs):
+        order = np.argsort(ids, kind="stable")
+        return _forest(ids[order], signs[order], least)
+
+    def made(links, rows=None):
+        key, ids, signs = rows or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, SIGNS), np.uint8))
+        a, b = (pa.array([x[i] for x in links], pa.int64()) for i in (0, 1))
+        none = lambda n, kind: pa.nulls(n, kind)
+        cols = [
+            [none(len(links), pa.int64()), pa.array(key)], [a, pa.array(ids)],
+            [none(len(links), pa.binary()), pa.array([x.tobytes() for x in signs], pa.binary())], [b, none(len(ids), pa.int64())],
+        ]
+        return pa.record_batch([pa.concat_arrays(c) for c in cols], names=["key", "a", "signs", "b"])
+
+    def told(batch):
+        key, ids = (batch.column(k).to_numpy() for k in (0, 1))
+        signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), SIGNS)
+        return key, ids, signs
+
+    def edges(key):
+        return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+
+    def run_forward(batches):  # rows as they come: batches stand for themselves
         for batch in batches:
-            key, ids = (batch.column(k).to_numpy() for k in (0, 1))
-            signs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(ids), SIGNS)
-            if forward:  # rows as they come: batches stand for themselves
-                order = np.argsort(key, kind="stable")
-                key, ids, signs = key[order], ids[order], signs[order]
-            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-            out, at = [], 0
-            for e in ends.tolist():
-                part = (key[at], ids[at:e], signs[at:e])
-                if not forward:
-                    if held and held[0][0] != part[0]:
-                        group(held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), out)
-                        held = []
-                    held.append(part)
-                else:
-                    group(int(part[0]), part[1], part[2], out)
-                at = e
-            yield made(out)
-        if held:
-            out = []
-            group(held[0][0], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]), out)
-            yield made(out)
+            key, ids, signs = told(batch)
+            order = np.argsort(key, kind="stable")
+            key, ids, signs = key[order], ids[order], signs[order]
+            ends, links, left = edges(key), [], np.ones(len(key), bool)
+            for g in np.flatnonzero(np.diff(ends) > 1):
+                own = slice(ends[g], ends[g + 1])
+                more = linked(ids[own], signs[own])
+                left[own] = ~np.isin(ids[own], [b for _, b in more])
+                links += more
+            yield made(links, (key[left], ids[left], signs[left]))
+
+    def run_grouped(batches):
+        held_key, held = None, []  # rows of the key that the last batch ended with
+
+        def flushed():
+            if sum(len(i) for i, _ in held) < 2:
+                return []
+            return linked(np.concatenate([i for i, _ in held]), np.concatenate([s for _, s in held]))
 
-    return run
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids, signs = told(batch)
+            ends, links = edges(key), []
+            last = len(ends) - 2
+            for g in sorted({0, last} | set(np.flatnonzero(np.diff(ends) > 1).tolist())):
+                own = slice(ends[g], ends[g + 1])
+                if 0 < g < last:
+                    links += linked(ids[own], signs[own])
+                    continue
+                if key[own.start] != held_key:
+                    links += flushed()
+                    held_key, held = key[own.start], []
+                held.append((ids[own], signs[own]))
+            yield made(links)
+        yield made(flushed())
+
+    return run_forward if forward else run_grouped
 
 
 def _components(tables: Tables, edges: DataFrame) -> DataFrame:

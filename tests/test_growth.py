@@ -7,11 +7,12 @@ import re
 import time
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.boolean import execute
 from siltstone.functions import text as T
-from siltstone.operators import inverted, lexical, results
+from siltstone.operators import inverted, lexical, nearhits, results
 from siltstone.plans.catalog import load
 
 TEXTS = ["the cat and the dog", "a dog", None, "", "of the dog. cats, dogs and the bird", "the the the of the", "éa with the cat", "with from scum", "from with the"]
@@ -76,3 +77,35 @@ def test_result_pipeline_shuffles_no_texts(spark, tmp_path):
     windows = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Project" in line and "text#" in line]
     assert exchanges and all("best" in line and "key" in line for line in windows), windows
     assert {r.doc_id: r.summary for r in got.collect()} == {0: "<mark>the</mark> cat and <mark>the</mark> dog", 4: "cats, dogs and <mark>the</mark> bird", 5: "<mark>the</mark> <mark>the</mark> <mark>the</mark> of <mark>the</mark>", 6: "éa with <mark>the</mark> cat", 7: "with from scum", 8: "from with <mark>the</mark>"}
+
+
+def test_sketches_hash_each_word_of_a_part_once(monkeypatch):
+    rng = random.Random(25)
+    words = ["".join(rng.choice("abcdef0") for _ in range(5)) for _ in range(300)]
+    texts = ["", "...", "é", "a", " a", "a-a", "a a", "aéa b", "b a a", *(" ".join(rng.choices(words, k=80)) for _ in range(200))]
+    texts += [" ".join(reversed(t.split())) for t in texts[9:60]]
+    calls, mixed = [], nearhits._mixed
+    monkeypatch.setattr(nearhits, "_mixed", lambda x, *room: (calls.append(x.size), mixed(x, *room))[1])
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "t"])
+    rows = pa.Table.from_batches([b for at in (0, 100) for b in nearhits._sketch([batch.slice(at, 100 if at == 0 else len(texts))])]).to_pylist()
+    counts = [Counter(re.findall("[a-z0-9]+", t)) for t in texts]
+    assert [r["id"] for r in rows] == [i for i, c in enumerate(counts) if c]
+    classes = lambda key: sorted(map(sorted, {k: [r["id"] for r in rows if key(r) == k] for k in map(key, rows)}.values()))
+    assert classes(lambda r: r["same"]) == classes(lambda r: repr(sorted(counts[r["id"]].items()))) and len({len(r["keys"]) for r in rows}) == 1
+    assert {(tuple(r["keys"]), r["signs"]) for r in rows if r["id"] in (3, 4, 5, 6)} == {(tuple(rows[0]["keys"]), rows[0]["signs"])}  # sets are equal
+    assert sum(calls) < nearhits.BANDS * nearhits.ROWS * 4 * (len(words) + len(texts))  # not that of all words of all texts
+
+
+def test_links_are_those_of_each_key_over_batches():
+    rng = random.Random(26)
+    signs = [bytes([rng.randrange(256)] * nearhits.SIGNS) for _ in range(3)]
+    rows = sorted((rng.randrange(60), i, rng.choice(signs)) for i in range(150))
+    rows += [(99, i, signs[0]) for i in range(150, 180)]
+    want = {(min(j for k, j, y in rows if (k, y) == (key, s)), i) for key, i, s in rows}
+    for n in (1, 7, 1000):
+        parts = [pa.record_batch([pa.array([r[c] for r in rows[at : at + n]], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["key", "id", "signs"]) for at in range(0, len(rows), n)]
+        got = pa.Table.from_batches(list(nearhits._links(0.5, False)(iter([parts[0].slice(0, 0), *parts])))).to_pylist()
+        assert sorted((r["a"], r["b"]) for r in got) == sorted(x for x in want if x[0] != x[1]), n
+        told = pa.Table.from_batches(list(nearhits._links(0.5, True)(iter(parts)))).to_pylist()
+        assert sorted(r["b"] for r in told if r["key"] is None) == sorted(set(range(180)) - {r["a"] for r in told if r["key"] is not None})
+    assert {r["a"] for r in told if r["key"] is not None} == {a for a, _ in want}
