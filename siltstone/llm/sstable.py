@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import collected, file_system, rows, shared_dir, width
-from .tokens import encoder
+from .tokens import encoded, encoder
 
 BLOCK, SHARD, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 64 << 20, 10, 7
 _FOOTER = struct.Struct("<QIQIQQI8s")
@@ -202,25 +202,14 @@ def write_shards(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id:
             w = None
 
         name = ""
-        held: list[tuple] = []
-
-        def put():
-            nonlocal w, first, prev, name
-            for (doc_id, _), ids in zip(held, enc.batch([t or "" for _, t in held]), strict=True):
-                if w is None:
-                    name, first = f"{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.sst", doc_id
-                    w = Writer(fs.open_output_stream(f"{root}/{name}"), enc.itemsize)
-                w.add(key_of(doc_id), ids + end)
-                prev = doc_id
-                if w.size >= SHARD:
-                    close()
-            held.clear()
-
-        for r in rows(batches, "doc_id", "text"):
-            held.append(r)
-            if len(held) == 256:
-                put()
-        put()
+        for doc_id, ids in encoded(batches, vocabulary, True):
+            if w is None:
+                name, first = f"{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.sst", doc_id
+                w = Writer(fs.open_output_stream(f"{root}/{name}"), enc.itemsize)
+            w.add(key_of(doc_id), ids + end)
+            prev = doc_id
+            if w.size >= SHARD:
+                close()
         if w is not None:
             close()
         cols = list(zip(*done, strict=True)) or [[]] * 7

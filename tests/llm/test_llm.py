@@ -12,7 +12,7 @@ import pytest
 
 from siltstone.llm import ann, decontam, htmlmain, linededup, neardup, packing, pfp, queries, sstable, toxicity, warc
 from siltstone.llm.components import connected_components
-from siltstone.llm.tokens import encoder, vocabulary_path
+from siltstone.llm.tokens import PieceEncoder, encoder, vocabulary_path
 
 from ..conftest import DATA, same
 from . import pages_by_hand
@@ -71,6 +71,35 @@ def test_any_text_equals_the_plain_tokenizer(name, spaces):
     assert enc.batch(texts) == want
 
 
+@pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_marks_breaks_and_letters_in_any_order(name, spaces):
+    from tokenizers import Tokenizer
+
+    signs = [*".,!?;:%&*$#|()'\"<>-", " ", " ", "\n", "\n", "\t", "\xa0", "\x85", "\u2003", "\u3000", "\u1680", "\u202f", "\u205f", "\xd7", "\xf7", "\xc0", "\u012f", "\u0130", "\u0301", "e", "Za", "\u00e9n", "7", "\u20ac", "\u65e5", "\U0001f600", "'s", "<|", "endoftext"]
+    rng, enc, plain = random.Random(5), encoder(name, spaces), Tokenizer.from_file(vocabulary_path(name))
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, f"<u{enc.itemsize}").tobytes() for t in texts]
+    assert enc.batch(texts) == want
+
+
+def counted(monkeypatch, name, spaces):
+    """A new encoder that remembers nothing between batches, and the lists of the words and whole texts that it encodes."""
+    enc, words, texts = PieceEncoder(vocabulary_path(name), spaces), [], []
+    one, whole = enc._one, enc.whole
+    monkeypatch.setattr(enc, "CACHE", 0)
+    monkeypatch.setattr(enc, "_one", lambda w: words.append(w) or one(w))
+    monkeypatch.setattr(enc, "whole", lambda t: texts.append(t) or whole(t))
+    return enc, words, texts, whole
+
+
+def test_a_full_cache_encodes_a_word_of_many_texts_once(monkeypatch):
+    enc, words, whole, plain = counted(monkeypatch, "byte_bpe_50k.json", True)
+    texts = [f" quelzin{m}\nquelzin  quelzin{m}" for m in ("", ".", ",", "!!")] * 50
+    got = enc.batch(texts)
+    assert len(words) == len(set(words)) < 10 and not whole
+    assert got == [plain(t) for t in texts]
+
+
 def test_bloom_lets_few_strange_keys_pass(tmp_path):
     w = sstable.Writer(open(tmp_path / "b.sst", "wb"), 2)  # noqa: SIM115
     for i in range(5000):
