@@ -23,8 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows
-from .tokens import encoder
+from .tokens import encoded, encoder
 
 CLASSES, SLACK = 16, 64
 
@@ -129,20 +128,10 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "word_bpe_49k.
             return done
 
         packer = HarmonicPacker(capacity, emit)
-        held: list[tuple] = []
-
-        def put():
-            for (doc_id, _), ids in zip(held, enc.batch([t or "" for _, t in held]), strict=True):
-                packer.add(doc_id, np.frombuffer(ids + end, kind))
-            held.clear()
-
-        for r in rows(batches, "doc_id", "text"):
-            held.append(r)
-            if len(held) == 128:
-                put()
-                if len(out) >= 8192:
-                    yield batch()
-        put()
+        for doc_id, ids in encoded(batches, vocabulary, False):
+            packer.add(doc_id, np.frombuffer(ids + end, kind))
+            if len(out) >= 8192:
+                yield batch()
         packer.close()
         yield batch()
 

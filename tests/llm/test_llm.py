@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siltstone.llm import ann, decontam, htmlmain, linededup, neardup, packing, pfp, queries, sstable, toxicity, warc
+from siltstone.llm import ann, decontam, htmlmain, linededup, neardup, packing, pfp, queries, sstable, tokens, toxicity, warc
 from siltstone.llm.components import connected_components
 from siltstone.llm.tokens import PieceEncoder, encoder, vocabulary_path
 
@@ -100,6 +100,23 @@ def test_a_full_cache_encodes_a_word_of_many_texts_once(monkeypatch):
     assert got == [plain(t) for t in texts]
 
 
+def test_packing_encodes_a_word_of_many_texts_once(monkeypatch):
+    enc, words, whole, plain = counted(monkeypatch, "word_bpe_49k.json", False)
+    texts = [f"quelzin{m} quelzin" for m in ("", ".", ",", "!!")] * 50
+    got = enc.batch(texts)
+    assert len(words) <= 5 and not whole  # the word with and without a space before it, three marks
+    assert got == [plain(t) for t in texts]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 20])
+def test_rows_of_batches_keep_their_ids(monkeypatch, step):
+    monkeypatch.setattr(tokens, "STEP", step)
+    rows = [(3, "a b."), (None, "c"), (4, None), (4, ""), (5, "d e f g h i j"), (6, "<|endo"), (7, "ftext|> x"), (8, "<|endoftext|>")]
+    table = pa.table({"text": [t for _, t in rows], "doc_id": pa.array([i for i, _ in rows], pa.int64())})
+    got = list(tokens.encoded([*table.slice(1).to_batches(max_chunksize=3), *table.slice(0, 0).to_batches()], "word_bpe_49k.json", False))
+    assert got == [(i, encoder("word_bpe_49k.json", False).whole(t or "")) for i, t in rows[1:]]
+
+
 def test_bloom_lets_few_strange_keys_pass(tmp_path):
     w = sstable.Writer(open(tmp_path / "b.sst", "wb"), 2)  # noqa: SIM115
     for i in range(5000):
