@@ -49,7 +49,9 @@ class PlainEncoder(PieceEncoder):
     def __init__(self, path: str):
         super().__init__(path, True)
         self.tok.encode_special_tokens = True
-        self.apart = re.compile(r"(?!)")
+        self.apart = re.compile(rb"(?!)")
+        runs = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+        self.runs = {True: [r for r in runs if r.isascii()], False: runs}  # by whether the text is ASCII: a space behind them isn't cut off
 
     def token_bytes(self) -> list[bytes]:
         back = {c: b for b, c in self.letters.items()}
@@ -172,12 +174,10 @@ class Aligner:
         return np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())), n
 
     def learn(self, pieces: set[str]) -> None:
-        got = self.a._learn(pieces)
-        if len(self.a.cache) < self.a.CACHE:
-            self.a.cache.update(got)
-        names, v = list(got), self.vocabulary
-        a = np.frombuffer(b"".join(got.values()), self.kind).astype(np.int64)
-        na = np.fromiter(map(len, got.values()), np.int64, len(names)) // self.kind.itemsize
+        names, v = list(pieces), self.vocabulary
+        got = self.a.batch([" " + p for p in names])
+        a = np.frombuffer(b"".join(got), self.kind).astype(np.int64)
+        na = np.fromiter(map(len, got), np.int64, len(names)) // self.kind.itemsize
         b, nb = self._ids_b(names)
         if v.whole(a, b, " " + " ".join(names)) and (np.add.reduceat(v.len_a[a], np.cumsum(na) - na) == np.add.reduceat(v.len_b[b], np.cumsum(nb) - nb)).all():
             good = np.ones(len(names), bool)

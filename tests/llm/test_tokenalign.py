@@ -114,6 +114,16 @@ def test_pieces_equal_whole_texts():
     assert sum(1 for g in got if g is not None and g[0] is know.known) > 1000
 
 
+def test_marks_of_added_tokens_are_plain_text():
+    """The encoder of A gives the pieces of a text the ids of the whole text, also those that look like added tokens."""
+    know, plain = tokenalign.Aligner(vocabulary_path(A), vocabulary_path(B)), Plain()
+    texts = ["<|endoftext|>", "a <|endoftext|>b, c.d\ne", "(été),x! <|startoftext|>", "the the,the\nthe"]
+    for t, g in zip(texts, know.texts(texts), strict=True):
+        assert g is not None and g[0] is know.known
+        assert know.known.counts[g[1]].sum(axis=0)[0] == len(plain.a.encode(" " + t, add_special_tokens=False).ids)
+        assert ";".join(know.known.forms[n] for n in g[1]) == ";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in plain.groups(t))
+
+
 def test_long_groups(monkeypatch):
     """Groups are paired by their different ids where they are long."""
     rng = np.random.default_rng(2)
