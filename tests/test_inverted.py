@@ -197,3 +197,19 @@ def test_two_sessions_build_one_index(spark, tmp_path):
     docs = numbered(spark, enumerate(TEXTS))
     first = inverted._built(docs, f"file://{tmp_path}/index", ["lang"])
     assert inverted._built(docs, f"file://{tmp_path}/index", ["lang"]).manifest == first.manifest
+
+
+def test_many_queries_read_each_row_once(spark, tmp_path, monkeypatch):
+    """Queries that share terms don't carry the rows of these terms each through a shuffle; ties go to the smaller id, deleted documents are left out."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(500)]
+    df = spark.createDataFrame([(i * 7919 % 1000, t) for i, t in enumerate(texts + texts[:50])] + [(None, "w1 w2")], "doc_id long, text string")
+    q = spark.createDataFrame([(i, w) for i in range(40) for w in rng.sample(words, 30)] + [(99, "w1"), (98, "none")], "query_id int, term string")
+    index = inverted.InvertedIndex.build(df.repartition(3), f"file://{tmp_path}/index").delete(df.limit(5))
+    left = df.join(df.limit(5).select("doc_id"), "doc_id", "left_anti")
+    want = rows(lexical.bm25(left, q, 5))
+    monkeypatch.setattr(topk, "PLANNED", 0)
+    monkeypatch.setattr(topk, "RANGE", 2)
+    monkeypatch.setattr(topk.TopK, "survivors_by_job", None)  # it joins rows with the queries
+    assert rows(index.search(q, 5)) == want != []
